@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..operators import annotate as A
+from ..operators import evaluate as E
 from ..operators import text as T
 from ..sources.tables import corpora
 from . import fixtures as FX
@@ -72,3 +75,180 @@ def raw_text(spark, sf_dir):
     a = T.raw_text(s, sep="\n", out="raw_text")
     b = T.raw_text(s, sep="", out="raw_text_glued")
     return a.join(b, ["corpus", "doc_id"])
+
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+@query
+def collapse_labels(spark, sf_dir):
+    """T5: per sentence the collapsed label string (0/1 per token)."""
+    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+    return s.select("corpus", "doc_id", *_long("sent_id"),
+                    F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
+
+
+@query
+def lowercase_tokens(spark, sf_dir):
+    """Folded type frequencies over all tokens."""
+    t = T.lowercase_tokens(FX.tokens(spark, sf_dir), "word", on=True)
+    return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def token_offsets(spark, sf_dir):
+    """Character offsets of each token in the space-joined sentence."""
+    o = T.token_offsets(FX.sentences(spark, sf_dir))
+    return o.select("corpus", "doc_id", *_long("sent_id", "pos"), "word", *_long("c_begin", "c_end"))
+
+
+@query
+def pointer_targets(spark, sf_dir):
+    """Positions labelled 1 (collapsed) followed by the sentence length."""
+    s = T.pointer_targets(FX.sentences(spark, sf_dir))
+    return s.select("corpus", "doc_id", *_long("sent_id"), F.array_join("targets", " ").alias("targets"))
+
+
+@query
+def pointers_to_mask(spark, sf_dir):
+    """T12 after T11: pointer positions back to a 0/1 mask (the end marker is
+    ignored) — equals the collapsed labels."""
+    s = T.pointers_to_mask(T.pointer_targets(FX.sentences(spark, sf_dir)), "targets", "words", "preds")
+    return s.select("corpus", "doc_id", *_long("sent_id"),
+                    F.array_join(F.transform("preds", lambda x: x.cast("string")), "").alias("preds"))
+
+
+# --- annotators -------------------------------------------------------------------
+
+NGRAM_MIN_COUNT = 2
+
+
+@query
+def ngram_windows(spark, sf_dir):
+    """A1: lower-cased bigram windows of every sentence."""
+    w = A.ngram_windows(FX.sentences(spark, sf_dir), 2)
+    return w.select("corpus", "doc_id", *_long("sent_id", "pos"), "g")
+
+
+@query
+def ngram_counts(spark, sf_dir):
+    """A2: the bigram list of the whole corpus (count >= 2)."""
+    return A.ngram_counts(FX.sentences(spark, sf_dir), 2, NGRAM_MIN_COUNT)
+
+
+def _rare(spark, sf_dir, n):
+    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+    return A.annotate_rare_ngrams(s, A.ngram_counts(s, n, NGRAM_MIN_COUNT), n)
+
+
+@query
+def annotate_rare_ngrams(spark, sf_dir):
+    """A3 (n=2): a word is flagged when a bigram holding it is not in the list."""
+    r = _rare(spark, sf_dir, 2)
+    return r.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred")
+
+
+@query
+def known_ngrams(spark, sf_dir):
+    """Known / unknown trigram windows per corpus (semi and anti join)."""
+    s = FX.sentences(spark, sf_dir)
+    w = A.ngram_windows(s, 3)
+    lst = A.ngram_counts(s, 3, NGRAM_MIN_COUNT)
+    k = A.known_ngrams(w, lst, True).groupBy("corpus").agg(F.count(F.lit(1)).alias("known"))
+    u = A.known_ngrams(w, lst, False).groupBy("corpus").agg(F.count(F.lit(1)).alias("unknown"))
+    return k.join(u, "corpus", "full_outer").fillna(0, ["known", "unknown"])
+
+
+@query
+def detect_spans(spark, sf_dir):
+    """A4: rule spans (gold patterns) with character offsets on the raw sentence."""
+    sp = A.detect_spans(FX.sentences(spark, sf_dir), P.GOLD)
+    return sp.select("corpus", "doc_id", *_long("sent_id", "span_id"), "span", *_long("s_begin", "s_end"))
+
+
+@query
+def project_spans(spark, sf_dir):
+    """A5: baseline-rule spans (capitalised words, digit runs) projected onto
+    the tokens through the keyed interval join."""
+    s = FX.sentences(spark, sf_dir)
+    sp = A.detect_spans(s, P.BASELINE_SPANS)
+    p = A.project_spans(s, sp)
+    t = T.explode_tokens(p, arrays=("words", "preds"), names=("word", "pred"))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")
+
+
+def _baseline_pairs(spark, sf_dir, pattern=P.BASELINE_SPANS):
+    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+    s = A.annotate_spans(s, pattern, "preds")
+    return T.explode_tokens(s, arrays=("labels", "preds"), names=("label", "pred"))
+
+
+@query
+def annotate_ner_baseline(spark, sf_dir):
+    """Span baseline against the gold labels, per corpus."""
+    c = E.confusion(_baseline_pairs(spark, sf_dir), ["corpus"])
+    return E.prf(c, ["corpus"], digits=6)
+
+
+# --- evaluation -----------------------------------------------------------------------
+
+@query
+def confusion(spark, sf_dir):
+    """Rare-bigram annotator vs gold, per corpus."""
+    return E.confusion(_rare(spark, sf_dir, 2), ["corpus"])
+
+
+@query
+def prf(spark, sf_dir):
+    """Precision / recall / F1 of the rare-bigram annotator, all corpora."""
+    return E.prf(E.confusion(_rare(spark, sf_dir, 2)), digits=6)
+
+
+@query
+def prf_by_dataset(spark, sf_dir):
+    """n = 2, 3, 4 x test corpus, one wide row per n."""
+    parts = [_rare(spark, sf_dir, n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
+    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return E.prf_by_dataset(pairs, ["n"], "corpus", ["documents", "conversations", "benchmark"])
+
+
+@query
+def misclassified(spark, sf_dir):
+    """Sentences where a digits-only rule disagrees with the gold labels."""
+    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+    s = A.annotate_spans(s, r"\d+", "preds")
+    m = E.misclassified(s)
+    return m.select("corpus", "doc_id", *_long("sent_id"), "raw_text", "target_anon", "predicted_anon")
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    """E5: words, annotations (0/1/2 sum and token count), sentences and
+    documents per corpus plus the total row."""
+    return E.corpus_stats(FX.sentences(spark, sf_dir))
+
+
+@query
+def annotation_rate(spark, sf_dir):
+    """Share of words the rare-bigram annotator marks, per corpus."""
+    return E.annotation_rate(_rare(spark, sf_dir, 2), "pred", ["corpus"])
+
+
+@query
+def class_balance(spark, sf_dir):
+    """Balanced class weights of the collapsed gold labels."""
+    t = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+    return E.class_balance(t, "label")
+
+
+@query
+def pair_predictions(spark, sf_dir):
+    """Predictions aligned with targets on the token key (inner join of
+    two token tables), agreement per corpus."""
+    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+    gold = T.explode_tokens(s, arrays=("words", "labels"), names=("word", "label"))
+    pred = T.explode_tokens(A.annotate_spans(s, P.BASELINE_SPANS, "preds"), arrays=("preds",), names=("pred",))
+    j = gold.join(pred, ["corpus", "doc_id", "sent_id", "pos"], "inner")
+    return j.groupBy("corpus").agg(F.count(F.lit(1)).alias("pairs"),
+                                   F.sum((F.col("label") == F.col("pred")).cast("int")).cast("long").alias("agree"))

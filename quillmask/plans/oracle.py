@@ -2,7 +2,8 @@
 column aliases).  Queries with no SQL equivalent are absent."""
 from __future__ import annotations
 
-from .oracle_base import with_base
+from ..functions import patterns as P
+from .oracle_base import ngram_ctes, span_ctes, with_base
 
 ORACLE: dict[str, str] = {}
 
@@ -50,3 +51,150 @@ SELECT corpus, doc_id, string_agg(s, chr(10) ORDER BY sent_id) AS raw_text,
        string_agg(s, '' ORDER BY sent_id) AS raw_text_glued
 FROM sent_text GROUP BY corpus, doc_id
 """
+
+ORACLE["collapse_labels"] = with_base() + """
+SELECT corpus, doc_id, sent_id, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS labels
+FROM tokc GROUP BY corpus, doc_id, sent_id
+"""
+
+ORACLE["lowercase_tokens"] = with_base() + """
+SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY lower(word)
+"""
+
+ORACLE["token_offsets"] = with_base() + """
+SELECT corpus, doc_id, sent_id, pos, word,
+       CAST(sum(length(word) + 1) OVER w - length(word) - 1 AS BIGINT) AS c_begin,
+       CAST(sum(length(word) + 1) OVER w - 1 AS BIGINT) AS c_end
+FROM tok WINDOW w AS (PARTITION BY corpus, doc_id, sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+"""
+
+ORACLE["pointer_targets"] = with_base() + """
+SELECT corpus, doc_id, sent_id,
+       CASE WHEN count(*) FILTER (WHERE label = 1) > 0
+            THEN string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE label = 1) || ' ' || CAST(count(*) AS VARCHAR)
+            ELSE CAST(count(*) AS VARCHAR) END AS targets
+FROM tokc GROUP BY corpus, doc_id, sent_id
+"""
+
+ORACLE["pointers_to_mask"] = with_base() + """
+SELECT corpus, doc_id, sent_id, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS preds
+FROM tokc GROUP BY corpus, doc_id, sent_id
+"""
+
+ORACLE["ngram_windows"] = with_base(ngram_ctes(2, 2)) + """
+SELECT corpus, doc_id, sent_id, pos, g FROM win2
+"""
+
+ORACLE["ngram_counts"] = with_base(ngram_ctes(2, 2)) + """
+SELECT g, count(*) AS n FROM win2 GROUP BY g HAVING count(*) >= 2
+"""
+
+ORACLE["annotate_rare_ngrams"] = with_base(ngram_ctes(2, 2)) + """
+SELECT corpus, doc_id, sent_id, pos, label, pred FROM rare2_pred
+"""
+
+ORACLE["known_ngrams"] = with_base(ngram_ctes(3, 2)) + """
+SELECT w.corpus,
+       CAST(count(*) FILTER (WHERE c.g IS NOT NULL) AS BIGINT) AS known,
+       CAST(count(*) FILTER (WHERE c.g IS NULL) AS BIGINT) AS unknown
+FROM win3 w LEFT JOIN common3 c USING (g) GROUP BY w.corpus
+"""
+
+ORACLE["detect_spans"] = with_base() + """
+SELECT corpus, doc_id, sent_id, span_id, span, s_begin, s_end FROM spans
+"""
+
+ORACLE["project_spans"] = with_base(span_ctes("bl", P.BASELINE_SPANS)) + """
+SELECT corpus, doc_id, sent_id, pos, hit AS pred FROM bl_flag
+"""
+
+_PRF = """
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p_,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r_
+"""
+
+
+def _prf_select(keys: str, src: str) -> str:
+    k = (keys + ", ") if keys else ""
+    return f"""
+SELECT {k}tp, fp, fn, tn, round(p_, 6) AS precision, round(r_, 6) AS recall,
+       round(CASE WHEN p_ + r_ > 0 THEN 2 * p_ * r_ / (p_ + r_) ELSE 0.0 END, 6) AS f1
+FROM (SELECT *, {_PRF} FROM ({src}))
+"""
+
+
+def _conf(keys: str, src: str) -> str:
+    k = (keys + ", ") if keys else ""
+    g = f"GROUP BY {keys}" if keys else ""
+    return f"""
+SELECT {k}CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS BIGINT) AS tp,
+       CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS BIGINT) AS fp,
+       CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS BIGINT) AS fn,
+       CAST(count(*) FILTER (WHERE label = 0 AND pred = 0) AS BIGINT) AS tn
+FROM {src} {g}
+"""
+
+
+ORACLE["annotate_ner_baseline"] = with_base(span_ctes("bl", P.BASELINE_SPANS), """
+bl_pairs AS (SELECT t.corpus, t.label, f.hit AS pred FROM tokc t JOIN bl_flag f USING (corpus, doc_id, sent_id, pos))
+""") + _prf_select("corpus", _conf("corpus", "bl_pairs"))
+
+ORACLE["confusion"] = with_base(ngram_ctes(2, 2)) + _conf("corpus", "rare2_pred")
+
+ORACLE["prf"] = with_base(ngram_ctes(2, 2)) + _prf_select("", _conf("", "rare2_pred"))
+
+_pbd = []
+for _n in (2, 3, 4):
+    _pbd.append(f"SELECT {_n} AS n, corpus, * EXCLUDE (corpus) FROM ({_prf_select('corpus', _conf('corpus', f'rare{_n}_pred'))})")
+ORACLE["prf_by_dataset"] = with_base(ngram_ctes(2, 2), ngram_ctes(3, 2), ngram_ctes(4, 2),
+                                     "long_prf AS (" + " UNION ALL ".join(_pbd) + ")") + """
+SELECT n,
+  max(precision) FILTER (WHERE corpus = 'documents') AS precision_documents,
+  max(recall) FILTER (WHERE corpus = 'documents') AS recall_documents,
+  max(f1) FILTER (WHERE corpus = 'documents') AS f1_documents,
+  max(precision) FILTER (WHERE corpus = 'conversations') AS precision_conversations,
+  max(recall) FILTER (WHERE corpus = 'conversations') AS recall_conversations,
+  max(f1) FILTER (WHERE corpus = 'conversations') AS f1_conversations,
+  max(precision) FILTER (WHERE corpus = 'benchmark') AS precision_benchmark,
+  max(recall) FILTER (WHERE corpus = 'benchmark') AS recall_benchmark,
+  max(f1) FILTER (WHERE corpus = 'benchmark') AS f1_benchmark
+FROM long_prf GROUP BY n
+"""
+
+ORACLE["misclassified"] = with_base(span_ctes("dg", r"\d+"), """
+mc AS (
+  SELECT t.corpus, t.doc_id, t.sent_id,
+         string_agg(t.word, ' ' ORDER BY t.pos) AS raw_text,
+         string_agg(CASE WHEN t.label <> 0 THEN '<ANON>' ELSE t.word END, ' ' ORDER BY t.pos) AS target_anon,
+         string_agg(CASE WHEN f.hit <> 0 THEN '<ANON>' ELSE t.word END, ' ' ORDER BY t.pos) AS predicted_anon,
+         bool_or(t.label <> f.hit) AS differs
+  FROM tokc t JOIN dg_flag f USING (corpus, doc_id, sent_id, pos)
+  GROUP BY t.corpus, t.doc_id, t.sent_id)
+""") + """
+SELECT corpus, doc_id, sent_id, raw_text, target_anon, predicted_anon FROM mc WHERE differs
+"""
+
+ORACLE["corpus_stats"] = with_base() + """
+SELECT corpus, CAST(count(*) AS BIGINT) AS words, CAST(sum(label) AS BIGINT) AS annotation_sum,
+       CAST(count(*) FILTER (WHERE label > 0) AS BIGINT) AS annotated_tokens,
+       CAST(count(DISTINCT (corpus, doc_id, sent_id)) AS BIGINT) AS sentences,
+       CAST(count(DISTINCT (corpus, doc_id)) AS BIGINT) AS documents
+FROM tok GROUP BY ROLLUP (corpus)
+"""
+
+ORACLE["annotation_rate"] = with_base(ngram_ctes(2, 2)) + """
+SELECT corpus, CAST(sum(pred) AS BIGINT) AS annotated, CAST(count(*) AS BIGINT) AS tokens,
+       round(avg(pred), 6) AS rate
+FROM rare2_pred GROUP BY corpus
+"""
+
+ORACLE["class_balance"] = with_base() + """
+SELECT label, n_class, round(total / (k * n_class), 6) AS weight FROM (
+  SELECT label, CAST(count(*) AS BIGINT) AS n_class, sum(count(*)) OVER () AS total, count(*) OVER () AS k
+  FROM tokc GROUP BY label)
+"""
+
+ORACLE["pair_predictions"] = with_base(span_ctes("bl", P.BASELINE_SPANS)) + """
+SELECT t.corpus, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(t.label = f.hit AS INTEGER)) AS BIGINT) AS agree
+FROM tokc t JOIN bl_flag f USING (corpus, doc_id, sent_id, pos) GROUP BY t.corpus
+"""

@@ -83,3 +83,50 @@ def with_base(*extra: str) -> str:
     """``WITH <base>, <extra...>`` — pass further CTEs as ``name AS (...)``."""
     parts = [BASE.strip()] + [e.strip() for e in extra if e.strip()]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def span_ctes(prefix: str, pattern: str) -> str:
+    """CTEs ``{prefix}_spans`` and ``{prefix}_flag(corpus, doc_id, sent_id, pos,
+    hit)`` for any rule pattern, projected onto the raw tokens of ``tokoff``."""
+    p = lit(pattern)
+    return f"""
+{prefix}_raw AS (
+  SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {p}) AS m, string_split_regex(sent, {p}) AS g
+  FROM sent WHERE regexp_matches(sent, {p})),
+{prefix}_pos AS (
+  SELECT corpus, doc_id, sent_id, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS span_id,
+         unnest(m) AS span, unnest(g[1:len(m)]) AS gap
+  FROM {prefix}_raw),
+{prefix}_spans AS (
+  SELECT corpus, doc_id, sent_id, span_id, span, se - length(span) AS s_begin, se AS s_end FROM (
+    SELECT *, CAST(sum(length(gap) + length(span)) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY span_id
+                   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS se
+    FROM {prefix}_pos)),
+{prefix}_hits AS (
+  SELECT DISTINCT t.corpus, t.doc_id, t.sent_id, t.pos
+  FROM tokoff t JOIN {prefix}_spans s
+    ON t.corpus = s.corpus AND t.doc_id = s.doc_id AND t.sent_id = s.sent_id
+   AND s.s_begin < t.te AND t.te - length(t.word) < s.s_end),
+{prefix}_flag AS (
+  SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(h.pos IS NOT NULL AS INTEGER) AS hit
+  FROM tokoff t LEFT JOIN {prefix}_hits h USING (corpus, doc_id, sent_id, pos))
+"""
+
+
+def ngram_ctes(n: int, min_count: int) -> str:
+    """``win{n}(corpus, doc_id, sent_id, pos, g)`` lower-cased windows,
+    ``common{n}(g)`` the list (count >= min_count), ``rare{n}_pred`` per token."""
+    leads = " || ' ' || ".join(["w"] + [f"lead(w, {k}) OVER ws" for k in range(1, n)])
+    return f"""
+win{n} AS (
+  SELECT * FROM (
+    SELECT corpus, doc_id, sent_id, pos, {leads} AS g
+    FROM (SELECT corpus, doc_id, sent_id, pos, lower(word) AS w FROM tok)
+    WINDOW ws AS (PARTITION BY corpus, doc_id, sent_id ORDER BY pos)) WHERE g IS NOT NULL),
+common{n} AS (SELECT g FROM win{n} GROUP BY g HAVING count(*) >= {min_count}),
+rare{n} AS (SELECT * FROM win{n} w WHERE NOT EXISTS (SELECT 1 FROM common{n} c WHERE c.g = w.g)),
+cover{n} AS (SELECT DISTINCT corpus, doc_id, sent_id, unnest(range(pos, pos + {n})) AS pos FROM rare{n}),
+rare{n}_pred AS (
+  SELECT t.corpus, t.doc_id, t.sent_id, t.pos, t.word, t.label, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
+  FROM tokc t LEFT JOIN cover{n} c USING (corpus, doc_id, sent_id, pos))
+"""
