@@ -7,6 +7,8 @@ partition (distributed sort), number the rows inside each partition, count
 the rows per partition (one small row per partition), turn the counts into
 offsets, and add the offset back with a broadcast join whose size is bounded
 by the number of partitions — the same two passes as ``zipWithIndex``.
+The numbered rows are checkpointed (``spark.checkpoint.dir``) so the counts
+and the rows come from one evaluation.
 """
 from __future__ import annotations
 
@@ -25,6 +27,10 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank",
     numbered = parts.select("*", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))
     numbered = numbered.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    # both branches below must see the same numbering: the range bounds come
+    # from a sample, so two evaluations could split differently.  Materialise
+    # once in the shared checkpoint folder (reliable, survives executor loss).
+    numbered = numbered.checkpoint(eager=True)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

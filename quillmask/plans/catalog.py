@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import annotate as A
 from ..operators import evaluate as E
+from ..operators import features as FEAT
+from ..operators import lookup as L
 from ..operators import text as T
 from ..sources.tables import corpora
 from . import fixtures as FX
@@ -252,3 +254,142 @@ def pair_predictions(spark, sf_dir):
     j = gold.join(pred, ["corpus", "doc_id", "sent_id", "pos"], "inner")
     return j.groupBy("corpus").agg(F.count(F.lit(1)).alias("pairs"),
                                    F.sum((F.col("label") == F.col("pred")).cast("int")).cast("long").alias("agree"))
+
+
+# --- lookups, vocabulary, vectors ---------------------------------------------------------
+
+def _vsum(v):
+    return F.round(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b), 6)
+
+
+@query
+def lookup_vectors(spark, sf_dir):
+    """Every token's vector (lower-cased lookup, <UNK> zeros), summarised."""
+    tok = FX.tokens(spark, sf_dir)
+    t = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir, tok))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), _vsum("v").alias("v_sum"))
+
+
+@query
+def lookup_freq(spark, sf_dir):
+    """Every token's frequency (case-sensitive, missing = 1)."""
+    t = L.lookup_freq(FX.tokens(spark, sf_dir), FX.word_freq(spark, sf_dir))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "f")
+
+
+@query
+def oov_tokens(spark, sf_dir):
+    """Types without a vector and their token counts."""
+    tok = FX.tokens(spark, sf_dir)
+    return L.oov_tokens(tok, FX.word_vectors(spark, sf_dir, tok))
+
+
+def _subword(spark, sf_dir, tok):
+    wp = FX.word_pieces(tok)
+    return L.subword_vectors(wp, FX.piece_vectors(spark, sf_dir, wp))
+
+
+@query
+def subword_vectors(spark, sf_dir):
+    """word vector = sum of its character-trigram piece vectors."""
+    s = _subword(spark, sf_dir, FX.tokens(spark, sf_dir))
+    return s.select("word", "n_pieces", _vsum("v").alias("v_sum"))
+
+
+@query
+def combine_vectors(spark, sf_dir):
+    """word vectors followed by subword vectors (zeros where missing)."""
+    tok = FX.tokens(spark, sf_dir)
+    c = L.combine_vectors([FX.word_vectors(spark, sf_dir, tok), _subword(spark, sf_dir, tok)])
+    return c.select("word", F.size("v").cast("long").alias("dim"), _vsum("v").alias("v_sum"))
+
+
+@query
+def dedupe_vectors(spark, sf_dir):
+    """a cased vector table folded to one vector per lower-cased word, last
+    line wins."""
+    tok = FX.tokens(spark, sf_dir)
+    d = L.dedupe_vectors(FX.word_vectors(spark, sf_dir, tok, fold_case=False))
+    return d.select("word", "line_no", _vsum("v").alias("v_sum"))
+
+
+@query
+def build_vocabulary(spark, sf_dir):
+    """ids by first occurrence, then <EOS>, <UNK>, <SOS>."""
+    return L.build_vocabulary(FX.tokens(spark, sf_dir))
+
+
+@query
+def vocabulary_vectors(spark, sf_dir):
+    """F3 + F5 + J1: every vocabulary entry with its vector; the specials get
+    ones, zeros and minus ones of the table's width."""
+    tok = FX.tokens(spark, sf_dir)
+    vec = FX.word_vectors(spark, sf_dir, tok).select("word", "v")
+    vocab = L.build_vocabulary(tok)
+    sv = L.special_vectors(spark, L.vector_dim(vec))
+    table = vec.unionByName(sv)
+    j = vocab.join(table, "word", "left").withColumn("v", F.coalesce("v", L.zeros(L.vector_dim(vec))))
+    return j.select("word", "id", _vsum("v").alias("v_sum"))
+
+
+@query
+def encode_ids(spark, sf_dir):
+    """Sentence -> vocabulary ids with <EOS> appended."""
+    tok = FX.tokens(spark, sf_dir)
+    e = T.encode_ids(FX.sentences(spark, sf_dir), L.build_vocabulary(tok))
+    return e.select("corpus", "doc_id", *_long("sent_id"), F.array_join("ids", " ").alias("ids"))
+
+
+@query
+def decode_ids(spark, sf_dir):
+    """Ids back to (lower-cased) words, the <EOS> included."""
+    tok = FX.tokens(spark, sf_dir)
+    vocab = L.build_vocabulary(tok)
+    e = T.encode_ids(FX.sentences(spark, sf_dir), vocab)
+    ids = e.select("corpus", "doc_id", "sent_id", F.posexplode("ids").alias("pos", "id"))
+    d = T.decode_ids(ids, vocab)
+    return d.select("corpus", "doc_id", *_long("sent_id", "pos"), "word")
+
+
+def _sentence_vectors(spark, sf_dir, a=1e-3, relative=True):
+    tok = FX.tokens(spark, sf_dir)
+    return FEAT.weighted_sentence_vec(tok, FX.word_vectors(spark, sf_dir, tok), FX.word_freq(spark, sf_dir),
+                                      a=a, relative=relative)
+
+
+@query
+def weighted_sentence_vec(spark, sf_dir):
+    """F6 at a = 1e-3 with relative frequencies (at the original a = 1e-12 all
+    values round to zero)."""
+    s = _sentence_vectors(spark, sf_dir)
+    return s.select("corpus", "doc_id", *_long("sent_id", "n_tokens"), _vsum("sv").alias("v_sum"),
+                    F.round(F.col("sv")[0], 6).alias("v0"))
+
+
+@query
+def remove_first_direction(spark, sf_dir):
+    """per-document first singular direction removed (grouped pandas)."""
+    r = FEAT.remove_first_direction(_sentence_vectors(spark, sf_dir))
+    norm = F.sqrt(F.aggregate("sv", F.lit(0.0), lambda acc, x: acc + x * x))
+    return r.select("corpus", "doc_id", *_long("sent_id"), F.round(norm, 6).alias("sv_norm"))
+
+
+@query
+def token_features(spark, sf_dir):
+    """F8: word vector followed by the sentence vector, per token."""
+    tok = FX.tokens(spark, sf_dir)
+    tv = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir, tok))
+    sv = FEAT.remove_first_direction(_sentence_vectors(spark, sf_dir))
+    f = FEAT.token_features(tv, sv)
+    return f.select("corpus", "doc_id", *_long("sent_id", "pos"), "label",
+                    F.size("features").cast("long").alias("n_features"), _vsum("features").alias("f_sum"))
+
+
+@query
+def project_2d(spark, sf_dir):
+    """PCA to 2-D of the distinct (word, annotated) vectors."""
+    tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+    vec = FX.word_vectors(spark, sf_dir, tok)
+    tv = L.lookup_vectors(tok.select(F.lower("word").alias("word"), F.col("label").alias("annotated")).distinct(), vec)
+    p = FEAT.project_2d(tv)
+    return p.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "word", "annotated")

@@ -38,3 +38,52 @@ def collapsed_sentences(spark, sf_dir, which=("documents", "conversations", "ben
 
 
 SENT_COLS = SENT_KEYS + ["words", "labels"]
+
+
+def embeddings(spark, sf_dir) -> DataFrame:
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+
+
+def word_vectors(spark, sf_dir, tok: DataFrame | None = None, fold_case: bool = True) -> DataFrame:
+    """``vec(word, v, line_no)``: types ranked by (count desc, word asc); rank
+    r gets the embedding ``vec_id = r`` (FIXTURES.md §C)."""
+    from ..operators import lookup as L
+    tok = tokens(spark, sf_dir) if tok is None else tok
+    ranked = L.rank_types(L.type_counts(tok, fold_case=fold_case))
+    return L.vectors_by_rank(ranked, embeddings(spark, sf_dir))
+
+
+def word_freq(spark, sf_dir) -> DataFrame:
+    """``freq(word, n)``: lower-cased type counts over benchmark and
+    conversations (so some document words are missing)."""
+    from ..operators import lookup as L
+    return L.type_counts(tokens(spark, sf_dir, ("conversations", "benchmark")), fold_case=True)
+
+
+def word_pieces(tok: DataFrame) -> DataFrame:
+    """``(word, piece)``: character trigrams of every lower-cased type."""
+    from ..operators import lookup as L
+    types = tok.select(F.lower("word").alias("word")).distinct()
+    return types.select("word", F.explode(L.char_trigrams(F.col("word"))).alias("piece"))
+
+
+def piece_vectors(spark, sf_dir, wp: DataFrame) -> DataFrame:
+    """Piece vectors by the same ranking, over piece occurrences in the type list."""
+    from ..operators import lookup as L
+    counts = wp.groupBy(F.col("piece").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return L.vectors_by_rank(L.rank_types(counts), embeddings(spark, sf_dir))
+
+
+def lexicon(tok: DataFrame) -> DataFrame:
+    """``(word, polarity, subjectivity)`` from the md5 of each lower-cased type:
+    first 8 hex digits mod 201 - 100, /100; next 8 mod 101, /100; listed only
+    when the third 8 digits mod 10 = 0."""
+    types = tok.select(F.lower("word").alias("word")).distinct()
+    h = F.md5("word")
+
+    def part(i):
+        return F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
+    return types.filter(F.pmod(part(2), F.lit(10)) == 0).select(
+        "word", ((F.pmod(part(0), F.lit(201)) - 100) / 100.0).alias("polarity"),
+        (F.pmod(part(1), F.lit(101)) / 100.0).alias("subjectivity"))

@@ -198,3 +198,119 @@ ORACLE["pair_predictions"] = with_base(span_ctes("bl", P.BASELINE_SPANS)) + """
 SELECT t.corpus, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(t.label = f.hit AS INTEGER)) AS BIGINT) AS agree
 FROM tokc t JOIN bl_flag f USING (corpus, doc_id, sent_id, pos) GROUP BY t.corpus
 """
+
+# --- lookups, vocabulary, vectors ---------------------------------------------------------
+
+VEC = """
+types AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1),
+ranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM types),
+vec AS (SELECT r.word, e.embedding AS v, r.r AS line_no FROM ranked r JOIN embeddings e ON e.vec_id = r.r),
+vdim AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+freq AS (SELECT lower(word) AS word, count(*) AS n FROM tok WHERE corpus IN ('conversations', 'benchmark') GROUP BY 1)
+"""
+
+PIECES = """
+wp AS (
+  SELECT word, unnest(CASE WHEN length(word) >= 3
+                           THEN list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))
+                           ELSE [word] END) AS piece
+  FROM (SELECT DISTINCT lower(word) AS word FROM tok)),
+pcount AS (SELECT piece AS word, count(*) AS n FROM wp GROUP BY 1),
+pranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM pcount),
+pvec AS (SELECT p.word AS piece, e.embedding AS v FROM pranked p JOIN embeddings e ON e.vec_id = p.r),
+sub AS (
+  SELECT wp.word, CAST(count(*) AS BIGINT) AS n_pieces,
+         sum(coalesce(list_sum(list_transform(pvec.v, lambda x: CAST(x AS DOUBLE))), 0.0)) AS s
+  FROM wp LEFT JOIN pvec USING (piece) GROUP BY wp.word)
+"""
+
+VOCAB = """
+firsts AS (
+  SELECT word, corpus, doc_id, sent_id, pos FROM (
+    SELECT lower(word) AS word, corpus, doc_id, sent_id, pos,
+           row_number() OVER (PARTITION BY lower(word) ORDER BY corpus, doc_id, sent_id, pos) AS k
+    FROM tok) WHERE k = 1),
+vocab AS (
+  SELECT word, row_number() OVER (ORDER BY corpus, doc_id, sent_id, pos) - 1 AS id FROM firsts
+  UNION ALL SELECT '<EOS>', (SELECT count(*) FROM firsts)
+  UNION ALL SELECT '<UNK>', (SELECT count(*) FROM firsts) + 1
+  UNION ALL SELECT '<SOS>', (SELECT count(*) FROM firsts) + 2)
+"""
+
+
+def vsum(v: str) -> str:
+    return f"list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE)))"
+
+
+ORACLE["lookup_vectors"] = with_base(VEC) + f"""
+SELECT t.corpus, t.doc_id, t.sent_id, t.pos, round(coalesce({vsum('vec.v')}, 0.0), 6) AS v_sum
+FROM tok t LEFT JOIN vec ON vec.word = lower(t.word)
+"""
+
+ORACLE["lookup_freq"] = with_base(VEC) + """
+SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(coalesce(f.n, 1) AS BIGINT) AS f
+FROM tok t LEFT JOIN freq f ON f.word = t.word
+"""
+
+ORACLE["oov_tokens"] = with_base(VEC) + """
+SELECT word, n FROM types WHERE word NOT IN (SELECT word FROM vec)
+"""
+
+ORACLE["subword_vectors"] = with_base(PIECES) + """
+SELECT word, n_pieces, round(s, 6) AS v_sum FROM sub
+"""
+
+ORACLE["combine_vectors"] = with_base(VEC, PIECES) + f"""
+SELECT coalesce(vec.word, sub.word) AS word, CAST(2 * (SELECT dim FROM vdim) AS BIGINT) AS dim,
+       round(coalesce({vsum('vec.v')}, 0.0) + coalesce(sub.s, 0.0), 6) AS v_sum
+FROM vec FULL OUTER JOIN sub ON vec.word = sub.word
+"""
+
+ORACLE["dedupe_vectors"] = with_base("""
+ctypes AS (SELECT word, count(*) AS n FROM tok GROUP BY 1),
+cranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM ctypes),
+cvec AS (SELECT c.word, e.embedding AS v, c.r AS line_no FROM cranked c JOIN embeddings e ON e.vec_id = c.r)
+""") + f"""
+SELECT lower(word) AS word, max(line_no) AS line_no, round({vsum('arg_max(v, line_no)')}, 6) AS v_sum
+FROM cvec GROUP BY lower(word)
+"""
+
+ORACLE["build_vocabulary"] = with_base(VOCAB) + """
+SELECT word, CAST(id AS BIGINT) AS id FROM vocab
+"""
+
+ORACLE["vocabulary_vectors"] = with_base(VEC, VOCAB) + f"""
+SELECT vocab.word, CAST(vocab.id AS BIGINT) AS id,
+       round(CASE vocab.word WHEN '<EOS>' THEN (SELECT dim FROM vdim) WHEN '<SOS>' THEN -(SELECT dim FROM vdim)
+                            ELSE coalesce({vsum('vec.v')}, 0.0) END, 6) AS v_sum
+FROM vocab LEFT JOIN vec USING (word)
+"""
+
+ORACLE["encode_ids"] = with_base(VOCAB) + """
+SELECT t.corpus, t.doc_id, t.sent_id,
+       string_agg(CAST(v.id AS VARCHAR), ' ' ORDER BY t.pos) || ' ' || CAST((SELECT id FROM vocab WHERE word = '<EOS>') AS VARCHAR) AS ids
+FROM tok t JOIN vocab v ON v.word = lower(t.word)
+GROUP BY t.corpus, t.doc_id, t.sent_id
+"""
+
+ORACLE["decode_ids"] = with_base(VOCAB) + """
+SELECT corpus, doc_id, sent_id, pos, lower(word) AS word FROM tok
+UNION ALL
+SELECT corpus, doc_id, sent_id, CAST(count(*) AS BIGINT) AS pos, '<EOS>' AS word FROM tok
+GROUP BY corpus, doc_id, sent_id
+"""
+
+ORACLE["weighted_sentence_vec"] = with_base(VEC, """
+ftotal AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM freq),
+sc AS (SELECT corpus, doc_id, sent_id, word, count(*) AS c FROM tok GROUP BY ALL),
+wt AS (
+  SELECT sc.corpus, sc.doc_id, sc.sent_id, sc.c,
+         100.0 * 0.001 / (0.001 + CAST(coalesce(f.n, 1) AS DOUBLE) / (SELECT total FROM ftotal)) * sc.c AS w,
+         vec.v
+  FROM sc LEFT JOIN freq f ON f.word = sc.word LEFT JOIN vec ON vec.word = lower(sc.word))
+""") + f"""
+SELECT corpus, doc_id, sent_id, CAST(sum(c) AS BIGINT) AS n_tokens,
+       round(sum(w * coalesce({vsum('v')}, 0.0)) / sum(c), 6) AS v_sum,
+       round(sum(w * coalesce(CAST(v[1] AS DOUBLE), 0.0)) / sum(c), 6) AS v0
+FROM wt GROUP BY corpus, doc_id, sent_id
+"""
