@@ -50,7 +50,9 @@ def fold_tokens(tok: DataFrame, keys=SENT_KEYS, values=("word", "label"),
     A group is one sentence, which already fitted in one input row."""
     s = F.array_sort(F.collect_list(F.struct("pos", *values)))
     g = tok.groupBy(*keys).agg(s.alias("_t"))
-    return g.select(*keys, *[F.transform("_t", lambda x, v=v: x[v]).alias(n) for v, n in zip(values, names)])
+    def field(v):
+        return F.transform("_t", lambda x: x[v])
+    return g.select(*keys, *[field(v).alias(n) for v, n in zip(values, names)])
 
 
 def collapse_labels(df: DataFrame, col: str = "labels") -> DataFrame:

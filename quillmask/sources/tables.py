@@ -38,4 +38,17 @@ def corpora(spark: SparkSession, sf_dir: str, which: tuple[str, ...] = ("documen
     if "benchmark" in which:
         frames["benchmark"] = read_table(spark, sf_dir, "benchmark", "item_id", "text") \
             .select(F.col("item_id").alias("doc_id"), "text")
-    return union_corpora(frames)
+    return spread_documents(union_corpora(frames))
+
+
+def spread_documents(docs: DataFrame, keys=("corpus", "doc_id")) -> DataFrame:
+    """Give the text work all cores when the scan yields fewer splits than the
+    cluster has task slots (a small table in one row group arrives as one
+    partition).  The spread hashes on the document key, so a later fold per
+    document or per sentence finds its distribution already satisfied and does
+    not shuffle again.  Inputs that already split wider are left as scanned:
+    at scale the scan itself provides the parallelism and no text is moved."""
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= slots:
+        return docs
+    return docs.repartition(slots, *keys)
