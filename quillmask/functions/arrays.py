@@ -87,3 +87,15 @@ def bio_from_flags(flags: Column) -> Column:
     return let(flags, lambda fl: F.transform(fl, lambda f, i: F.when(~f, F.lit(0))
                                              .when((i > 0) & fl[F.greatest(i - 1, F.lit(0))], F.lit(2))
                                              .otherwise(F.lit(1))))
+
+
+def ratio_round6(num: Column, den: Column) -> Column:
+    """``num / den`` (integers) rounded half away from zero to 6 decimals in
+    exact integer arithmetic, so every engine produces the same double: a
+    float ``round`` of an exact tie (e.g. 1/3200 = 0.0003125) may go either way
+    once the tie is stored inexactly.  0 when ``den`` is 0."""
+    num, den = num.cast("long"), den.cast("long")
+    q = (F.abs(num) * 2000000 + den).cast("long")
+    r = F.expr("0L").cast("long")
+    mag = F.when(den > 0, (q - F.pmod(q, 2 * den)) / (2 * den)).otherwise(r)
+    return (F.signum(num) * mag / 1000000.0).cast("double")

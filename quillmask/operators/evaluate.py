@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..functions.arrays import ratio_round6
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -146,16 +147,35 @@ def keyphrase_words(target: DataFrame, pred: DataFrame, doc: str = "doc", phrase
 
 
 def lexicon_sentiment(tok: DataFrame, lexicon: DataFrame, by=("corpus", "doc_id"), word: str = "word",
-                      digits: int | None = 6) -> DataFrame:
+                      exact: bool = True) -> DataFrame:
     """E8 (re-aimed): polarity and subjectivity of a text = mean over the words
-    found in the lexicon, 0 when none.  ``lexicon(word, polarity,
-    subjectivity)`` is joined on the lower-cased word; texts without any
-    lexicon word keep a row with zeros."""
-    lx = lexicon.select(F.col("word").alias("_w"), "polarity", "subjectivity")
+    found in the lexicon, 0 when none.  ``lexicon(word, polarity_c,
+    subjectivity_c)`` in integer hundredths is joined on the lower-cased word;
+    texts without any lexicon word keep a row with zeros.  Also returns the
+    integer sums and the match count, from which every derived score is exact."""
+    lx = lexicon.select(F.col("word").alias("_w"), "polarity_c", "subjectivity_c")
     t = tok.select(*by, F.lower(word).alias("_w"))
-    j = t.join(lx, "_w", "left")
-    pol = F.coalesce(F.avg("polarity"), F.lit(0.0))
-    sub = F.coalesce(F.avg("subjectivity"), F.lit(0.0))
-    if digits is not None:
-        pol, sub = F.round(pol, digits), F.round(sub, digits)
-    return j.groupBy(*by).agg(pol.alias("polarity"), sub.alias("subjectivity"))
+    g = t.join(lx, "_w", "left").groupBy(*by).agg(
+        F.coalesce(F.sum("polarity_c"), F.lit(0)).cast("long").alias("pol_c"),
+        F.coalesce(F.sum("subjectivity_c"), F.lit(0)).cast("long").alias("sub_c"),
+        F.count("polarity_c").alias("matched"))
+    den = F.col("matched") * 100
+    return g.select(*by, "pol_c", "sub_c", "matched", ratio_round6(F.col("pol_c"), den).alias("polarity"),
+                    ratio_round6(F.col("sub_c"), den).alias("subjectivity"))
+
+
+def utility_report(pure: DataFrame, anon: DataFrame, target: DataFrame, key: str = "doc_id",
+                   metric: str = "polarity", target_col: str = "target") -> DataFrame:
+    """Pure vs masked score side by side with the class target, one row
+    per document (inner joins on the document key)."""
+    p = pure.select(key, F.col(metric).alias(f"pure_{metric}"))
+    a = anon.select(key, F.col(metric).alias(f"anon_{metric}"))
+    t = target.select(key, F.col(target_col).cast("double").alias(f"target_{metric}"))
+    return p.join(a, key).join(t, key)
+
+
+def score_table(scores: DataFrame, targets: DataFrame, key: str = "doc_id", score: str = "score",
+                target: str = "target") -> DataFrame:
+    """Service score next to the 0/1 class target, joined by id."""
+    return scores.select(key, F.col(score).alias("sent_pred")).join(
+        targets.select(key, F.col(target).cast("double").alias("targets")), key)

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.arrays import ratio_round6
 from ..operators import annotate as A
 from ..operators import evaluate as E
 from ..operators import features as FEAT
 from ..operators import lookup as L
 from ..operators import text as T
-from ..sources.tables import corpora
+from ..sources import service as SVC
+from ..sources.tables import corpora, read_table
 from . import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +395,141 @@ def project_2d(spark, sf_dir):
     tv = L.lookup_vectors(tok.select(F.lower("word").alias("word"), F.col("label").alias("annotated")).distinct(), vec)
     p = FEAT.project_2d(tv)
     return p.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "word", "annotated")
+
+
+# --- placeholders, key phrases, utility ------------------------------------------------------
+
+@query
+def find_placeholders(spark, sf_dir):
+    """Placeholder tokens injected into the token table, counted per kind."""
+    return T.find_placeholders(FX.placeholder_tokens(FX.tokens(spark, sf_dir)))
+
+
+@query
+def pseudonymize(spark, sf_dir):
+    """Placeholders replaced by deterministic surrogates, labelled 1."""
+    t = FX.placeholder_tokens(FX.tokens(spark, sf_dir)).withColumn("_was", F.col("word"))
+    p = T.pseudonymize(t, seed=0)
+    return p.filter(F.col("_was").isin(P.PLACEHOLDER_TOKENS)).select(
+        "corpus", "doc_id", *_long("sent_id", "pos"), F.col("_was").alias("placeholder"), "word", "label")
+
+
+def _phrases(spark, sf_dir):
+    s = FX.sentences(spark, sf_dir)
+    return FX.key_phrases(s, 20), FX.key_phrases(s, 30)
+
+
+@query
+def keyphrase_exact(spark, sf_dir):
+    """E6 (+E2): exact key-phrase matches over documents on both sides."""
+    t, p = _phrases(spark, sf_dir)
+    return _exact_prf(E.keyphrase_exact(t, p))
+
+
+@query
+def keyphrase_words(spark, sf_dir):
+    """E7 (+E2): word-level multiset overlap of key phrases."""
+    t, p = _phrases(spark, sf_dir)
+    return _exact_prf(E.keyphrase_words(t, p))
+
+
+def _exact_prf(c):
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select("tp", "fp", "fn", ratio_round6(tp, tp + fp).alias("precision"),
+                    ratio_round6(tp, tp + fn).alias("recall"), ratio_round6(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+@query
+def pair_docs(spark, sf_dir):
+    """Target phrases of documents that also have predictions, per corpus."""
+    t, p = _phrases(spark, sf_dir)
+    k = L.pair_docs(t, p)
+    return k.groupBy(F.split("doc", ":")[0].alias("corpus")).agg(F.count(F.lit(1)).alias("phrases"),
+                                                                F.count_distinct("doc").alias("docs"))
+
+
+def _masked_tokens(tok):
+    return tok.withColumn("word", F.when(F.col("label") > 0, F.lit(P.ANON_TOKEN)).otherwise(F.col("word")))
+
+
+@query
+def lexicon_sentiment(spark, sf_dir):
+    """Lexicon polarity / subjectivity of every document."""
+    tok = FX.tokens(spark, sf_dir)
+    return E.lexicon_sentiment(tok, FX.lexicon(tok)).drop("pol_c", "sub_c")
+
+
+def _doc_scores(spark, sf_dir):
+    tok = FX.tokens(spark, sf_dir)
+    lx = FX.lexicon(tok)
+    docs = tok.filter(F.col("corpus") == "documents")
+    pure = E.lexicon_sentiment(docs, lx, by=["doc_id"])
+    anon = E.lexicon_sentiment(_masked_tokens(docs), lx, by=["doc_id"])
+    return pure, anon, read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+
+
+@query
+def utility_report(spark, sf_dir):
+    """Pure vs masked polarity and subjectivity per labelled document;
+    polarity target -1/1 from ``quality``, subjectivity target from ``toxic``."""
+    pure, anon, lab = _doc_scores(spark, sf_dir)
+    lab = lab.select("doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("target"),
+                     F.col("toxic").cast("double").alias("toxic"))
+    pol = E.utility_report(pure, anon, lab, metric="polarity")
+    sub = E.utility_report(pure, anon, lab, metric="subjectivity", target_col="toxic")
+    return pol.join(sub, "doc_id")
+
+
+@query
+def score_table(spark, sf_dir):
+    """A 0..1 sentiment score next to the 0/1 class target."""
+    pure, _, lab = _doc_scores(spark, sf_dir)
+    num = F.col("pol_c") + F.col("matched") * 100
+    s = pure.select("doc_id", F.when(F.col("matched") > 0, ratio_round6(num, F.col("matched") * 200))
+                    .otherwise(F.lit(0.5)).alias("score"))
+    return E.score_table(s, lab.select("doc_id", F.col("quality").alias("target")))
+
+
+# --- selection ----------------------------------------------------------------------------------
+
+@query
+def best_epoch(spark, sf_dir):
+    """V4: early-stop replay (patience 6, at most 20 epochs) over histories
+    derived from the data: run = document, epoch = sentence in order, score =
+    token accuracy of the rare-bigram annotator on that sentence."""
+    from ..operators import select as SEL
+    r = _rare(spark, sf_dir, 2)
+    acc = r.groupBy("corpus", "doc_id", "sent_id").agg(
+        (F.sum((F.col("label") == F.col("pred")).cast("int")) / F.count(F.lit(1))).alias("f1"))
+    w = Window.partitionBy("corpus", "doc_id").orderBy("sent_id")
+    hist = acc.withColumn("epoch", F.row_number().over(w))
+    b = SEL.best_epoch(hist, ["corpus", "doc_id"], "epoch", "f1", max_tries=6, max_epochs=20)
+    return b.select("corpus", "doc_id", *_long("best_epoch", "stop_epoch", "epochs"))
+
+
+@query
+def rank_configs(spark, sf_dir):
+    """V5: the two best n-gram sizes per corpus by F1."""
+    from ..operators import select as SEL
+    parts = [_rare(spark, sf_dir, n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
+    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    res = E.prf(E.confusion(pairs, ["n", "corpus"]), ["n", "corpus"], digits=6)
+    top = SEL.rank_configs(res, "corpus", "f1", ["n"], k=2)
+    return top.select("corpus", F.col("rank").cast("long").alias("rank"), "n", "f1")
+
+
+@query
+def request_batches(spark, sf_dir):
+    """IO14: documents dealt into exactly 10 request batches (summary per
+    batch, empty batches included)."""
+    b = SVC.request_batches(corpora(spark, sf_dir))
+    return SVC.batch_summary(b)
+
+
+@query
+def parse_responses(spark, sf_dir):
+    """IO15: key-phrase responses (built from the predictions) parsed back to
+    ``(id, phrase)`` rows."""
+    _, p = _phrases(spark, sf_dir)
+    phrases, _ = SVC.parse_keyphrase_responses(FX.keyphrase_responses(p))
+    return phrases

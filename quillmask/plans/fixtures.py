@@ -78,12 +78,32 @@ def piece_vectors(spark, sf_dir, wp: DataFrame) -> DataFrame:
 def lexicon(tok: DataFrame) -> DataFrame:
     """``(word, polarity, subjectivity)`` from the md5 of each lower-cased type:
     first 8 hex digits mod 201 - 100, /100; next 8 mod 101, /100; listed only
-    when the third 8 digits mod 10 = 0."""
+    when the third 8 digits mod 10 = 0.  Kept in integer hundredths
+    (``polarity_c``, ``subjectivity_c``) so means round exactly."""
     types = tok.select(F.lower("word").alias("word")).distinct()
     h = F.md5("word")
 
     def part(i):
         return F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
     return types.filter(F.pmod(part(2), F.lit(10)) == 0).select(
-        "word", ((F.pmod(part(0), F.lit(201)) - 100) / 100.0).alias("polarity"),
-        (F.pmod(part(1), F.lit(101)) / 100.0).alias("subjectivity"))
+        "word", (F.pmod(part(0), F.lit(201)) - 100).alias("polarity_c"),
+        F.pmod(part(1), F.lit(101)).alias("subjectivity_c"))
+
+
+def key_phrases(sent: DataFrame, every: int) -> DataFrame:
+    """``(doc, phrase)``: the two-word windows starting at ``pos % every = 0``
+    of every sentence (FIXTURES.md §C); duplicates kept."""
+    from ..operators import annotate as A
+    w = A.ngram_windows(sent, 2, case_sensitive=True)
+    return w.filter(F.pmod(F.col("pos"), F.lit(every)) == 0).select(
+        F.concat_ws(":", "corpus", F.col("doc_id").cast("string")).alias("doc"), F.col("g").alias("phrase"))
+
+
+def keyphrase_responses(pred: DataFrame) -> DataFrame:
+    """Service-style key-phrase responses built from the predictions: one JSON
+    response per document (its phrases in order of appearance are not needed,
+    the parser matches by id)."""
+    g = pred.groupBy("doc").agg(F.collect_list("phrase").alias("p"))
+    body = F.struct(F.array(F.struct(F.col("doc").alias("id"), F.col("p").alias("keyPhrases"))).alias("documents"),
+                    F.array().cast("array<struct<id:string,message:string>>").alias("errors"))
+    return g.select(F.to_json(body).alias("response"))

@@ -3,7 +3,7 @@ column aliases).  Queries with no SQL equivalent are absent."""
 from __future__ import annotations
 
 from ..functions import patterns as P
-from .oracle_base import ngram_ctes, span_ctes, with_base
+from .oracle_base import ngram_ctes, ratio_round6, span_ctes, with_base
 
 ORACLE: dict[str, str] = {}
 
@@ -314,3 +314,173 @@ SELECT corpus, doc_id, sent_id, CAST(sum(c) AS BIGINT) AS n_tokens,
        round(sum(w * coalesce(CAST(v[1] AS DOUBLE), 0.0)) / sum(c), 6) AS v0
 FROM wt GROUP BY corpus, doc_id, sent_id
 """
+
+# --- placeholders, key phrases, utility, selection, service ---------------------------------
+
+PH = """
+ph AS (
+  SELECT corpus, doc_id, sent_id, pos, label,
+         CASE WHEN pos % 97 = 3 THEN ['&YEAR', '&EMAIL', '&DATE', '&TIME'][sent_id % 4 + 1] ELSE word END AS word
+  FROM tok)
+"""
+
+ORACLE["find_placeholders"] = with_base(PH) + """
+SELECT word, count(*) AS n FROM ph WHERE word IN ('&YEAR', '&EMAIL', '&DATE', '&TIME') GROUP BY word
+"""
+
+ORACLE["pseudonymize"] = with_base(PH, """
+ps AS (
+  SELECT *, CAST(('0x' || substr(md5(concat_ws('|', corpus, doc_id, sent_id, pos, 0)), 1, 8)) AS BIGINT) AS h
+  FROM ph WHERE word IN ('&YEAR', '&EMAIL', '&DATE', '&TIME'))
+""") + """
+SELECT corpus, doc_id, sent_id, pos, word AS placeholder,
+  CASE word
+    WHEN '&YEAR' THEN CAST(1970 + h % 51 AS VARCHAR)
+    WHEN '&EMAIL' THEN 'user' || CAST(h % 10000 AS VARCHAR)
+                       || CASE WHEN (h // 7) % 2 = 0 THEN '@example.org' ELSE '@mail.example.com' END
+    WHEN '&DATE' THEN strftime(DATE '2020-01-01' - CAST(h % 10958 AS INTEGER), '%Y-%m-%d')
+    ELSE printf('%02d:%02d:%02d', (h % 86400) // 3600, (h % 3600) // 60, h % 60) END AS word,
+  1 AS label
+FROM ps
+"""
+
+KP = """
+kp AS (
+  SELECT corpus || ':' || CAST(doc_id AS VARCHAR) AS doc, pos,
+         word || ' ' || lead(word) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos) AS phrase
+  FROM tok),
+tgt AS (SELECT doc, phrase FROM kp WHERE pos % 20 = 0 AND phrase IS NOT NULL),
+prd AS (SELECT doc, phrase FROM kp WHERE pos % 30 = 0 AND phrase IS NOT NULL),
+bothd AS (SELECT DISTINCT doc FROM tgt WHERE doc IN (SELECT doc FROM prd)),
+kt AS (SELECT * FROM tgt WHERE doc IN (SELECT doc FROM bothd)),
+kpp AS (SELECT * FROM prd WHERE doc IN (SELECT doc FROM bothd))
+"""
+
+
+def _exact_prf_sql(src: str) -> str:
+    return f"""
+SELECT tp, fp, fn, {ratio_round6('tp', 'tp + fp')} AS precision, {ratio_round6('tp', 'tp + fn')} AS recall,
+       {ratio_round6('2 * tp', '2 * tp + fp + fn')} AS f1
+FROM ({src})
+"""
+
+
+ORACLE["keyphrase_exact"] = with_base(KP) + _exact_prf_sql("""
+SELECT CAST((SELECT count(*) FROM kt WHERE EXISTS (SELECT 1 FROM kpp WHERE kpp.doc = kt.doc AND kpp.phrase = kt.phrase)) AS BIGINT) AS tp,
+       CAST((SELECT count(*) FROM kt WHERE NOT EXISTS (SELECT 1 FROM kpp WHERE kpp.doc = kt.doc AND kpp.phrase = kt.phrase)) AS BIGINT) AS fn,
+       CAST((SELECT count(*) FROM kpp WHERE NOT EXISTS (SELECT 1 FROM kt WHERE kpp.doc = kt.doc AND kpp.phrase = kt.phrase)) AS BIGINT) AS fp
+""")
+
+ORACLE["keyphrase_words"] = with_base(KP, """
+tw AS (SELECT doc, w, count(*) AS nt FROM (SELECT doc, unnest(string_split(phrase, ' ')) AS w FROM kt) GROUP BY ALL),
+pw AS (SELECT doc, w, count(*) AS np FROM (SELECT doc, unnest(string_split(phrase, ' ')) AS w FROM kpp) GROUP BY ALL)
+""") + _exact_prf_sql("""
+SELECT CAST(sum(least(coalesce(nt, 0), coalesce(np, 0))) AS BIGINT) AS tp,
+       CAST(sum(greatest(coalesce(nt, 0) - coalesce(np, 0), 0)) AS BIGINT) AS fn,
+       CAST(sum(greatest(coalesce(np, 0) - coalesce(nt, 0), 0)) AS BIGINT) AS fp
+FROM tw FULL OUTER JOIN pw USING (doc, w)
+""")
+
+ORACLE["pair_docs"] = with_base(KP) + """
+SELECT split_part(doc, ':', 1) AS corpus, count(*) AS phrases, count(DISTINCT doc) AS docs
+FROM tgt WHERE doc IN (SELECT doc FROM prd) GROUP BY 1
+"""
+
+LEX = """
+lex AS (
+  SELECT word, p0 % 201 - 100 AS polarity_c, p1 % 101 AS subjectivity_c FROM (
+    SELECT word, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) AS p0,
+           CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) AS p1,
+           CAST(('0x' || substr(md5(word), 17, 8)) AS BIGINT) AS p2
+    FROM (SELECT DISTINCT lower(word) AS word FROM tok)) WHERE p2 % 10 = 0)
+"""
+
+
+def _senti(src: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, CAST(coalesce(sum(l.polarity_c), 0) AS BIGINT) AS pol_c,
+       CAST(coalesce(sum(l.subjectivity_c), 0) AS BIGINT) AS sub_c, count(l.polarity_c) AS matched
+FROM {src} s LEFT JOIN lex l ON l.word = s.w GROUP BY {keys}
+"""
+
+
+ORACLE["lexicon_sentiment"] = with_base(LEX, "tw0 AS (SELECT corpus, doc_id, lower(word) AS w FROM tok)") + f"""
+SELECT corpus, doc_id, matched, {ratio_round6('pol_c', 'matched * 100')} AS polarity,
+       {ratio_round6('sub_c', 'matched * 100')} AS subjectivity
+FROM ({_senti('tw0', 'corpus, doc_id')})
+"""
+
+DOCSCORES = LEX + f""",
+dt AS (SELECT doc_id, lower(word) AS w, label FROM tok WHERE corpus = 'documents'),
+da AS (SELECT doc_id, CASE WHEN label > 0 THEN NULL ELSE w END AS w FROM dt),
+pure AS ({_senti('dt', 'doc_id')}),
+anon AS ({_senti('da', 'doc_id')})
+"""
+
+ORACLE["utility_report"] = with_base(DOCSCORES) + f"""
+SELECT p.doc_id,
+       {ratio_round6('p.pol_c', 'p.matched * 100')} AS pure_polarity,
+       {ratio_round6('a.pol_c', 'a.matched * 100')} AS anon_polarity,
+       CASE WHEN l.quality = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS target_polarity,
+       {ratio_round6('p.sub_c', 'p.matched * 100')} AS pure_subjectivity,
+       {ratio_round6('a.sub_c', 'a.matched * 100')} AS anon_subjectivity,
+       CAST(l.toxic AS DOUBLE) AS target_subjectivity
+FROM pure p JOIN anon a USING (doc_id) JOIN labels l USING (doc_id)
+"""
+
+ORACLE["score_table"] = with_base(DOCSCORES) + f"""
+SELECT p.doc_id,
+       CASE WHEN p.matched > 0 THEN {ratio_round6('p.pol_c + p.matched * 100', 'p.matched * 200')}
+            ELSE CAST(0.5 AS DOUBLE) END AS sent_pred,
+       CAST(l.quality AS DOUBLE) AS targets
+FROM pure p JOIN labels l USING (doc_id)
+"""
+
+ORACLE["best_epoch"] = with_base(ngram_ctes(2, 2), """
+acc AS (
+  SELECT corpus, doc_id, sent_id, sum(CAST(label = pred AS INTEGER)) / count(*) AS f1
+  FROM rare2_pred GROUP BY ALL),
+hist AS (SELECT *, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY sent_id) AS epoch FROM acc),
+h1 AS (
+  SELECT *, f1 >= greatest(coalesce(max(f1) OVER (PARTITION BY corpus, doc_id ORDER BY epoch
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS hit
+  FROM hist),
+h2 AS (
+  SELECT *, epoch - coalesce(max(CASE WHEN hit THEN epoch END) OVER (PARTITION BY corpus, doc_id ORDER BY epoch
+                                 ROWS UNBOUNDED PRECEDING), 0) AS miss
+  FROM h1),
+runs AS (
+  SELECT corpus, doc_id, least(coalesce(min(epoch) FILTER (WHERE miss >= 6), max(epoch)), 20) AS stop_epoch,
+         count(*) AS epochs
+  FROM h2 GROUP BY ALL)
+""") + """
+SELECT r.corpus, r.doc_id, CAST(max(h.epoch) AS BIGINT) AS best_epoch, CAST(r.stop_epoch AS BIGINT) AS stop_epoch,
+       CAST(r.epochs AS BIGINT) AS epochs
+FROM runs r JOIN h2 h USING (corpus, doc_id)
+WHERE h.hit AND h.epoch <= r.stop_epoch
+GROUP BY r.corpus, r.doc_id, r.stop_epoch, r.epochs
+"""
+
+_rk = []
+for _n in (2, 3, 4):
+    _rk.append(f"SELECT {_n} AS n, corpus, f1 FROM ({_prf_select('corpus', _conf('corpus', f'rare{_n}_pred'))})")
+ORACLE["rank_configs"] = with_base(ngram_ctes(2, 2), ngram_ctes(3, 2), ngram_ctes(4, 2),
+                                   "res AS (" + " UNION ALL ".join(_rk) + ")") + """
+SELECT corpus, rank, n, f1 FROM (
+  SELECT corpus, CAST(row_number() OVER (PARTITION BY corpus ORDER BY f1 DESC, n) AS BIGINT) AS rank, n, f1 FROM res)
+WHERE rank <= 2
+"""
+
+ORACLE["request_batches"] = with_base("""
+num AS (SELECT row_number() OVER (ORDER BY corpus, doc_id) - 1 AS rn FROM corpora),
+tot AS (SELECT count(*) AS n, count(*) // 10 AS k FROM corpora),
+b AS (SELECT CAST(CASE WHEN k > 0 THEN least(rn // k, 9) ELSE 9 END AS INTEGER) AS batch, rn FROM num, tot)
+""") + """
+SELECT g.batch, coalesce(c.n_docs, 0) AS n_docs, c.first_id, c.last_id FROM
+  (SELECT CAST(range AS INTEGER) AS batch FROM range(10)) g
+  LEFT JOIN (SELECT batch, count(*) AS n_docs, min(rn) AS first_id, max(rn) AS last_id FROM b GROUP BY batch) c USING (batch)
+"""
+
+ORACLE["parse_responses"] = with_base(KP) + """
+SELECT doc AS id, phrase FROM prd
+"""

@@ -130,3 +130,9 @@ rare{n}_pred AS (
   SELECT t.corpus, t.doc_id, t.sent_id, t.pos, t.word, t.label, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
   FROM tokc t LEFT JOIN cover{n} c USING (corpus, doc_id, sent_id, pos))
 """
+
+
+def ratio_round6(num: str, den: str) -> str:
+    """SQL twin of ``functions.arrays.ratio_round6``."""
+    return (f"CASE WHEN ({den}) > 0 THEN CAST(sign({num}) * ((abs({num}) * 2000000 + ({den})) // (2 * ({den}))) AS DOUBLE)"
+            f" / CAST(1000000 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
