@@ -24,15 +24,15 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank",
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the id packs (partition index << 33) + row number inside the partition
-    numbered = parts.select("*", F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_mid"))
-    numbered = numbered.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    numbered = parts.select("*", F.spark_partition_id().alias("__r_pid"),
+                            F.monotonically_increasing_id().alias("__r_mid"))
+    numbered = numbered.withColumn("__r_local", F.col("__r_mid") - F.shiftleft(F.col("__r_pid").cast("long"), 33))
     # both branches below must see the same numbering: the range bounds come
     # from a sample, so two evaluations could split differently.  Materialise
     # once in the shared checkpoint folder (reliable, survives executor loss).
     numbered = numbered.checkpoint(eager=True)
-    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return numbered.join(F.broadcast(offsets), "_pid") \
-        .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_local", "_off")
+    counts = numbered.groupBy("__r_pid").agg(F.count(F.lit(1)).alias("__r_n"))
+    w = Window.orderBy("__r_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__r_pid", F.coalesce(F.sum("__r_n").over(w), F.lit(0)).alias("__r_off"))
+    return numbered.join(F.broadcast(offsets), "__r_pid") \
+        .withColumn(out, F.col("__r_off") + F.col("__r_local")).drop("__r_pid", "__r_mid", "__r_local", "__r_off")

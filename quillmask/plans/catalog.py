@@ -18,6 +18,8 @@ from ..operators import evaluate as E
 from ..operators import features as FEAT
 from ..operators import lookup as L
 from ..operators import text as T
+from ..session import scratch_path
+from ..sources import formats as FMT
 from ..sources import service as SVC
 from ..sources.tables import corpora, read_table
 from . import fixtures as FX
@@ -533,3 +535,114 @@ def parse_responses(spark, sf_dir):
     _, p = _phrases(spark, sf_dir)
     phrases, _ = SVC.parse_keyphrase_responses(FX.keyphrase_responses(p))
     return phrases
+
+
+# --- file formats (round trips through the shared checkpoint folder) --------------------------
+
+def _doc_summary(s, labels=True):
+    """One row per read-back document: sentence count, text, labels."""
+    s = s.select("doc_index", "sent_id", F.array_join("words", " ").alias("_w"),
+                 F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("_l"))
+    g = s.groupBy("doc_index").agg(F.array_sort(F.collect_list(F.struct("sent_id", "_w", "_l"))).alias("_p"))
+    cols = [F.col("doc_index").cast("long").alias("doc_index"), F.size("_p").cast("long").alias("sentences"),
+            F.array_join(F.transform("_p", lambda x: x["_w"]), "\n").alias("text")]
+    if labels:
+        cols.append(F.array_join(F.transform("_p", lambda x: x["_l"]), "|").alias("labels"))
+    return g.select(*cols)
+
+
+@query
+def write_standard(spark, sf_dir):
+    """IO3: the corpus written as ``-DOCSTART-`` blocks; the records read back
+    raw (header split off), numbered in file order."""
+    path = scratch_path(spark, "standard")
+    FMT.write_standard(FX.sentences(spark, sf_dir), path)
+    rec = spark.read.option("lineSep", P.DOCSTART).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_mid")).filter(F.col("value") != "")
+    from ..operators.rank import global_rank
+    return global_rank(rec, ["_file", "_block", "_mid"], "doc_index").select("doc_index", F.col("value").alias("record"))
+
+
+@query
+def read_standard(spark, sf_dir):
+    """IO1 after IO3: write the gold corpus, read it back (labels collapsed)."""
+    path = scratch_path(spark, "standard")
+    FMT.write_standard(FX.sentences(spark, sf_dir), path)
+    return _doc_summary(FMT.read_standard(spark, path, reduce_to_one=True))
+
+
+@query
+def ingest_conll(spark, sf_dir):
+    """IO4: the gold corpus as CoNLL lines (B/I tags, CD for numbers), read back
+    with the CoNLL label rule (0/1/2)."""
+    path = scratch_path(spark, "conll")
+    FMT.write_conll(FX.sentences(spark, sf_dir), path)
+    return _doc_summary(FMT.ingest_conll(spark, path))
+
+
+@query
+def ingest_inline_tags(spark, sf_dir):
+    """IO5: the gold corpus as inline ``<ANON>`` markup, read back."""
+    path = scratch_path(spark, "inline")
+    FMT.write_inline_tags(T.collapse_labels(FX.sentences(spark, sf_dir), "labels"), path)
+    return _doc_summary(FMT.ingest_inline_tags(spark, path))
+
+
+@query
+def load_word_vectors(spark, sf_dir):
+    """IO6: a cased vector file (colliding words after lower-casing) loaded
+    lower-cased: last line wins, specials appended."""
+    path = scratch_path(spark, "vectors")
+    tok = FX.tokens(spark, sf_dir)
+    FMT.write_word_vectors(FX.word_vectors(spark, sf_dir, tok, fold_case=False), path)
+    v = FMT.load_word_vectors(spark, path)
+    return v.select("word", "line_no", _vsum("v").alias("v_sum"))
+
+
+@query
+def load_word_freq(spark, sf_dir):
+    """IO7: frequency file written and loaded back, with the total."""
+    path = scratch_path(spark, "freq")
+    FMT.write_word_freq(FX.word_freq(spark, sf_dir), path)
+    f, total = FMT.load_word_freq(spark, path)
+    return f.select("word", "n", total.alias("total"))
+
+
+@query
+def load_ngrams(spark, sf_dir):
+    """IO8: the trigram list written as ``count w1 w2 w3`` (ISO-8859-1) and
+    loaded back as a distinct set."""
+    path = scratch_path(spark, "ngrams")
+    FMT.write_ngrams(A.ngram_counts(FX.sentences(spark, sf_dir), 3, NGRAM_MIN_COUNT), path)
+    return FMT.load_ngrams(spark, path)
+
+
+@query
+def read_lines_corpus(spark, sf_dir):
+    """IO9 + A8: one document per ISO-8859-1 line, read back and anonymised."""
+    path = scratch_path(spark, "lines")
+    FMT.write_lines(corpora(spark, sf_dir), path)
+    d = FMT.read_lines_corpus(spark, path).withColumn("corpus", F.lit("lines"))
+    m = T.anonymize_documents(d.withColumnRenamed("doc_index", "doc_id"))
+    return m.select(F.col("doc_id").alias("doc_index"), "masked")
+
+
+@query
+def write_results(spark, sf_dir):
+    """IO11: the per-dataset result table written as CSV and read back."""
+    path = scratch_path(spark, "results")
+    res = QUERIES["prf_by_dataset"](spark, sf_dir)
+    FMT.write_results(res, path)
+    return FMT.read_results(spark, path, res.schema)
+
+
+@query
+def split_corpus(spark, sf_dir):
+    """IO13: documents split into 3 contiguous parts (last takes the rest),
+    written partitioned by part and read back."""
+    path = scratch_path(spark, "split")
+    FMT.write_split(FMT.split_corpus(corpora(spark, sf_dir), 3).drop("text"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.min("_rn").alias("first_id"),
+                                    F.max("_rn").alias("last_id"))

@@ -484,3 +484,84 @@ SELECT g.batch, coalesce(c.n_docs, 0) AS n_docs, c.first_id, c.last_id FROM
 ORACLE["parse_responses"] = with_base(KP) + """
 SELECT doc AS id, phrase FROM prd
 """
+
+# --- file formats -------------------------------------------------------------------------------
+
+DOCSUM = """
+sent_rows AS (
+  SELECT corpus, doc_id, sent_id, string_agg(word, ' ' ORDER BY pos) AS w,
+         string_agg(CAST(LBL AS VARCHAR), '' ORDER BY pos) AS l,
+         string_agg(word || ' ' || CAST(label AS VARCHAR), chr(10) ORDER BY pos) AS std
+  FROM SRC GROUP BY corpus, doc_id, sent_id),
+doc_rows AS (
+  SELECT row_number() OVER (ORDER BY corpus, doc_id) - 1 AS doc_index, * FROM (
+    SELECT corpus, doc_id, count(*) AS sentences, string_agg(w, chr(10) ORDER BY sent_id) AS text,
+           string_agg(l, '|' ORDER BY sent_id) AS labels,
+           string_agg(std, chr(10) || chr(10) ORDER BY sent_id) AS std
+    FROM sent_rows GROUP BY corpus, doc_id))
+"""
+
+
+def _docsum(src: str, lbl: str) -> str:
+    return DOCSUM.replace("SRC", src).replace("LBL", lbl)
+
+
+ORACLE["write_standard"] = with_base(_docsum("tok", "label")) + """
+SELECT CAST(doc_index AS BIGINT) AS doc_index, chr(10) || std || chr(10) || chr(10) AS record FROM doc_rows
+"""
+
+ORACLE["read_standard"] = with_base(_docsum("tok", "CASE WHEN label > 0 THEN 1 ELSE 0 END")) + """
+SELECT CAST(doc_index AS BIGINT) AS doc_index, CAST(sentences AS BIGINT) AS sentences, text, labels FROM doc_rows
+"""
+
+ORACLE["ingest_conll"] = with_base(_docsum("tok", "label")) + """
+SELECT CAST(doc_index AS BIGINT) AS doc_index, CAST(sentences AS BIGINT) AS sentences, text, labels FROM doc_rows
+"""
+
+ORACLE["ingest_inline_tags"] = with_base(_docsum("tokc", "label")) + """
+SELECT CAST(doc_index AS BIGINT) AS doc_index, CAST(sentences AS BIGINT) AS sentences, text, labels FROM doc_rows
+"""
+
+ORACLE["load_word_vectors"] = with_base("""
+ctypes AS (SELECT word, count(*) AS n FROM tok GROUP BY 1),
+cranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM ctypes),
+cvec AS (SELECT c.word, e.embedding AS v, c.r AS line_no FROM cranked c JOIN embeddings e ON e.vec_id = c.r),
+vdim AS (SELECT max(len(embedding)) AS dim FROM embeddings)
+""") + f"""
+SELECT lower(word) AS word, max(line_no) AS line_no, round({vsum('arg_max(v, line_no)')}, 6) AS v_sum
+FROM cvec GROUP BY lower(word)
+UNION ALL SELECT '<EOS>', NULL, CAST((SELECT dim FROM vdim) AS DOUBLE)
+UNION ALL SELECT '<UNK>', NULL, 0.0
+UNION ALL SELECT '<SOS>', NULL, -CAST((SELECT dim FROM vdim) AS DOUBLE)
+"""
+
+ORACLE["load_word_freq"] = with_base(VEC) + """
+SELECT word, n, CAST((SELECT sum(n) FROM freq) AS BIGINT) AS total FROM freq
+"""
+
+ORACLE["load_ngrams"] = with_base(ngram_ctes(3, 2)) + """
+SELECT g FROM common3
+"""
+
+ORACLE["read_lines_corpus"] = with_base("""
+sent_text AS (
+  SELECT corpus, doc_id, sent_id,
+         string_agg(CASE WHEN label <> 0 THEN '<ANON>' ELSE word END, ' ' ORDER BY pos) AS s
+  FROM tok GROUP BY corpus, doc_id, sent_id)
+""") + """
+SELECT CAST(row_number() OVER (ORDER BY c.corpus, c.doc_id) - 1 AS BIGINT) AS doc_index, coalesce(d.masked, '') AS masked
+FROM corpora c LEFT JOIN (
+  SELECT corpus, doc_id, string_agg(s, chr(10) ORDER BY sent_id) AS masked
+  FROM sent_text GROUP BY corpus, doc_id) d USING (corpus, doc_id)
+"""
+
+ORACLE["write_results"] = ORACLE["prf_by_dataset"]
+
+ORACLE["split_corpus"] = with_base("""
+num AS (SELECT row_number() OVER (ORDER BY corpus, doc_id) - 1 AS rn FROM corpora),
+tot AS (SELECT count(*) // 3 AS k FROM corpora)
+""") + """
+SELECT CAST(CASE WHEN k > 0 THEN least(rn // k, 2) ELSE 2 END AS INTEGER) AS part, count(*) AS n_docs,
+       min(rn) AS first_id, max(rn) AS last_id
+FROM num, tot GROUP BY 1
+"""
