@@ -17,6 +17,7 @@ from ..operators import annotate as A
 from ..operators import evaluate as E
 from ..operators import features as FEAT
 from ..operators import lookup as L
+from ..operators import models as M
 from ..operators import text as T
 from ..session import scratch_path
 from ..sources import formats as FMT
@@ -646,3 +647,131 @@ def split_corpus(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.min("_rn").alias("first_id"),
                                     F.max("_rn").alias("last_id"))
+
+
+# --- models (rows-only checks: fitted models have no SQL twin) ----------------------------------
+
+TRAIN_CORPORA = ("documents",)
+TEST_CORPORA = ("conversations", "benchmark")
+
+
+def _type_vectors(spark, sf_dir, tok, combined=True):
+    """Per folded type: word vector, or word vector followed by the subword
+    vector (the combined embedding of the original sweeps)."""
+    wv = FX.word_vectors(spark, sf_dir, tok).select("word", "v")
+    if not combined:
+        return wv
+    return L.combine_vectors([wv, _subword(spark, sf_dir, tok).select("word", "v")])
+
+
+def _model_data(spark, sf_dir, combined=True, train=TRAIN_CORPORA):
+    tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+    tv = _type_vectors(spark, sf_dir, tok, combined).checkpoint(eager=True)
+    rows = M.type_training_rows(tok.filter(F.col("corpus").isin(list(train))), tv).checkpoint(eager=True)
+    test = tok.filter(F.col("corpus").isin(list(TEST_CORPORA)))
+    feats = M.type_features(test, tv).checkpoint(eager=True)
+    return rows, test, feats
+
+
+@query
+def training_matrix(spark, sf_dir):
+    """F9 + E11: distinct-type training rows with balanced, count-scaled weights."""
+    rows, _, _ = _model_data(spark, sf_dir)
+    from pyspark.ml.functions import vector_to_array
+    return rows.select("word", "label", F.round("weight", 6).alias("weight"),
+                       F.size(vector_to_array("features")).alias("n_features"))
+
+
+def _clf_query(name, **params):
+    def run(spark, sf_dir):
+        rows, test, feats = _model_data(spark, sf_dir)
+        model = M.train_annotator(M.CLASSIFIERS[name](**params), rows)
+        return M.test_annotator(model, test, feats).select(F.lit(name).alias("clf"), "*")
+    return run
+
+
+for _qname, _clf, _params in [
+        ("clf_logreg", "LogisticRegression", {}), ("clf_linear_svc", "LinearSVC", {}),
+        ("clf_sgd", "SGDClassifier", {}), ("clf_gaussian_nb", "GaussianNB", {}),
+        ("clf_random_forest", "RandomForest", {"num_trees": 20, "max_depth": 10}),
+        ("clf_gbt", "GradientBoosting", {"max_iter": 20}), ("clf_adaboost", "AdaBoostClassifier", {"rounds": 20}),
+        ("clf_mixture", "GaussianMixture", {})]:
+    _fn = _clf_query(_clf, **_params)
+    _fn.__name__ = _qname
+    _fn.__doc__ = f"M: {_clf} trained on the documents corpus, P/R/F1 on the held-out corpora."
+    QUERIES[_qname] = _fn
+
+
+@query
+def test_annotator(spark, sf_dir):
+    """M0 + M1: train (logistic regression) and test per held-out corpus."""
+    return QUERIES["clf_logreg"](spark, sf_dir)
+
+
+@query
+def annotate_model(spark, sf_dir):
+    """A fitted classifier labels every held-out token."""
+    rows, test, feats = _model_data(spark, sf_dir)
+    model = M.train_annotator(M.clf_logreg(), rows)
+    p = M.annotate_model(test, model, feats)
+    return p.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred")
+
+
+@query
+def model_io(spark, sf_dir):
+    """IO12: save a fitted model to the shared folder, load it, and count the
+    predictions that differ from the in-memory model (expected 0)."""
+    rows, test, feats = _model_data(spark, sf_dir)
+    model = M.train_annotator(M.clf_logreg(), rows)
+    path = scratch_path(spark, "model")
+    M.save_model(model, path)
+    again = M.load_model(path)
+    a = model.transform(feats).select("word", F.col("prediction").alias("a"))
+    b = again.transform(feats).select("word", F.col("prediction").alias("b"))
+    return a.join(b, "word").agg(F.count(F.lit(1)).alias("words"),
+                                 F.sum((F.col("a") != F.col("b")).cast("int")).cast("long").alias("differing"))
+
+
+def _wide(long_res, config):
+    return long_res.groupBy(*config).pivot("corpus", list(TEST_CORPORA)).agg(
+        F.first("precision").alias("precision"), F.first("recall").alias("recall"), F.first("f1").alias("f1"),
+        F.first("train_time").alias("train_time"))
+
+
+@query
+def sweep_models(spark, sf_dir):
+    """V1: embedding (word / word+subword) x classifier grid, one wide row
+    per configuration."""
+    data = {c: _model_data(spark, sf_dir, combined=c) for c in (False, True)}
+    configs = [{"clf": clf, "combined": comb} for comb in (False, True)
+               for clf in ("LogisticRegression", "LinearSVC", "GaussianNB", "RandomForest")]
+    res = M.sweep(configs, lambda c: data[c["combined"]][0], lambda c: data[c["combined"]][1],
+                  lambda c: data[c["combined"]][2])
+    return _wide(res, ["clf", "combined"])
+
+
+@query
+def sweep_forest(spark, sf_dir):
+    """V2: forest depth x number of trees (grid {5, 10, 15} x {10, 50})."""
+    rows, test, feats = _model_data(spark, sf_dir)
+    configs = [{"clf": "RandomForest", "params": {"max_depth": d, "num_trees": n}}
+               for d in (5, 10, 15) for n in (10, 50)]
+    res = M.sweep(configs, lambda c: rows, lambda c: test, lambda c: feats)
+    return _wide(res, ["clf", "max_depth", "num_trees"])
+
+
+@query
+def sweep_train_sets(spark, sf_dir):
+    """V3: train-set combinations (documents, conversations, both) evaluated
+    on every corpus with logistic regression."""
+    tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+    tv = _type_vectors(spark, sf_dir, tok).checkpoint(eager=True)
+    feats = M.type_features(tok, tv).checkpoint(eager=True)
+    combos = {"documents": ["documents"], "conversations": ["conversations"],
+              "documents+conversations": ["documents", "conversations"]}
+    rows = {k: M.type_training_rows(tok.filter(F.col("corpus").isin(v)), tv).checkpoint(eager=True)
+            for k, v in combos.items()}
+    configs = [{"clf": "LogisticRegression", "train_set": k} for k in combos]
+    res = M.sweep(configs, lambda c: rows[c["train_set"]], lambda c: tok, lambda c: feats)
+    return res.groupBy("clf", "train_set").pivot("corpus", ["documents", "conversations", "benchmark"]).agg(
+        F.first("f1").alias("f1"))
