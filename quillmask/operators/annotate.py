@@ -85,3 +85,27 @@ def project_spans(sent: DataFrame, spans: DataFrame, keys=SENT_KEYS, text: str =
 def annotate_spans(sent: DataFrame, pattern: str, out: str = "preds", text: str = "sent") -> DataFrame:
     """A4+A5 without the span table: the row-local form of the same rule."""
     return sent.withColumn(out, F.transform(TX.span_flags(F.col(text), pattern), lambda f: f.cast("int")))
+
+
+def score_batches(sent: DataFrame, predict_fn, keys=SENT_KEYS, words: str = "words", out: str = "ptrs",
+                  max_pointers: int = 21) -> DataFrame:
+    """Score whole sentences in Arrow batches with a user sequence
+    annotator ``predict_fn(list[str]) -> iterable[int]`` (positions to mask).
+    Like the pointer decoder, at most ``max_pointers`` positions are kept,
+    de-duplicated and sorted; the result feeds ``pointers_to_mask`` (T12).
+    Anything ``predict_fn`` needs (model weights) is captured once per task."""
+    from pyspark.sql import types as ST
+    schema = sent.select(*keys, words).schema.add(out, ST.ArrayType(ST.IntegerType()))
+
+    def run(batches):
+        for pdf in batches:
+            pdf[out] = [sorted(set(list(predict_fn(list(ws)))[:max_pointers])) for ws in pdf[words]]
+            yield pdf
+    # the sentence rows pass through the Python worker unchanged, so no join back
+    return sent.select(*keys, words).mapInPandas(run, schema)
+
+
+def digit_or_mail_positions(words):
+    """A small position annotator for tests and the registered query: words
+    holding a digit or an ``@``, in order."""
+    return [i for i, w in enumerate(words) if "@" in w or any(c.isdigit() for c in w)]

@@ -775,3 +775,26 @@ def sweep_train_sets(spark, sf_dir):
     res = M.sweep(configs, lambda c: rows[c["train_set"]], lambda c: tok, lambda c: feats)
     return res.groupBy("clf", "train_set").pivot("corpus", ["documents", "conversations", "benchmark"]).agg(
         F.first("f1").alias("f1"))
+
+
+# --- streaming and batch scoring ---------------------------------------------------------------------
+
+@query
+def stream_anonymize(spark, sf_dir):
+    """The three text tables read as a file stream, anonymised row-locally
+    per micro-batch into a parquet sink; the sink is returned (equals the
+    batch flagship)."""
+    from ..streaming.anonymize import anonymize_stream, document_stream, run_to_sink
+    sink = run_to_sink(spark, anonymize_stream(document_stream(spark, sf_dir)))
+    return spark.read.parquet(sink)
+
+
+@query
+def score_batches(spark, sf_dir):
+    """A9 + T12: sentences scored in Arrow batches by a position annotator
+    (digits or '@', at most 21 pointers per sentence) and turned into masks."""
+    s = FX.sentences(spark, sf_dir)
+    p = A.score_batches(s, A.digit_or_mail_positions)
+    m = T.pointers_to_mask(p, "ptrs", "words", "preds")
+    t = T.explode_tokens(m, arrays=("words", "preds"), names=("word", "pred"))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")

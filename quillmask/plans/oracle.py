@@ -565,3 +565,15 @@ SELECT CAST(CASE WHEN k > 0 THEN least(rn // k, 2) ELSE 2 END AS INTEGER) AS par
        min(rn) AS first_id, max(rn) AS last_id
 FROM num, tot GROUP BY 1
 """
+
+ORACLE["stream_anonymize"] = ORACLE["anonymize_text"]
+
+ORACLE["score_batches"] = with_base("""
+cand AS (
+  SELECT corpus, doc_id, sent_id, pos,
+         row_number() OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos) AS k
+  FROM tok WHERE regexp_matches(word, '[0-9@]'))
+""") + """
+SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
+FROM tok t LEFT JOIN (SELECT * FROM cand WHERE k <= 21) c USING (corpus, doc_id, sent_id, pos)
+"""
