@@ -798,3 +798,32 @@ def score_batches(spark, sf_dir):
     m = T.pointers_to_mask(p, "ptrs", "words", "preds")
     t = T.explode_tokens(m, arrays=("words", "preds"), names=("word", "pred"))
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")
+
+
+@query
+def union_corpora(spark, sf_dir):
+    """IO2: the three text tables as one corpus table, summarised per corpus."""
+    c = corpora(spark, sf_dir)
+    return c.groupBy("corpus").agg(F.count(F.lit(1)).alias("documents"),
+                                   F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query
+def span_token_join(spark, sf_dir):
+    """The keyed interval join of A5 (gold spans onto tokens)."""
+    s = FX.sentences(spark, sf_dir)
+    p = A.project_spans(s, A.detect_spans(s, P.GOLD))
+    t = T.explode_tokens(p, arrays=("words", "preds"), names=("word", "pred"))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")
+
+
+@query
+def train_annotator(spark, sf_dir):
+    """M0: fit a balanced logistic regression on the training corpus; the
+    fitted coefficients summarised."""
+    rows, _, _ = _model_data(spark, sf_dir)
+    lr = M.train_annotator(M.clf_logreg(), rows).stages[-1]
+    coef = lr.coefficients.toArray().tolist()
+    return rows.sparkSession.createDataFrame(
+        [(len(coef), float(lr.intercept), float(sum(abs(c) for c in coef)), int(rows.count()))],
+        "n_coefficients int, intercept double, l1_norm double, training_rows long")

@@ -577,3 +577,12 @@ cand AS (
 SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
 FROM tok t LEFT JOIN (SELECT * FROM cand WHERE k <= 21) c USING (corpus, doc_id, sent_id, pos)
 """
+
+ORACLE["union_corpora"] = with_base() + """
+SELECT corpus, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM corpora GROUP BY corpus
+"""
+
+ORACLE["span_token_join"] = with_base() + """
+SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(h.pos IS NOT NULL AS INTEGER) AS pred
+FROM tokoff t LEFT JOIN hits h USING (corpus, doc_id, sent_id, pos)
+"""
