@@ -29,9 +29,11 @@ def weighted_sentence_vec(tok: DataFrame, vec: DataFrame, freq: DataFrame, a: fl
     counts, the per-type weight and vector are computed once per distinct type
     (a much smaller join), joined to the counts, and each sentence's weighted
     vectors are summed inside the sentence group."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     dim = vector_dim(vec)
     counts = tok.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("_c"))
-    types = counts.select(word).distinct()
+    lens = counts.groupBy(*keys).agg(F.sum("_c").alias("n_tokens"))
     fk = F.lower(word) if freq_fold_case else F.col(word)
     vk = F.lower(word) if fold_case else F.col(word)
     f = freq.select(F.col("word").alias("_fk"), F.col("n").alias("_n"))
@@ -39,16 +41,20 @@ def weighted_sentence_vec(tok: DataFrame, vec: DataFrame, freq: DataFrame, a: fl
     fn = F.coalesce(F.col("_n"), F.lit(1)).cast("double")
     if relative:
         fn = fn / freq.select(F.sum("n").cast("double")).scalar()
-    per_type = (types.withColumn("_fk", fk).withColumn("_vk", vk)
-                .join(f, "_fk", "left").join(v, "_vk", "left")
+    # only words with a vector add to the sum (<UNK> is zeros): the weight and
+    # vector are computed once per such type, then joined to the counts
+    per_type = (counts.select(word).distinct().withColumn("_vk", vk).join(v, "_vk")
+                .withColumn("_fk", fk).join(f, "_fk", "left")
                 .select(word, (F.lit(100.0 * a) / (F.lit(a) + fn)).alias("_w"),
-                        F.coalesce("_v", zeros(dim)).alias("_v")))
+                        array_to_vector(F.transform("_v", lambda x: x.cast("double"))).alias("_f")))
     j = counts.join(per_type, word)
-    g = j.groupBy(*keys).agg(F.collect_list(_scale(F.col("_v"), F.col("_w") * F.col("_c"))).alias("_vs"),
-                             F.sum("_c").alias("n_tokens"))
-    start = F.transform(F.element_at("_vs", 1), lambda x: F.lit(0.0))  # groups are never empty
-    total = F.aggregate("_vs", start, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
-    return g.select(*keys, "n_tokens", F.transform(total, lambda x: x / F.col("n_tokens")).alias("sv"))
+    # weighted vector sum per sentence: MLlib's Summarizer is a JVM aggregate
+    # with map-side partial sums (the weight multiplies each row's vector)
+    sums = j.groupBy(*keys).agg(Summarizer.sum(F.col("_f"), F.col("_w") * F.col("_c")).alias("_s")) \
+        .select(*keys, vector_to_array("_s").alias("_s"))
+    out = lens.join(sums, list(keys), "left")
+    sv = F.coalesce(F.transform("_s", lambda x: x / F.col("n_tokens")), zeros(dim, "double"))
+    return out.select(*keys, "n_tokens", sv.alias("sv"))
 
 
 def remove_first_direction(sentvec: DataFrame, doc_keys=("corpus", "doc_id"), sent_key: str = "sent_id",

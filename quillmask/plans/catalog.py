@@ -99,7 +99,7 @@ def collapse_labels(spark, sf_dir):
 @query
 def lowercase_tokens(spark, sf_dir):
     """Folded type frequencies over all tokens."""
-    t = T.lowercase_tokens(FX.tokens(spark, sf_dir), "word", on=True)
+    t = T.lowercase_tokens(FX.words(spark, sf_dir), "word", on=True)
     return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -270,7 +270,7 @@ def _vsum(v):
 @query
 def lookup_vectors(spark, sf_dir):
     """Every token's vector (lower-cased lookup, <UNK> zeros), summarised."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     t = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir, tok))
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), _vsum("v").alias("v_sum"))
 
@@ -278,14 +278,14 @@ def lookup_vectors(spark, sf_dir):
 @query
 def lookup_freq(spark, sf_dir):
     """Every token's frequency (case-sensitive, missing = 1)."""
-    t = L.lookup_freq(FX.tokens(spark, sf_dir), FX.word_freq(spark, sf_dir))
+    t = L.lookup_freq(FX.words(spark, sf_dir), FX.word_freq(spark, sf_dir))
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "f")
 
 
 @query
 def oov_tokens(spark, sf_dir):
     """Types without a vector and their token counts."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     return L.oov_tokens(tok, FX.word_vectors(spark, sf_dir, tok))
 
 
@@ -297,14 +297,14 @@ def _subword(spark, sf_dir, tok):
 @query
 def subword_vectors(spark, sf_dir):
     """word vector = sum of its character-trigram piece vectors."""
-    s = _subword(spark, sf_dir, FX.tokens(spark, sf_dir))
+    s = _subword(spark, sf_dir, FX.words(spark, sf_dir))
     return s.select("word", "n_pieces", _vsum("v").alias("v_sum"))
 
 
 @query
 def combine_vectors(spark, sf_dir):
     """word vectors followed by subword vectors (zeros where missing)."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     c = L.combine_vectors([FX.word_vectors(spark, sf_dir, tok), _subword(spark, sf_dir, tok)])
     return c.select("word", F.size("v").cast("long").alias("dim"), _vsum("v").alias("v_sum"))
 
@@ -313,7 +313,7 @@ def combine_vectors(spark, sf_dir):
 def dedupe_vectors(spark, sf_dir):
     """a cased vector table folded to one vector per lower-cased word, last
     line wins."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     d = L.dedupe_vectors(FX.word_vectors(spark, sf_dir, tok, fold_case=False))
     return d.select("word", "line_no", _vsum("v").alias("v_sum"))
 
@@ -321,14 +321,14 @@ def dedupe_vectors(spark, sf_dir):
 @query
 def build_vocabulary(spark, sf_dir):
     """ids by first occurrence, then <EOS>, <UNK>, <SOS>."""
-    return L.build_vocabulary(FX.tokens(spark, sf_dir))
+    return L.build_vocabulary(FX.words(spark, sf_dir))
 
 
 @query
 def vocabulary_vectors(spark, sf_dir):
     """F3 + F5 + J1: every vocabulary entry with its vector; the specials get
     ones, zeros and minus ones of the table's width."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     vec = FX.word_vectors(spark, sf_dir, tok).select("word", "v")
     vocab = L.build_vocabulary(tok)
     sv = L.special_vectors(spark, L.vector_dim(vec))
@@ -340,7 +340,7 @@ def vocabulary_vectors(spark, sf_dir):
 @query
 def encode_ids(spark, sf_dir):
     """Sentence -> vocabulary ids with <EOS> appended."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     e = T.encode_ids(FX.sentences(spark, sf_dir), L.build_vocabulary(tok))
     return e.select("corpus", "doc_id", *_long("sent_id"), F.array_join("ids", " ").alias("ids"))
 
@@ -348,7 +348,7 @@ def encode_ids(spark, sf_dir):
 @query
 def decode_ids(spark, sf_dir):
     """Ids back to (lower-cased) words, the <EOS> included."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     vocab = L.build_vocabulary(tok)
     e = T.encode_ids(FX.sentences(spark, sf_dir), vocab)
     ids = e.select("corpus", "doc_id", "sent_id", F.posexplode("ids").alias("pos", "id"))
@@ -357,7 +357,7 @@ def decode_ids(spark, sf_dir):
 
 
 def _sentence_vectors(spark, sf_dir, a=1e-3, relative=True):
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     return FEAT.weighted_sentence_vec(tok, FX.word_vectors(spark, sf_dir, tok), FX.word_freq(spark, sf_dir),
                                       a=a, relative=relative)
 
@@ -383,7 +383,7 @@ def remove_first_direction(spark, sf_dir):
 def token_features(spark, sf_dir):
     """F8: word vector followed by the sentence vector, per token."""
     tok = FX.tokens(spark, sf_dir)
-    tv = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir, tok))
+    tv = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir))
     sv = FEAT.remove_first_direction(_sentence_vectors(spark, sf_dir))
     f = FEAT.token_features(tv, sv)
     return f.select("corpus", "doc_id", *_long("sent_id", "pos"), "label",
@@ -394,7 +394,7 @@ def token_features(spark, sf_dir):
 def project_2d(spark, sf_dir):
     """PCA to 2-D of the distinct (word, annotated) vectors."""
     tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
-    vec = FX.word_vectors(spark, sf_dir, tok)
+    vec = FX.word_vectors(spark, sf_dir)
     tv = L.lookup_vectors(tok.select(F.lower("word").alias("word"), F.col("label").alias("annotated")).distinct(), vec)
     p = FEAT.project_2d(tv)
     return p.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "word", "annotated")
@@ -405,7 +405,7 @@ def project_2d(spark, sf_dir):
 @query
 def find_placeholders(spark, sf_dir):
     """Placeholder tokens injected into the token table, counted per kind."""
-    return T.find_placeholders(FX.placeholder_tokens(FX.tokens(spark, sf_dir)))
+    return T.find_placeholders(FX.placeholder_tokens(FX.words(spark, sf_dir)))
 
 
 @query
@@ -458,13 +458,13 @@ def _masked_tokens(tok):
 @query
 def lexicon_sentiment(spark, sf_dir):
     """Lexicon polarity / subjectivity of every document."""
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     return E.lexicon_sentiment(tok, FX.lexicon(tok)).drop("pol_c", "sub_c")
 
 
 def _doc_scores(spark, sf_dir):
     tok = FX.tokens(spark, sf_dir)
-    lx = FX.lexicon(tok)
+    lx = FX.lexicon(FX.words(spark, sf_dir))
     docs = tok.filter(F.col("corpus") == "documents")
     pure = E.lexicon_sentiment(docs, lx, by=["doc_id"])
     anon = E.lexicon_sentiment(_masked_tokens(docs), lx, by=["doc_id"])
@@ -595,7 +595,7 @@ def load_word_vectors(spark, sf_dir):
     """IO6: a cased vector file (colliding words after lower-casing) loaded
     lower-cased: last line wins, specials appended."""
     path = scratch_path(spark, "vectors")
-    tok = FX.tokens(spark, sf_dir)
+    tok = FX.words(spark, sf_dir)
     FMT.write_word_vectors(FX.word_vectors(spark, sf_dir, tok, fold_case=False), path)
     v = FMT.load_word_vectors(spark, path)
     return v.select("word", "line_no", _vsum("v").alias("v_sum"))
@@ -666,7 +666,7 @@ def _type_vectors(spark, sf_dir, tok, combined=True):
 
 def _model_data(spark, sf_dir, combined=True, train=TRAIN_CORPORA):
     tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
-    tv = _type_vectors(spark, sf_dir, tok, combined).checkpoint(eager=True)
+    tv = _type_vectors(spark, sf_dir, FX.words(spark, sf_dir), combined).checkpoint(eager=True)
     rows = M.type_training_rows(tok.filter(F.col("corpus").isin(list(train))), tv).checkpoint(eager=True)
     test = tok.filter(F.col("corpus").isin(list(TEST_CORPORA)))
     feats = M.type_features(test, tv).checkpoint(eager=True)
@@ -765,7 +765,7 @@ def sweep_train_sets(spark, sf_dir):
     """V3: train-set combinations (documents, conversations, both) evaluated
     on every corpus with logistic regression."""
     tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
-    tv = _type_vectors(spark, sf_dir, tok).checkpoint(eager=True)
+    tv = _type_vectors(spark, sf_dir, FX.words(spark, sf_dir)).checkpoint(eager=True)
     feats = M.type_features(tok, tv).checkpoint(eager=True)
     combos = {"documents": ["documents"], "conversations": ["conversations"],
               "documents+conversations": ["documents", "conversations"]}

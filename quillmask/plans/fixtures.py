@@ -24,6 +24,12 @@ def tokens(spark: SparkSession, sf_dir: str, which=("documents", "conversations"
     return T.explode_tokens(sentences(spark, sf_dir, which))
 
 
+def words(spark: SparkSession, sf_dir: str, which=("documents", "conversations", "benchmark")) -> DataFrame:
+    """``(corpus, doc_id, sent_id, pos, word)`` without labels: the span rules
+    are not evaluated at all (a zipped label array could not be pruned)."""
+    return T.explode_tokens(sentences(spark, sf_dir, which), arrays=("words",), names=("word",))
+
+
 def placeholder_tokens(tok: DataFrame) -> DataFrame:
     """Inject the four placeholders: every token at ``pos % 97 = 3`` becomes
     ``&YEAR/&EMAIL/&DATE/&TIME`` by ``sent_id % 4`` (FIXTURES.md §C)."""
@@ -49,7 +55,7 @@ def word_vectors(spark, sf_dir, tok: DataFrame | None = None, fold_case: bool =
     """``vec(word, v, line_no)``: types ranked by (count desc, word asc); rank
     r gets the embedding ``vec_id = r`` (FIXTURES.md §C)."""
     from ..operators import lookup as L
-    tok = tokens(spark, sf_dir) if tok is None else tok
+    tok = words(spark, sf_dir) if tok is None else tok
     ranked = L.rank_types(L.type_counts(tok, fold_case=fold_case))
     return L.vectors_by_rank(ranked, embeddings(spark, sf_dir))
 
@@ -58,7 +64,7 @@ def word_freq(spark, sf_dir) -> DataFrame:
     """``freq(word, n)``: lower-cased type counts over benchmark and
     conversations (so some document words are missing)."""
     from ..operators import lookup as L
-    return L.type_counts(tokens(spark, sf_dir, ("conversations", "benchmark")), fold_case=True)
+    return L.type_counts(words(spark, sf_dir, ("conversations", "benchmark")), fold_case=True)
 
 
 def word_pieces(tok: DataFrame) -> DataFrame:
