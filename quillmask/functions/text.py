@@ -32,18 +32,19 @@ def raw_token_bounds(sent: Column) -> Column:
     return match_bounds(sent, P.TOKEN)
 
 
-def span_flags(sent: Column, pattern: str = P.GOLD) -> Column:
+def span_flags(sent: Column, pattern: str = P.GOLD, n_tokens: Column | None = None) -> Column:
     """A boolean per token: does it overlap a match of ``pattern`` on the raw
-    sentence?  Sentences without any match skip the offset work entirely."""
-    n_tok = F.size(F.regexp_extract_all(sent, F.lit(P.TOKEN), 0))
+    sentence?  Sentences without any match skip the offset work entirely (and
+    reuse the token count when the caller has it)."""
+    n_tok = n_tokens if n_tokens is not None else F.size(F.regexp_extract_all(sent, F.lit(P.TOKEN), 0))
     return (F.when(~F.regexp_like(sent, F.lit(pattern)), F.array_repeat(F.lit(False), n_tok))
              .otherwise(overlap_flags(raw_token_bounds(sent), match_bounds(sent, pattern))))
 
 
-def gold_labels(sent: Column, pattern: str = P.GOLD) -> Column:
+def gold_labels(sent: Column, pattern: str = P.GOLD, n_tokens: Column | None = None) -> Column:
     """Gold 0/1/2 labels of FIXTURES.md: rule spans projected to tokens, a run
     of flagged tokens is 1 (first) then 2 (inner)."""
-    return bio_from_flags(span_flags(sent, pattern))
+    return bio_from_flags(span_flags(sent, pattern, n_tokens))
 
 
 def collapse(labels: Column) -> Column:

@@ -84,7 +84,8 @@ def project_spans(sent: DataFrame, spans: DataFrame, keys=SENT_KEYS, text: str =
 
 def annotate_spans(sent: DataFrame, pattern: str, out: str = "preds", text: str = "sent") -> DataFrame:
     """A4+A5 without the span table: the row-local form of the same rule."""
-    return sent.withColumn(out, F.transform(TX.span_flags(F.col(text), pattern), lambda f: f.cast("int")))
+    n = F.size("words") if "words" in sent.columns else None
+    return sent.withColumn(out, F.transform(TX.span_flags(F.col(text), pattern, n), lambda f: f.cast("int")))
 
 
 def score_batches(sent: DataFrame, predict_fn, keys=SENT_KEYS, words: str = "words", out: str = "ptrs",

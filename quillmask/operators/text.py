@@ -31,9 +31,11 @@ def tokenize(sents: DataFrame, sent: str = "sent", keep_empty: bool = False) ->
     return out.withColumn("labels", F.array_repeat(F.lit(0), F.size("words")))
 
 
-def label_with_rules(sents: DataFrame, sent: str = "sent", pattern: str = P.GOLD, out: str = "labels") -> DataFrame:
+def label_with_rules(sents: DataFrame, sent: str = "sent", pattern: str = P.GOLD, out: str = "labels",
+                     words: str | None = "words") -> DataFrame:
     """Gold 0/1/2 labels from rule spans on the raw sentence (row-local)."""
-    return sents.withColumn(out, TX.gold_labels(F.col(sent), pattern))
+    n = F.size(words) if words and words in sents.columns else None
+    return sents.withColumn(out, TX.gold_labels(F.col(sent), pattern, n))
 
 
 def explode_tokens(sent: DataFrame, keys=SENT_KEYS, arrays=("words", "labels"),
@@ -112,11 +114,12 @@ def anonymize_documents(docs: DataFrame, text: str = "text", keys=("corpus", "do
     """A8 in one map stage: text -> sentences -> tokens -> rule labels ->
     masked text, all inside the document row.  No shuffle at any size; a
     document is split, labelled and rendered by the task that read it."""
-    per_sent = F.transform(TX.sentence_pieces(F.col(text)),
-                           lambda s: F.struct(TX.words_of(s).alias("w"), TX.gold_labels(s, pattern).alias("l")))
-    staged = docs.select(*keys, per_sent.alias("_s"))
-    kept = F.filter("_s", lambda x: F.size(x["w"]) > 0)
-    return staged.select(*keys, F.array_join(F.transform(kept, lambda x: TX.render_sentence(x["w"], x["l"], token)),
+    pieces = F.transform(TX.sentence_pieces(F.col(text)), lambda s: F.struct(s.alias("s"), TX.words_of(s).alias("w")))
+    staged = docs.select(*keys, F.filter(pieces, lambda x: F.size(x["w"]) > 0).alias("_s"))
+    labelled = F.transform("_s", lambda x: F.struct(
+        x["w"].alias("w"), TX.gold_labels(x["s"], pattern, F.size(x["w"])).alias("l")))
+    staged = staged.select(*keys, labelled.alias("_s"))
+    return staged.select(*keys, F.array_join(F.transform("_s", lambda x: TX.render_sentence(x["w"], x["l"], token)),
                                              "\n").alias(out))
 
 
