@@ -26,7 +26,8 @@ def ngram_windows(sent: DataFrame, n: int, keys=SENT_KEYS, case_sensitive: bool
 
     def windows(lw):
         seq = F.sequence(F.lit(0), F.size(lw) - n)
-        g = F.transform(seq, lambda i: F.array_join(F.slice(lw, i + 1, n), " "))
+        # n is known when the plan is built: join n element reads, no slice array per window
+        g = F.transform(seq, lambda i: F.concat_ws(" ", *[lw[i + k] for k in range(n)]))
         return F.when(F.size(lw) >= n, g).otherwise(F.array().cast("array<string>"))
     return sent.select(*keys, F.posexplode(let(w, windows)).alias("pos", "g"))
 
