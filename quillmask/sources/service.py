@@ -43,8 +43,11 @@ def request_batches(docs: DataFrame, text: str = "text", order=("corpus", "doc_i
 
 def write_request_batches(batches: DataFrame, path: str) -> None:
     """One folder per batch (``batch=<i>``); inside, the documents of the batch
-    as JSON lines in id order — the streaming form of one request body."""
-    batches.repartition("batch").sortWithinPartitions("batch", "id") \
+    as JSON lines — the streaming form of one request body.  Rows are
+    range-partitioned on the document id, so every task writes one contiguous
+    id range (a batch is a tenth of the corpus and is never one task's
+    work); part files of a batch folder follow id order."""
+    batches.repartitionByRange("id").sortWithinPartitions("id") \
         .select("batch", "payload").write.mode("overwrite").partitionBy("batch").text(path)
 
 
