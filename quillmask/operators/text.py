@@ -197,3 +197,9 @@ def pseudonymize(tok: DataFrame, seed: int = 0, word: str = "word", label: str =
             .when(w == "&TIME", time).otherwise(w))
     hit = w.isin(P.PLACEHOLDER_TOKENS)
     return tok.withColumn(label, F.when(hit, F.lit(1)).otherwise(F.col(label))).withColumn(word, new)
+
+
+def in_document_order(df: DataFrame, keys=("corpus", "doc_id", "sent_id", "pos")) -> DataFrame:
+    """The stored document order for any renderer or writer — a global
+    sort on the keys present (range-partitioned, not one task)."""
+    return df.orderBy(*[k for k in keys if k in df.columns])
