@@ -29,6 +29,7 @@ SENTS = [
     "",
     "....",
     "a1b2c3 1 2 3 , 4",
+    "token abcdefabcdefabcd has no digit, abcdefabcdefabc is too short",
 ]
 
 
@@ -40,6 +41,12 @@ def test_words_and_labels_match_brute_force(spark):
         assert r.g == _brute_labels(r.sent)
 
 
+def test_hex_secret_without_digits_is_flagged(spark):
+    df = spark.createDataFrame([(SENTS[-1],)], "sent string")
+    g = df.select(TX.gold_labels(F.col("sent")).alias("g")).first().g
+    assert g[1] == 1 and sum(g) == 1
+
+
 def test_gold_labels_random_text(spark):
     rnd = random.Random(7)
     alphabet = "ab9 .,@x-f0"
