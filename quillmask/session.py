@@ -1,13 +1,17 @@
-"""Session helpers: a local session for tests/bench, and the shared scratch
-folder (``spark.checkpoint.dir``) for lineage cuts and round-trip files."""
+"""Session helpers: a local session for tests/bench, the shared scratch
+folder (``spark.checkpoint.dir``) for lineage cuts and round-trip files, and
+shipping of this package to the executors."""
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quillmask") -> SparkSession:
     """Session for tests and the bench.  On a cluster, use the cluster's own
@@ -22,7 +26,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quill
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,12 +35,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quill
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set one under /tmp only when the
-    session has none (local tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder the session names.  Only a local master
+    may fall back to a temporary folder (tests, bench); on a cluster that
+    folder would be a different one on every machine, so it is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quillmask-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,3 +54,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors (once per context): the
+    functions that run inside tasks are pickled by module name, and the
+    repository may be on the driver's ``sys.path`` only."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmask_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="quillmask-ship-"), "quillmask_pkg.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(PACKAGE_DIR):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE_DIR)))
+    sc.addPyFile(target)
+    sc._quillmask_shipped = True
