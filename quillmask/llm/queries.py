@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, linededup
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,50 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.fold("doc_id") == 0, F.lit(False)))
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score", "rate")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with lines cut that repeat an earlier line, equal or within
+    one edit."""
+    docs = table(spark, sf_dir, "documents")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_equal", "n_near")
+
+
+LLM_ORACLE["op4_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, line_no, line, lower(trim(line)) AS norm
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS nth FROM lines WHERE norm <> ''),
+firsts AS (
+  SELECT norm, length(norm) AS n, doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS at
+  FROM ranked WHERE nth = 1 AND length(norm) >= 20),
+sized AS (SELECT *, unnest([n, n - 1]) AS m FROM firsts),
+met AS (
+  SELECT DISTINCT a.norm, b.norm AS earlier, a.n, b.n AS nb
+  FROM sized a JOIN sized b ON a.m = b.m AND left(a.norm, a.m // 2) = left(b.norm, b.m // 2) AND b.at < a.at
+  UNION
+  SELECT DISTINCT a.norm, b.norm, a.n, b.n
+  FROM sized a JOIN sized b ON a.m = b.m AND right(a.norm, a.m - a.m // 2) = right(b.norm, b.m - b.m // 2) AND b.at < a.at),
+spelled AS (
+  SELECT norm, greatest(n, nb) AS most, string_split(norm, '') AS x, string_split(earlier, '') AS y FROM met),
+agreeing AS (
+  SELECT norm, most,
+         list_position(list_transform(list_zip(x, y), lambda p: coalesce(p[1] = p[2], false)), false) - 1 AS head,
+         list_position(list_transform(list_zip(list_reverse(x), list_reverse(y)), lambda p: coalesce(p[1] = p[2], false)), false) - 1 AS tail
+  FROM spelled),
+near AS (SELECT DISTINCT norm FROM agreeing WHERE head + tail >= most - 1),
+judged AS (
+  SELECT l.doc_id, l.line_no, l.line,
+         coalesce(r.nth > 1, false) AS eq, r.nth = 1 AND near.norm IS NOT NULL AS nr
+  FROM lines l LEFT JOIN ranked r USING (doc_id, line_no) LEFT JOIN near ON near.norm = l.norm)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text,
+       CAST(coalesce(j.n_lines, 0) AS INTEGER) AS n_lines,
+       CAST(coalesce(j.n_equal, 0) AS INTEGER) AS n_equal, CAST(coalesce(j.n_near, 0) AS INTEGER) AS n_near
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT coalesce(eq, false) AND NOT coalesce(nr, false)) AS text,
+         count(*) AS n_lines, count(*) FILTER (WHERE eq) AS n_equal, count(*) FILTER (WHERE nr) AS n_near
+  FROM judged GROUP BY doc_id) j USING (doc_id)
+"""
