@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup
+from . import langid, linededup, minhash, mixing
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,18 @@ FROM documents d LEFT JOIN (
          count(*) AS n_lines, count(*) FILTER (WHERE eq) AS n_equal, count(*) FILTER (WHERE nr) AS n_near
   FROM judged GROUP BY doc_id) j USING (doc_id)
 """
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "class_id", "class_size", (F.col("rk") == F.col("lead")).alias("kept"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of all sources at tempered weights: a row per reading of a
+    document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "mix_pass", "mix_block", "mix_order", "mix_tokens", "mix_weight")
