@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, minhash, mixing
+from . import langid, linededup, minhash, mixing, packing
 from .common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     document."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "mix_pass", "mix_block", "mix_order", "mix_tokens", "mix_weight")
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens from all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
