@@ -236,7 +236,7 @@ class SmallPlan:
                     if not runs[rest]:
                         bisect.insort(open_, rest)
                     runs[rest].append((of, first, take))
-        self.key, self.of, self.first = (np.array(v, dtype=np.int64) for v in zip(*moves)) if moves else (np.zeros(0, np.int64),) * 3
+        self.key, self.of, self.first = (np.array(v, dtype=np.int64) for v in zip(*sorted(moves))) if moves else (np.zeros(0, np.int64),) * 3
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Room class and rank in it of the sequence of each piece."""
