@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, minhash, mixing, packing, warc
+from . import langid, linecrf, linededup, minhash, mixing, packing, warc
 from ..session import scratch_path
 from .common import table
 
@@ -114,3 +114,13 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
 FROM q
 """
+
+
+@query
+def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; the field is trained on a
+    bounded sample of the documents with a quality label."""
+    docs = table(spark, sf_dir, "documents")
+    model = linecrf.train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    return linecrf.label_lines(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
