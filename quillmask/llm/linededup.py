@@ -33,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .common import fresh, prepared, stored
 
 MIN_CHARS = 20
@@ -173,11 +174,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     out = docs.withColumn(key, document_key(doc_id, text)) \
         .join(per_doc.select(F.col("rk").alias(key), F.col("cut").alias(cut), F.col("cut_near").alias(cut_near)), key, "left")
     split = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(cut))
+
+    def without_cut(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
     n_near = F.coalesce(F.size(cut_near), F.lit(0))
     n_cut = F.coalesce(F.size(cut), F.lit(0))
     return out.withColumns({
         text: F.when(F.col(cut).isNull(), F.col(text))
-               .otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")),
+               .otherwise(let(split, without_cut)),
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split)),
         "n_equal": n_cut - n_near, "n_near": n_near}).drop(key, cut, cut_near)
