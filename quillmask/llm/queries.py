@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linecrf, linededup, minhash, mixing, packing, warc
+from . import langid, licenses, linecrf, linededup, minhash, mixing, packing, warc
 from ..session import scratch_path
 from .common import table
 
@@ -124,3 +124,34 @@ def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = linecrf.train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
     return linecrf.label_lines(docs, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in the documents."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("template", "first_word", "last_word")})
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    notices = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(licenses.NOTICES))
+    grams = "array_to_string(w[i:i + 4], ' ')"
+    return f"""
+WITH notices(template, license, text) AS (VALUES {notices}),
+tw AS (SELECT template, license, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM notices),
+tg AS (SELECT DISTINCT template, license, {grams} AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+tm AS (SELECT template, count(*) AS m, greatest(1, CAST(pow(2, ceil(log2(count(*) * 1.25))) AS BIGINT)) AS scale FROM tg GROUP BY template),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+dg AS (SELECT doc_id, i - 1 AS place, {grams} AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)),
+hits AS (SELECT doc_id, template, license, m, scale, place, g FROM dg JOIN tg USING (g) JOIN tm USING (template)),
+placed AS (SELECT *, place // scale AS win FROM hits UNION ALL SELECT *, place // scale - 1 FROM hits),
+held AS (
+  SELECT doc_id, template, license, win, count(DISTINCT g) / any_value(m) AS containment, min(place) AS first_word, max(place) + 4 AS last_word
+  FROM placed GROUP BY doc_id, template, license, win, scale HAVING count(DISTINCT g) / any_value(m) >= 0.8),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY containment DESC, win) AS nth FROM held)
+SELECT doc_id, CAST(template AS BIGINT) AS template, license, containment, first_word, last_word FROM best WHERE nth = 1
+"""
+
+
+LLM_ORACLE["op3_license_scan"] = _license_sql()
