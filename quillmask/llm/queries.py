@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linecrf, linededup, minhash, mixing, packing, warc
+from . import hnsw, langid, licenses, linecrf, linededup, minhash, mixing, packing, warc
 from ..session import scratch_path
 from .common import table
 
@@ -155,3 +155,11 @@ SELECT doc_id, CAST(template AS BIGINT) AS template, license, containment, first
 
 
 LLM_ORACLE["op3_license_scan"] = _license_sql()
+
+
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every row whose id is
+    divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.index(rows), rows.filter(F.col("vec_id") % 20 == 0), 20)
