@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, licenses, linecrf, linededup, minhash, mixing, packing, warc
+from . import hnsw, langid, licenses, linecrf, linededup, minhash, mixing, packing, passages, warc
 from ..session import scratch_path
 from .common import table
 
@@ -163,3 +163,9 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     return hnsw.search(hnsw.index(rows), rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that repeat across documents."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
