@@ -51,14 +51,30 @@ def annotate_rare_ngrams(sent: DataFrame, ngram: DataFrame, n: int, keys=SENT_KE
     """A3: flat ``(keys, pos, word, label, pred)`` where ``pred`` = 1 when the
     word lies in some window that is not in the n-gram list.
 
-    Plan: windows -> anti join on ``g`` (shuffle on the n-gram; AQE splits a
-    hot n-gram) -> the n covered positions -> distinct -> joined back to the
-    tokens on the token key."""
+    Plan: windows -> anti join on ``g`` (AQE splits a hot n-gram) -> the rare
+    positions folded per sentence (bounded by it) -> one join to the sentence
+    row, whose flags are array functions of it."""
     rare = known_ngrams(ngram_windows(sent, n, keys, case_sensitive), ngram, known=False)
-    covered = rare.select(*keys, F.explode(F.sequence("pos", F.col("pos") + (n - 1))).alias("pos")).distinct() \
-        .withColumn(out, F.lit(1))
-    tok = T.explode_tokens(sent, keys)
-    return tok.join(covered, [*keys, "pos"], "left").fillna(0, [out])
+    folded = rare.groupBy(*keys).agg(F.collect_list("pos").alias("_rare"))
+    return flagged_tokens(sent.select(*keys, "words", "labels"), folded, n, keys, out)
+
+
+def flagged_tokens(sent: DataFrame, folded: DataFrame, n: int, keys=SENT_KEYS, out: str = "pred") -> DataFrame:
+    """The tokens of ``sent`` with 1 for those in a window of ``n`` that starts
+    at a position in ``folded``'s ``_rare``, else 0.  Linear in the sentence:
+    the covered positions and, as a set difference, the others."""
+    j = sent.join(folded, list(keys), "left")
+    covered = F.array_distinct(F.flatten(F.transform("_rare", lambda p: F.sequence(p, p + (n - 1)))))
+    every = F.sequence(F.lit(0), F.size("words") - 1)
+
+    def marked(hit):
+        return F.concat(F.transform(hit, lambda p: F.struct(p.alias("pos"), F.lit(1).alias("f"))),
+                        F.transform(F.array_except(every, hit), lambda p: F.struct(p.alias("pos"), F.lit(0).alias("f"))))
+    rows = let(F.coalesce(covered, F.array().cast("array<int>")), marked)
+    t = j.select(*keys, "words", "labels", F.explode(rows).alias("_t"))
+    pos = F.col("_t.pos")
+    return t.select(*keys, pos.alias("pos"), F.get("words", pos).alias("word"), F.get("labels", pos).alias("label"),
+                    F.col("_t.f").alias(out))
 
 
 def detect_spans(sent: DataFrame, pattern: str = P.GOLD, keys=SENT_KEYS, text: str = "sent") -> DataFrame:
@@ -72,15 +88,20 @@ def detect_spans(sent: DataFrame, pattern: str = P.GOLD, keys=SENT_KEYS, text: s
 
 def project_spans(sent: DataFrame, spans: DataFrame, keys=SENT_KEYS, text: str = "sent",
                   out: str = "preds") -> DataFrame:
-    """A5: every token overlapping a span gets 1.  The interval join keeps its
-    equi keys: spans are folded per sentence (bounded by the sentence) and
-    joined one-to-one to the sentence, then a sorted sweep inside the row
-    finds the overlaps — no token x span pairs are formed."""
+    """A5: ``(keys, preds)``: every token overlapping a span gets 1.  The
+    interval join keeps its equi keys: spans are folded per sentence (bounded
+    by the sentence) and joined one-to-one to the sentence's token offsets (the
+    text itself isn't moved), then a sorted sweep inside the row finds the
+    overlaps — no token x span pairs are formed."""
+    empty = F.array().cast("array<struct<b:int,e:int>>")
+
+    def offsets(bounds):
+        return F.transform(bounds, lambda t: F.struct(t["b"].alias("b"), t["e"].alias("e")))
     folded = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("s_begin").alias("b"),
                                                              F.col("s_end").alias("e"))).alias("_sp"))
-    j = sent.join(folded, list(keys), "left")
-    flags = overlap_flags(TX.raw_token_bounds(F.col(text)), F.coalesce("_sp", F.array().cast("array<struct<b:int,e:int>>")))
-    return j.withColumn(out, F.transform(flags, lambda f: f.cast("int"))).drop("_sp")
+    j = sent.select(*keys, offsets(TX.raw_token_bounds(F.col(text))).alias("_b")).join(folded, list(keys), "left")
+    flags = overlap_flags(F.col("_b"), F.coalesce("_sp", empty))
+    return j.select(*keys, F.transform(flags, lambda f: f.cast("int")).alias(out))
 
 
 def annotate_spans(sent: DataFrame, pattern: str, out: str = "preds", text: str = "sent") -> DataFrame:
@@ -90,24 +111,26 @@ def annotate_spans(sent: DataFrame, pattern: str, out: str = "preds", text: str
 
 
 def score_batches(sent: DataFrame, predict_fn, keys=SENT_KEYS, words: str = "words", out: str = "ptrs",
-                  max_pointers: int = 21) -> DataFrame:
-    """Score whole sentences in Arrow batches with a user sequence
-    annotator ``predict_fn(list[str]) -> iterable[int]`` (positions to mask).
-    Like the pointer decoder, at most ``max_pointers`` positions are kept,
-    de-duplicated and sorted; the result feeds ``pointers_to_mask`` (T12).
-    Anything ``predict_fn`` needs (model weights) is captured once per task."""
+                  max_pointers: int | None = None) -> DataFrame:
+    """Score the sentences of an Arrow batch with a user sequence annotator
+    ``predict_fn(list[list[str]]) -> list[iterable[int]]`` (positions to mask,
+    per sentence).  All positions are kept, de-duplicated and sorted, unless a
+    decoder's limit is given as ``max_pointers``; the result feeds
+    ``pointers_to_mask`` (T12).  Anything ``predict_fn`` needs (model weights)
+    is captured once per task."""
     from pyspark.sql import types as ST
     schema = sent.select(*keys, words).schema.add(out, ST.ArrayType(ST.IntegerType()))
 
     def run(batches):
         for pdf in batches:
-            pdf[out] = [sorted(set(list(predict_fn(list(ws)))[:max_pointers])) for ws in pdf[words]]
+            found = predict_fn([list(ws) for ws in pdf[words]])
+            pdf[out] = [sorted(set(list(p)[:max_pointers])) for p in found]
             yield pdf
     # the sentence rows pass through the Python worker unchanged, so no join back
     return sent.select(*keys, words).mapInPandas(run, schema)
 
 
-def digit_or_mail_positions(words):
+def digit_or_mail_positions(sentences):
     """A small position annotator for tests and the registered query: words
-    holding a digit or an ``@``, in order."""
-    return [i for i, w in enumerate(words) if "@" in w or any(c.isdigit() for c in w)]
+    holding an ASCII digit or an ``@``, in order."""
+    return [[i for i, w in enumerate(words) if any(c in "0123456789@" for c in w)] for words in sentences]

@@ -180,8 +180,7 @@ def project_spans(spark, sf_dir):
     the tokens through the keyed interval join."""
     s = FX.sentences(spark, sf_dir)
     sp = A.detect_spans(s, P.BASELINE_SPANS)
-    p = A.project_spans(s, sp)
-    t = T.explode_tokens(p, arrays=("words", "preds"), names=("word", "pred"))
+    t = T.explode_tokens(A.project_spans(s, sp), arrays=("preds",), names=("pred",))
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")
 
 
@@ -418,8 +417,10 @@ def pseudonymize(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    s = FX.sentences(spark, sf_dir)
-    return FX.key_phrases(s, 20), FX.key_phrases(s, 30)
+    """Targets: all two-word windows that touch a gold span; predictions: all
+    that touch a baseline-rule span."""
+    s = A.annotate_spans(FX.sentences(spark, sf_dir), P.BASELINE_SPANS, "preds")
+    return FX.key_phrases(s, "labels"), FX.key_phrases(s, "preds")
 
 
 @query
@@ -792,7 +793,7 @@ def stream_anonymize(spark, sf_dir):
 @query
 def score_batches(spark, sf_dir):
     """A9 + T12: sentences scored in Arrow batches by a position annotator
-    (digits or '@', at most 21 pointers per sentence) and turned into masks."""
+    (digits or '@') and turned into masks."""
     s = FX.sentences(spark, sf_dir)
     p = A.score_batches(s, A.digit_or_mail_positions)
     m = T.pointers_to_mask(p, "ptrs", "words", "preds")
@@ -812,8 +813,7 @@ def union_corpora(spark, sf_dir):
 def span_token_join(spark, sf_dir):
     """The keyed interval join of A5 (gold spans onto tokens)."""
     s = FX.sentences(spark, sf_dir)
-    p = A.project_spans(s, A.detect_spans(s, P.GOLD))
-    t = T.explode_tokens(p, arrays=("words", "preds"), names=("word", "pred"))
+    t = T.explode_tokens(A.project_spans(s, A.detect_spans(s, P.GOLD)), arrays=("preds",), names=("pred",))
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "pred")
 
 

@@ -61,10 +61,10 @@ def word_vectors(spark, sf_dir, tok: DataFrame | None = None, fold_case: bool =
 
 
 def word_freq(spark, sf_dir) -> DataFrame:
-    """``freq(word, n)``: lower-cased type counts over benchmark and
-    conversations (so some document words are missing)."""
+    """``freq(word, n)``: lower-cased type counts over all corpora (words written
+    with a capital are missing from it as they are)."""
     from ..operators import lookup as L
-    return L.type_counts(words(spark, sf_dir, ("conversations", "benchmark")), fold_case=True)
+    return L.type_counts(words(spark, sf_dir), fold_case=True)
 
 
 def word_pieces(tok: DataFrame) -> DataFrame:
@@ -96,13 +96,13 @@ def lexicon(tok: DataFrame) -> DataFrame:
         F.pmod(part(1), F.lit(101)).alias("subjectivity_c"))
 
 
-def key_phrases(sent: DataFrame, every: int) -> DataFrame:
-    """``(doc, phrase)``: the two-word windows starting at ``pos % every = 0``
-    of every sentence (FIXTURES.md §C); duplicates kept."""
-    from ..operators import annotate as A
-    w = A.ngram_windows(sent, 2, case_sensitive=True)
-    return w.filter(F.pmod(F.col("pos"), F.lit(every)) == 0).select(
-        F.concat_ws(":", "corpus", F.col("doc_id").cast("string")).alias("doc"), F.col("g").alias("phrase"))
+def key_phrases(sent: DataFrame, flags: str) -> DataFrame:
+    """``(doc, phrase)``: the two-word windows with a flagged word, of every
+    sentence (FIXTURES.md §C); duplicates kept."""
+    n = F.size("words")
+    at = F.when(n > 1, F.filter(F.sequence(F.lit(0), n - 2), lambda i: (F.get(flags, i) > 0) | (F.get(flags, i + 1) > 0)))
+    phrase = F.transform(at, lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
+    return sent.select(F.concat_ws(":", "corpus", F.col("doc_id").cast("string")).alias("doc"), F.explode(phrase).alias("phrase"))
 
 
 def keyphrase_responses(pred: DataFrame) -> DataFrame:

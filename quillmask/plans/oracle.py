@@ -206,7 +206,7 @@ types AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1),
 ranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM types),
 vec AS (SELECT r.word, e.embedding AS v, r.r AS line_no FROM ranked r JOIN embeddings e ON e.vec_id = r.r),
 vdim AS (SELECT max(len(embedding)) AS dim FROM embeddings),
-freq AS (SELECT lower(word) AS word, count(*) AS n FROM tok WHERE corpus IN ('conversations', 'benchmark') GROUP BY 1)
+freq AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1)
 """
 
 PIECES = """
@@ -253,7 +253,7 @@ FROM tok t LEFT JOIN freq f ON f.word = t.word
 """
 
 ORACLE["oov_tokens"] = with_base(VEC) + """
-SELECT word, n FROM types WHERE word NOT IN (SELECT word FROM vec)
+SELECT word, n FROM types ANTI JOIN vec USING (word)
 """
 
 ORACLE["subword_vectors"] = with_base(PIECES) + """
@@ -344,13 +344,14 @@ SELECT corpus, doc_id, sent_id, pos, word AS placeholder,
 FROM ps
 """
 
-KP = """
+KP = span_ctes("bl", P.BASELINE_SPANS) + """,
 kp AS (
-  SELECT corpus || ':' || CAST(doc_id AS VARCHAR) AS doc, pos,
-         word || ' ' || lead(word) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos) AS phrase
-  FROM tok),
-tgt AS (SELECT doc, phrase FROM kp WHERE pos % 20 = 0 AND phrase IS NOT NULL),
-prd AS (SELECT doc, phrase FROM kp WHERE pos % 30 = 0 AND phrase IS NOT NULL),
+  SELECT corpus || ':' || CAST(doc_id AS VARCHAR) AS doc, word || ' ' || lead(word) OVER s AS phrase,
+         greatest(label, lead(label) OVER s) AS gold, greatest(hit, lead(hit) OVER s) AS rule
+  FROM tokc JOIN bl_flag USING (corpus, doc_id, sent_id, pos)
+  WINDOW s AS (PARTITION BY corpus, doc_id, sent_id ORDER BY pos)),
+tgt AS MATERIALIZED (SELECT doc, phrase FROM kp WHERE phrase IS NOT NULL AND gold > 0),
+prd AS MATERIALIZED (SELECT doc, phrase FROM kp WHERE phrase IS NOT NULL AND rule > 0),
 bothd AS (SELECT DISTINCT doc FROM tgt WHERE doc IN (SELECT doc FROM prd)),
 kt AS (SELECT * FROM tgt WHERE doc IN (SELECT doc FROM bothd)),
 kpp AS (SELECT * FROM prd WHERE doc IN (SELECT doc FROM bothd))
@@ -570,12 +571,10 @@ ORACLE["stream_anonymize"] = ORACLE["anonymize_text"]
 
 ORACLE["score_batches"] = with_base("""
 cand AS (
-  SELECT corpus, doc_id, sent_id, pos,
-         row_number() OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos) AS k
-  FROM tok WHERE regexp_matches(word, '[0-9@]'))
+  SELECT corpus, doc_id, sent_id, pos FROM tok WHERE regexp_matches(word, '[0-9@]'))
 """) + """
 SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
-FROM tok t LEFT JOIN (SELECT * FROM cand WHERE k <= 21) c USING (corpus, doc_id, sent_id, pos)
+FROM tok t LEFT JOIN cand c USING (corpus, doc_id, sent_id, pos)
 """
 
 ORACLE["union_corpora"] = with_base() + """

@@ -15,23 +15,25 @@ def lit(s: str) -> str:
 
 TOKEN = lit(P.TOKEN)
 GOLD = lit(P.GOLD)
+SENT_END = lit(P.SENT_END)
+SPACES = lit(P.SPACE + "+")
 PUNCT = lit("(" + P.PUNCT_CLASS + ")")
 
 BASE = f"""
 corpora AS (
   SELECT 'documents' AS corpus, CAST(doc_id AS BIGINT) AS doc_id, text FROM documents
-  UNION ALL SELECT 'conversations', CAST(conv_id * 1000 + turn AS BIGINT), text FROM conversations
+  UNION ALL SELECT 'conversations', CAST(conv_id * 4294967296 + turn AS BIGINT), text FROM conversations
   UNION ALL SELECT 'benchmark', CAST(item_id AS BIGINT), text FROM benchmark),
 pieces AS (
   SELECT corpus, doc_id,
-         string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss
+         string_split(regexp_replace(replace(text, chr(1), ' '), {SENT_END}, '\\1' || chr(1), 'g'), chr(1)) AS ss
   FROM corpora),
 sent_all AS (
   SELECT corpus, doc_id, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS sent_id, unnest(ss) AS sent
   FROM pieces),
 sent AS (
   SELECT corpus, doc_id, sent_id, sent, words FROM (
-    SELECT *, list_filter(string_split_regex(regexp_replace(sent, {PUNCT}, ' \\1 ', 'g'), '\\s+'),
+    SELECT *, list_filter(string_split_regex(regexp_replace(sent, {PUNCT}, ' \\1 ', 'g'), {SPACES}),
                           lambda x: x <> '') AS words
     FROM sent_all) WHERE len(words) > 0),
 rawtok AS (

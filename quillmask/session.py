@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quill
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # the tables of tests and benches have one row group each
+    spark.conf.set("quillmask.spreadPartitions", str(partitions))
     ensure_checkpoint_dir(spark)
     return spark
 

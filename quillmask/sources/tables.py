@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 CORPUS_KEYS = ["corpus", "doc_id"]
 SENT_KEYS = ["corpus", "doc_id", "sent_id"]
+TURNS = 1 << 32
 TOKEN_KEYS = ["corpus", "doc_id", "sent_id", "pos"]
 
 
@@ -28,13 +29,14 @@ def union_corpora(frames: dict[str, DataFrame]) -> DataFrame:
 
 def corpora(spark: SparkSession, sf_dir: str, which: tuple[str, ...] = ("documents", "conversations", "benchmark")) -> DataFrame:
     """``(corpus, doc_id, text)`` over the three text tables (FIXTURES.md §C):
-    conversation turns are documents keyed ``conv_id * 1000 + turn``."""
+    conversation turns are documents keyed ``conv_id * 2**32 + turn`` (no two
+    turns share a key; an id too large for that is an error, not a clash)."""
     frames = {}
     if "documents" in which:
         frames["documents"] = read_table(spark, sf_dir, "documents", "doc_id", "text")
     if "conversations" in which:
         frames["conversations"] = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text") \
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+            .select((F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"), "text")
     if "benchmark" in which:
         frames["benchmark"] = read_table(spark, sf_dir, "benchmark", "item_id", "text") \
             .select(F.col("item_id").alias("doc_id"), "text")
@@ -42,13 +44,10 @@ def corpora(spark: SparkSession, sf_dir: str, which: tuple[str, ...] = ("documen
 
 
 def spread_documents(docs: DataFrame, keys=("corpus", "doc_id")) -> DataFrame:
-    """Give the text work all cores when the scan yields fewer splits than the
-    cluster has task slots (a small table in one row group arrives as one
-    partition).  The spread hashes on the document key, so a later fold per
-    document or per sentence finds its distribution already satisfied and does
-    not shuffle again.  Inputs that already split wider are left as scanned:
-    at scale the scan itself provides the parallelism and no text is moved."""
-    slots = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() >= slots:
-        return docs
-    return docs.repartition(slots, *keys)
+    """The documents as scanned, unless the session asks for a spread
+    (``quillmask.spreadPartitions``, off by default): then they are hashed on
+    the document key into that many partitions.  It is for tests and benches on
+    tables of one row group, which arrive as one partition; at scale the scan
+    itself provides the parallelism and no text should move."""
+    n = int(docs.sparkSession.conf.get("quillmask.spreadPartitions", "0"))
+    return docs.repartition(n, *keys) if n else docs
