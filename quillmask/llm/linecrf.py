@@ -206,16 +206,18 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], turns: int = 300, rate:
     return Crf(theta[:d], theta[d:d + 4].reshape(2, 2), theta[d + 4:])
 
 
-def train(labelled: DataFrame, text: str = "text", quality: str = "quality", per_class: int = 256, lines_per_text: int = 40,
-          chars_per_text: int = 8000, per_sequence: int = 8) -> Crf:
-    """Fit on a bounded sample: per quality (0 or 1), the text of least hash
-    in each of ``per_class`` hash buckets, at most ``lines_per_text`` lines in
-    ``chars_per_text`` characters of each."""
-    rows = labelled.select(F.col(quality).cast("int").alias("q"), F.col(text).alias("t")).filter("q in (0, 1) and t is not null") \
-        .withColumn("h", F.xxhash64("t"))
-    least = rows.groupBy("q", F.pmod("h", F.lit(per_class)).alias("b")).agg(F.min("h").alias("h")).select("q", "h")
-    picked = rows.join(F.broadcast(least), ["q", "h"], "left_semi") \
-        .groupBy("q", "h").agg(F.min(F.substring("t", 1, chars_per_text)).alias("t")).collect()
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", per_class: int = 256,
+          lines_per_text: int = 40, chars_per_text: int = 8000, per_sequence: int = 8) -> Crf:
+    """Fit on a bounded sample: per quality (0 or 1), of each of ``per_class``
+    hash buckets the labelled id of least hash, at most ``lines_per_text``
+    lines in ``chars_per_text`` characters of its text.  The sample is drawn
+    from the labels alone; no text is shuffled for it."""
+    rows = labels.select(F.col(doc_id).alias("id"), F.col(quality).cast("int").alias("q")).filter("q in (0, 1) and id is not null") \
+        .withColumn("h", F.xxhash64("id"))
+    least = rows.groupBy("q", F.pmod("h", F.lit(per_class)).alias("b")).agg(F.min("h").alias("h"))
+    ids = least.join(rows, ["q", "h"]).select("id", "q", "h").distinct()    # a few per class and bucket at most
+    picked = docs.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, chars_per_text).alias("t")).filter("t is not null") \
+        .join(F.broadcast(ids), "id").groupBy("q", "h").agg(F.min("t").alias("t")).collect()
     sequences, part = [], []
     for r in sorted(picked, key=lambda r: (r.h, r.q)):
         lines = described(["\n".join(r.t.split("\n")[:lines_per_text])])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepared, stored
-from .tokens import TOKENIZER, encoder
+from .tokens import BATCH, TOKENIZER, encoder
 
 CAPACITY = 2048
 GROUPS = 96
@@ -71,8 +71,8 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: st
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at:at + 512]
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at:at + BATCH]
                 for doc, ids in zip(part["doc_id"], encoder(tokenizer).encode(part["text"].tolist())):
                     ids = memoryview(ids + END)
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):

@@ -121,7 +121,7 @@ def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; the field is trained on a
     bounded sample of the documents with a quality label."""
     docs = table(spark, sf_dir, "documents")
-    model = linecrf.train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    model = linecrf.train(docs, table(spark, sf_dir, "labels"))
     return linecrf.label_lines(docs, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 

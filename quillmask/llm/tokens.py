@@ -3,8 +3,8 @@ itself gives them (``add_special_tokens=False``), at several times its speed.
 
 The tokenizer lower-cases, splits into words by a pattern and encodes each
 word on its own.  For texts of plain Latin letters, digits and punctuation the
-splitting is done here and each distinct word is encoded once by the tokenizer
-and then looked up.  All other texts (combining marks, other scripts, special
+splitting is done here, each distinct word is encoded by the tokenizer, many in
+one call, and then looked up.  All other texts (combining marks, other scripts, special
 token strings, ...) go through the tokenizer as they are.
 """
 from __future__ import annotations
@@ -15,7 +15,9 @@ import re
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+CALL_WORDS = 500                # words joined in one call
+BATCH = 1024                    # texts that share their look-ups
 SLICE = 500_000                 # characters of a long text handled at once
 
 #: Fixed pattern of the tokenizer file, for the characters below.
@@ -55,24 +57,53 @@ class Encoder:
             import public_tokenizers
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}      # what stands between spaces -> ids
+        self.again: set[str] = set()            # words met in more than one batch
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the pattern, joined by spaces for the tokenizer."""
+        out = []
+        for a in range(0, len(words), CALL_WORDS):
+            part = words[a:a + CALL_WORDS]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            at = np.flatnonzero(np.diff(np.array(e.word_ids, dtype=np.int64), prepend=-1))
+            if len(at) != len(part):
+                out += self.plain(part)
+                continue
+            ids, cut = np.array(e.ids, dtype="<u4").tobytes(), [*(4 * at).tolist(), 4 * len(e.ids)]
+            out += [ids[i:j] for i, j in zip(cut, cut[1:])]
+        return out
+
+    def learn(self, used: set[str]) -> None:
+        """Look up the words of a batch; forget those met in one batch only
+        when there are too many."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = {w: self.words[w] for w in self.again}
+            self.again = set()
+        known = used & self.words.keys()
+        self.again |= known
+        new = list(used - known)
+        split = [WORD.findall(w) for w in new]
+        parts = list(set().union(*split))
+        ids = dict(zip(parts, self.together(parts)))
+        self.words.update(zip(new, [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in split]))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [s for t in texts for s in slices(t or "")]
-        split = [None if OTHER.search(s) else WORD.findall(s.lower()) for s in parts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list(set().union(*(w for w in split if w)) - self.words.keys())
-        self.words.update(zip(new, self.plain(new)))
-        other = [s for s, w in zip(parts, split) if w is None]
-        others = iter(self.plain(other))
-        look = self.words.__getitem__
-        ids = iter([next(others) if w is None else b"".join(map(look, w)) for w in split])
         out = []
-        for t in texts:
-            out.append(b"".join(next(ids) for _ in slices(t or "")))
+        for a in range(0, len(texts), BATCH):
+            out += self.batch(texts[a:a + BATCH])
         return out
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        cut = [list(slices(t or "")) for t in texts]
+        parts = [s for c in cut for s in c]
+        split = [None if OTHER.search(s) else s.lower().split() for s in parts]
+        self.learn(set().union(*(w for w in split if w)))
+        others = iter(self.plain([s for s, w in zip(parts, split) if w is None]))
+        look = self.words.__getitem__
+        ids = iter([next(others) if w is None else b"".join(map(look, w)) for w in split])
+        return [b"".join([next(ids) for _ in c]) for c in cut]

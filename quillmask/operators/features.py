@@ -10,49 +10,51 @@ from pyspark.sql import types as ST
 
 from ..functions import patterns as P
 from ..sources.tables import SENT_KEYS
-from .lookup import vector_dim, zeros
+from .lookup import zeros
 
+BROADCAST_ROWS = 20_000         # rows of a vector table that is sent to every executor
 
-def _scale(v, w):
-    return F.transform(v, lambda x: x.cast("double") * w)
 
-
-def weighted_sentence_vec(tok: DataFrame, vec: DataFrame, freq: DataFrame, a: float = P.SIF_A,
+def weighted_sentence_vec(sent: DataFrame, vec: DataFrame, freq: DataFrame, a: float = P.SIF_A,
                           relative: bool = False, fold_case: bool = True, freq_fold_case: bool = False,
-                          keys=SENT_KEYS, word: str = "word") -> DataFrame:
-    """``sum_w 100 * v_w * a / (a + f(w)) / len`` per sentence.
+                          keys=SENT_KEYS, words: str = "words") -> DataFrame:
+    """``sum_w 100 * v_w * a / (a + f(w)) / len`` per sentence of ``sent``
+    (keys and word array).
 
     ``f`` is the raw count of the word in ``freq`` (missing -> 1), or that count
     over the table total when ``relative``; vectors are looked up lower-cased
     unless ``fold_case`` is off, frequencies as written unless
-    ``freq_fold_case``.  Plan: tokens are pre-aggregated to (sentence, word)
-    counts, the per-type weight and vector are computed once per distinct type
-    (a much smaller join), joined to the counts, and each sentence's weighted
-    vectors are summed inside the sentence group."""
+    ``freq_fold_case``.
+
+    Plan: the weight goes into the vector table (one row per word of it and
+    per listed frequency, a table of a checked size), not into the tokens.
+    With that table broadcast, the words of a sentence stay in the task that
+    read them and are summed there; one row per sentence is shuffled.  A table
+    too large for that is joined by shuffle."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    dim = vector_dim(vec)
-    counts = tok.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("_c"))
-    lens = counts.groupBy(*keys).agg(F.sum("_c").alias("n_tokens"))
-    fk = F.lower(word) if freq_fold_case else F.col(word)
-    vk = F.lower(word) if fold_case else F.col(word)
-    f = freq.select(F.col("word").alias("_fk"), F.col("n").alias("_n"))
-    v = vec.select(F.col("word").alias("_vk"), F.col("v").alias("_v"))
-    fn = F.coalesce(F.col("_n"), F.lit(1)).cast("double")
-    if relative:
-        fn = fn / freq.select(F.sum("n").cast("double")).scalar()
-    # only words with a vector add to the sum (<UNK> is zeros): the weight and
-    # vector are computed once per such type, then joined to the counts
-    per_type = (counts.select(word).distinct().withColumn("_vk", vk).join(v, "_vk")
-                .withColumn("_fk", fk).join(f, "_fk", "left")
-                .select(word, (F.lit(100.0 * a) / (F.lit(a) + fn)).alias("_w"),
-                        array_to_vector(F.transform("_v", lambda x: x.cast("double"))).alias("_f")))
-    j = counts.join(per_type, word)
-    # weighted vector sum per sentence: MLlib's Summarizer is a JVM aggregate
-    # with map-side partial sums (the weight multiplies each row's vector)
-    sums = j.groupBy(*keys).agg(Summarizer.sum(F.col("_f"), F.col("_w") * F.col("_c")).alias("_s")) \
-        .select(*keys, vector_to_array("_s").alias("_s"))
-    out = lens.join(sums, list(keys), "left")
+    vec = vec.select(F.col("word").alias("_vk"), F.transform("v", lambda x: x.cast("double")).alias("_v"))
+    total = freq.select(F.sum("n").cast("double")).scalar() if relative else F.lit(1.0)
+
+    def scaled(rows, n, word, listed):
+        w = F.lit(100.0 * a) / (F.lit(a) + n.cast("double") / total)
+        return rows.withColumn("_c", w).select(F.lit(listed).alias("_listed"), F.col(word).alias("_w"),
+                                               array_to_vector(F.transform("_v", lambda x: x * F.col("_c"))).alias("_f"))
+    f = freq.select(F.col("word").alias("_k"), F.col("n").alias("_n"))
+    listed = vec.join(f, F.expr("_vk = lower(_k)") if fold_case else F.col("_vk") == F.col("_k"))
+    # words with a listed frequency under their own key, all words of the table under the default
+    table = scaled(listed, F.col("_n"), "_k", 1).union(scaled(vec, F.lit(1), "_vk", 0)).checkpoint(eager=True)
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    tok = sent.select(*keys, F.explode(words).alias("_word"))
+    fk = F.lower("_word") if freq_fold_case else F.col("_word")
+    vk = F.lower("_word") if fold_case else F.col("_word")
+    hit = table.filter("_listed = 1").select(F.col("_w").alias("_w1"), F.col("_f").alias("_f1"))
+    rest = table.filter("_listed = 0").select(F.col("_w").alias("_w0"), F.col("_f").alias("_f0"))
+    j = tok.join(hit, fk == F.col("_w1"), "left").join(rest, vk == F.col("_w0"), "left") \
+        .select(*keys, F.coalesce("_f1", "_f0").alias("_f")).filter("_f is not null")
+    sums = j.groupBy(*keys).agg(Summarizer.sum(F.col("_f")).alias("_s")).select(*keys, vector_to_array("_s").alias("_s"))
+    out = sent.select(*keys, F.size(words).cast("long").alias("n_tokens")).join(sums, list(keys), "left")
+    dim = vec.select(F.max(F.size("_v"))).scalar()
     sv = F.coalesce(F.transform("_s", lambda x: x / F.col("n_tokens")), zeros(dim, "double"))
     return out.select(*keys, "n_tokens", sv.alias("sv"))
 

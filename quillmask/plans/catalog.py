@@ -263,7 +263,8 @@ def pair_predictions(spark, sf_dir):
 # --- lookups, vocabulary, vectors ---------------------------------------------------------
 
 def _vsum(v):
-    return F.round(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b), 6)
+    """Checksum of a vector that depends on the order of its components."""
+    return F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b), 6)
 
 
 @query
@@ -356,8 +357,7 @@ def decode_ids(spark, sf_dir):
 
 
 def _sentence_vectors(spark, sf_dir, a=1e-3, relative=True):
-    tok = FX.words(spark, sf_dir)
-    return FEAT.weighted_sentence_vec(tok, FX.word_vectors(spark, sf_dir, tok), FX.word_freq(spark, sf_dir),
+    return FEAT.weighted_sentence_vec(FX.sentences(spark, sf_dir), FX.word_vectors(spark, sf_dir), FX.word_freq(spark, sf_dir),
                                       a=a, relative=relative)
 
 
@@ -613,19 +613,19 @@ def load_word_freq(spark, sf_dir):
 
 @query
 def load_ngrams(spark, sf_dir):
-    """IO8: the trigram list written as ``count w1 w2 w3`` (ISO-8859-1) and
+    """IO8: the trigram list written as ``count w1 w2 w3`` (UTF-8) and
     loaded back as a distinct set."""
     path = scratch_path(spark, "ngrams")
-    FMT.write_ngrams(A.ngram_counts(FX.sentences(spark, sf_dir), 3, NGRAM_MIN_COUNT), path)
-    return FMT.load_ngrams(spark, path)
+    FMT.write_ngrams(A.ngram_counts(FX.sentences(spark, sf_dir), 3, NGRAM_MIN_COUNT), path, "UTF-8")
+    return FMT.load_ngrams(spark, path, "UTF-8")
 
 
 @query
 def read_lines_corpus(spark, sf_dir):
-    """IO9 + A8: one document per ISO-8859-1 line, read back and anonymised."""
+    """IO9 + A8: one document per UTF-8 line, read back and anonymised."""
     path = scratch_path(spark, "lines")
-    FMT.write_lines(corpora(spark, sf_dir), path)
-    d = FMT.read_lines_corpus(spark, path).withColumn("corpus", F.lit("lines"))
+    FMT.write_lines(corpora(spark, sf_dir), path, encoding="UTF-8")
+    d = FMT.read_lines_corpus(spark, path, "UTF-8").withColumn("corpus", F.lit("lines"))
     m = T.anonymize_documents(d.withColumnRenamed("doc_index", "doc_id"))
     return m.select(F.col("doc_id").alias("doc_index"), "masked")
 

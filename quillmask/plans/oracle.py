@@ -220,7 +220,8 @@ pranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM
 pvec AS (SELECT p.word AS piece, e.embedding AS v FROM pranked p JOIN embeddings e ON e.vec_id = p.r),
 sub AS (
   SELECT wp.word, CAST(count(*) AS BIGINT) AS n_pieces,
-         sum(coalesce(list_sum(list_transform(pvec.v, lambda x: CAST(x AS DOUBLE))), 0.0)) AS s
+         sum(coalesce(list_sum(list_transform(pvec.v, lambda x, i: CAST(x AS DOUBLE) * i)), 0.0)) AS s,
+         sum(coalesce(list_sum(list_transform(pvec.v, lambda x: CAST(x AS DOUBLE))), 0.0)) AS plain
   FROM wp LEFT JOIN pvec USING (piece) GROUP BY wp.word)
 """
 
@@ -239,7 +240,8 @@ vocab AS (
 
 
 def vsum(v: str) -> str:
-    return f"list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE)))"
+    """Checksum that weighs each component by its place (from 1)."""
+    return f"list_sum(list_transform({v}, lambda x, i: CAST(x AS DOUBLE) * i))"
 
 
 ORACLE["lookup_vectors"] = with_base(VEC) + f"""
@@ -262,7 +264,7 @@ SELECT word, n_pieces, round(s, 6) AS v_sum FROM sub
 
 ORACLE["combine_vectors"] = with_base(VEC, PIECES) + f"""
 SELECT coalesce(vec.word, sub.word) AS word, CAST(2 * (SELECT dim FROM vdim) AS BIGINT) AS dim,
-       round(coalesce({vsum('vec.v')}, 0.0) + coalesce(sub.s, 0.0), 6) AS v_sum
+       round(coalesce({vsum('vec.v')}, 0.0) + coalesce(sub.s + (SELECT dim FROM vdim) * sub.plain, 0.0), 6) AS v_sum
 FROM vec FULL OUTER JOIN sub ON vec.word = sub.word
 """
 
@@ -281,7 +283,7 @@ SELECT word, CAST(id AS BIGINT) AS id FROM vocab
 
 ORACLE["vocabulary_vectors"] = with_base(VEC, VOCAB) + f"""
 SELECT vocab.word, CAST(vocab.id AS BIGINT) AS id,
-       round(CASE vocab.word WHEN '<EOS>' THEN (SELECT dim FROM vdim) WHEN '<SOS>' THEN -(SELECT dim FROM vdim)
+       round(CASE vocab.word WHEN '<EOS>' THEN (SELECT dim * (dim + 1) / 2 FROM vdim) WHEN '<SOS>' THEN -(SELECT dim * (dim + 1) / 2 FROM vdim)
                             ELSE coalesce({vsum('vec.v')}, 0.0) END, 6) AS v_sum
 FROM vocab LEFT JOIN vec USING (word)
 """
@@ -531,9 +533,9 @@ vdim AS (SELECT max(len(embedding)) AS dim FROM embeddings)
 """) + f"""
 SELECT lower(word) AS word, max(line_no) AS line_no, round({vsum('arg_max(v, line_no)')}, 6) AS v_sum
 FROM cvec GROUP BY lower(word)
-UNION ALL SELECT '<EOS>', NULL, CAST((SELECT dim FROM vdim) AS DOUBLE)
+UNION ALL SELECT '<EOS>', NULL, CAST((SELECT dim * (dim + 1) / 2 FROM vdim) AS DOUBLE)
 UNION ALL SELECT '<UNK>', NULL, 0.0
-UNION ALL SELECT '<SOS>', NULL, -CAST((SELECT dim FROM vdim) AS DOUBLE)
+UNION ALL SELECT '<SOS>', NULL, -CAST((SELECT dim * (dim + 1) / 2 FROM vdim) AS DOUBLE)
 """
 
 ORACLE["load_word_freq"] = with_base(VEC) + """
