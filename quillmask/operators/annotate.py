@@ -61,20 +61,33 @@ def annotate_rare_ngrams(sent: DataFrame, ngram: DataFrame, n: int, keys=SENT_KE
 
 def flagged_tokens(sent: DataFrame, folded: DataFrame, n: int, keys=SENT_KEYS, out: str = "pred") -> DataFrame:
     """The tokens of ``sent`` with 1 for those in a window of ``n`` that starts
-    at a position in ``folded``'s ``_rare``, else 0.  Linear in the sentence:
-    the covered positions and, as a set difference, the others."""
+    at a position in ``folded``'s ``_rare``, else 0."""
     j = sent.join(folded, list(keys), "left")
+    t = j.select(*keys, "words", "labels", F.explode(_flag_rows(n)).alias("_t"))
+    pos = F.col("_t.pos")
+    return t.select(*keys, pos.alias("pos"), F.get("words", pos).alias("word"), F.get("labels", pos).alias("label"),
+                    F.col("_t.f").alias(out))
+
+
+def rare_ngram_flags(sent: DataFrame, ngram: DataFrame, n: int, keys=SENT_KEYS, case_sensitive: bool = False,
+                     out: str = "preds") -> DataFrame:
+    """A3 by sentence: ``(keys, words, preds)``, for the renderers."""
+    rare = known_ngrams(ngram_windows(sent, n, keys, case_sensitive), ngram, known=False)
+    folded = rare.groupBy(*keys).agg(F.collect_list("pos").alias("_rare"))
+    return sent.select(*keys, "words").join(folded, list(keys), "left") \
+        .select(*keys, "words", F.transform(F.sort_array(_flag_rows(n)), lambda x: x["f"]).alias(out))
+
+
+def _flag_rows(n: int):
+    """(position, flag) of every word: the covered positions and, as a set
+    difference, the others; linear in the sentence."""
     covered = F.array_distinct(F.flatten(F.transform("_rare", lambda p: F.sequence(p, p + (n - 1)))))
     every = F.sequence(F.lit(0), F.size("words") - 1)
 
     def marked(hit):
         return F.concat(F.transform(hit, lambda p: F.struct(p.alias("pos"), F.lit(1).alias("f"))),
                         F.transform(F.array_except(every, hit), lambda p: F.struct(p.alias("pos"), F.lit(0).alias("f"))))
-    rows = let(F.coalesce(covered, F.array().cast("array<int>")), marked)
-    t = j.select(*keys, "words", "labels", F.explode(rows).alias("_t"))
-    pos = F.col("_t.pos")
-    return t.select(*keys, pos.alias("pos"), F.get("words", pos).alias("word"), F.get("labels", pos).alias("label"),
-                    F.col("_t.f").alias(out))
+    return let(F.coalesce(covered, F.array().cast("array<int>")), marked)
 
 
 def detect_spans(sent: DataFrame, pattern: str = P.GOLD, keys=SENT_KEYS, text: str = "sent") -> DataFrame:

@@ -2,8 +2,9 @@
 
 Without sentence vectors a token's features depend only on its (folded)
 word, so the training set is the distinct ``(word, label)`` rows with weight
-= occurrences x balanced class weight — the same weighted loss as one row
-per token, at the size of the vocabulary instead of the corpus.  Predictions
+= occurrences (times the balanced class weight where the original balances)
+— the same weighted loss as one row per token, at the size of the vocabulary
+instead of the corpus.  Predictions
 are made per distinct word and joined back to the tokens.  With sentence
 vectors the rows are per token (``token_features``).
 """
@@ -20,6 +21,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from .evaluate import confusion, prf
 # --- training data ------------------------------------------------------------------------
 
 def type_training_rows(tok: DataFrame, type_vec: DataFrame, label: str = "label") -> DataFrame:
-    """F9 on distinct types: ``(word, features, label, weight)``; weight =
-    count x n / (k * n_class)."""
+    """F9 on distinct types: ``(word, features, label, n, weight)``; ``n`` =
+    occurrences, ``weight`` = n x the balanced class weight.  Each estimator
+    takes the one its original does."""
     t = tok.select(F.lower("word").alias("word"), F.col(label).cast("double").alias("label"))
     g = t.groupBy("word", "label").agg(F.count(F.lit(1)).alias("_c"))
     per = g.groupBy("label").agg(F.sum("_c").alias("_nc"))
@@ -41,7 +44,7 @@ def type_training_rows(tok: DataFrame, type_vec: DataFrame, label: str = "label"
     j = g.join(F.broadcast(cw), "label").join(type_vec, "word", "left")
     feats = F.coalesce(F.transform("v", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), dim))
     return j.select("word", array_to_vector(feats).alias("features"), "label",
-                    (F.col("_c") * F.col("_cw")).alias("weight"))
+                    F.col("_c").cast("double").alias("n"), (F.col("_c") * F.col("_cw")).alias("weight"))
 
 
 def type_features(tok: DataFrame, type_vec: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def clf_linear_svc(max_iter: int = 100):
 
 
 def clf_gaussian_nb():
-    return NaiveBayes(modelType="gaussian", weightCol="weight")
+    return NaiveBayes(modelType="gaussian", weightCol="n")
 
 
 def clf_random_forest(num_trees: int = 100, max_depth: int = 5, seed: int = 7):
@@ -71,15 +74,15 @@ def clf_random_forest(num_trees: int = 100, max_depth: int = 5, seed: int = 7):
 
 
 def clf_gbt(max_iter: int = 100, seed: int = 7):
-    return GBTClassifier(maxIter=max_iter, maxDepth=3, seed=seed)
+    return GBTClassifier(maxIter=max_iter, maxDepth=3, seed=seed, weightCol="n")
 
 
 class SGDHinge:
     """M4: linear model fitted by mini-batch sub-gradient descent on the
     (weighted) hinge loss with L2 penalty.  Each step samples the rows; the
     tasks compute the sub-gradient sums of their Arrow batches with numpy
-    (``mapInPandas``) and return one small partial per batch; the driver adds
-    the partials and updates the weight vector (dim + 1 numbers)."""
+    (``mapInPandas``), Spark adds them up, and the driver updates the weight
+    vector (dim + 1 numbers)."""
 
     def __init__(self, steps: int = 30, fraction: float = 0.5, alpha: float = 1e-4, lr: float = 0.5, seed: int = 7):
         self.steps, self.fraction, self.alpha, self.lr, self.seed = steps, fraction, alpha, lr, seed
@@ -102,12 +105,11 @@ class SGDHinge:
                     active = y * (xs @ ww + bb) < 1
                     coef = np.where(active, -y * wt, 0.0)
                     yield pd.DataFrame({"g": [list(coef @ xs)], "c": [float(coef.sum())]})
-            parts = x.sample(fraction=self.fraction, seed=self.seed + step) \
-                .mapInPandas(grad, "g array<double>, c double").collect()
-            if not parts:
+            total = x.sample(fraction=self.fraction, seed=self.seed + step).mapInPandas(grad, "g array<double>, c double") \
+                .agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("c").alias("c"), F.count("c").alias("k")).first()
+            if not total["k"]:
                 continue
-            g = np.sum([np.asarray(r["g"]) for r in parts], axis=0)
-            c = sum(r["c"] for r in parts)
+            g, c = total["g"].toArray(), total["c"]
             eta = self.lr / math.sqrt(step + 1)
             scale = total_w * self.fraction
             w = w - eta * (g / scale + self.alpha * w)
@@ -139,7 +141,7 @@ class AdaBoostStumps:
         self.rounds, self.cut_every, self.seed = rounds, cut_every, seed
 
     def fit(self, df: DataFrame) -> "AdaBoostModel":
-        d = df.select("features", "label", (F.col("weight") / df.select(F.sum("weight")).scalar()).alias("bw"))
+        d = df.select("features", "label", (F.col("n") / df.select(F.sum("n")).scalar()).alias("bw"))
         stumps, alphas = [], []
         for r in range(self.rounds):
             m = DecisionTreeClassifier(maxDepth=1, weightCol="bw", seed=self.seed).fit(d)
@@ -184,8 +186,8 @@ class MixtureClassifier:
         self.k, self.seed = k, seed
 
     def fit(self, df: DataFrame) -> "MixtureModel":
-        gm = GaussianMixture(k=self.k, seed=self.seed, weightCol="weight").fit(df)
-        votes = gm.transform(df).groupBy("prediction", "label").agg(F.sum("weight").alias("_w"))
+        gm = GaussianMixture(k=self.k, seed=self.seed, weightCol="n").fit(df)
+        votes = gm.transform(df).groupBy("prediction", "label").agg(F.sum("n").alias("_w"))
         best = votes.groupBy("prediction").agg(F.max_by("label", "_w").alias("_label"))
         return MixtureModel(gm, best)
 

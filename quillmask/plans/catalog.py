@@ -156,6 +156,45 @@ def annotate_rare_ngrams(spark, sf_dir):
     return r.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred")
 
 
+@query
+def anonymize_ngram(spark, sf_dir):
+    """A8 over A3: masked text of every document by the rare-bigram annotator."""
+    s = FX.sentences(spark, sf_dir)
+    flags = A.rare_ngram_flags(s, A.ngram_counts(s, 2, NGRAM_MIN_COUNT), 2)
+    return T.mask_text(flags, "preds")
+
+
+@query
+def anonymize_held_ngrams(spark, sf_dir):
+    """IO8 -> A3 -> E2: the bigram list of the even documents, written and
+    loaded, annotates the odd ones."""
+    path = scratch_path(spark, "ngram-list")
+    s = T.collapse_labels(FX.sentences(spark, sf_dir, ("documents",)), "labels")
+    FMT.write_ngrams(A.ngram_counts(s.filter("doc_id % 2 = 0"), 2), path, "UTF-8")
+    r = A.annotate_rare_ngrams(s.filter("doc_id % 2 = 1"), FMT.load_ngrams(spark, path, "UTF-8"), 2)
+    return E.prf(E.confusion(r), digits=6)
+
+
+@query
+def fold_tokens(spark, sf_dir):
+    """T4: the token table folded back to sentences."""
+    f = T.fold_tokens(FX.tokens(spark, sf_dir))
+    return f.select("corpus", "doc_id", *_long("sent_id"), F.array_join("words", " ").alias("tokens"),
+                    F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
+
+
+@query
+def mismatched_tokens(spark, sf_dir):
+    """Token keys that only one of two annotations has: sentences with a
+    gold span against sentences with a baseline-rule span."""
+    s = A.annotate_spans(T.collapse_labels(FX.sentences(spark, sf_dir), "labels"), P.BASELINE_SPANS, "preds")
+    gold = T.explode_tokens(s, arrays=("labels",), names=("label",)).filter("label > 0")
+    pred = T.explode_tokens(s, arrays=("preds",), names=("pred",)).filter("pred > 0")
+    j = gold.join(pred, ["corpus", "doc_id", "sent_id", "pos"], "full_outer")
+    return j.groupBy("corpus").agg(F.count_if(F.col("pred").isNull()).alias("gold_only"),
+                                   F.count_if(F.col("label").isNull()).alias("pred_only"))
+
+
 @query
 def known_ngrams(spark, sf_dir):
     """Known / unknown trigram windows per corpus (semi and anti join)."""
@@ -652,8 +691,7 @@ def split_corpus(spark, sf_dir):
 
 # --- models (rows-only checks: fitted models have no SQL twin) ----------------------------------
 
-TRAIN_CORPORA = ("documents",)
-TEST_CORPORA = ("conversations", "benchmark")
+TEST_SETS = ("en", "fr", "de", "es")       # the wide results' columns
 
 
 def _type_vectors(spark, sf_dir, tok, combined=True):
@@ -665,22 +703,31 @@ def _type_vectors(spark, sf_dir, tok, combined=True):
     return L.combine_vectors([wv, _subword(spark, sf_dir, tok).select("word", "v")])
 
 
-def _model_data(spark, sf_dir, combined=True, train=TRAIN_CORPORA):
-    tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+def _model_data(spark, sf_dir, combined=True, train=None):
+    """Training rows from four fifths of the documents (of the languages in
+    ``train``), the tokens of the held-out fifth by language, and the features
+    of their words."""
+    tok = FX.by_language(spark, sf_dir).checkpoint(eager=True)
     tv = _type_vectors(spark, sf_dir, FX.words(spark, sf_dir), combined).checkpoint(eager=True)
-    rows = M.type_training_rows(tok.filter(F.col("corpus").isin(list(train))), tv).checkpoint(eager=True)
-    test = tok.filter(F.col("corpus").isin(list(TEST_CORPORA)))
+    fit = tok.filter(~_held_out())
+    fit = fit if train is None else fit.filter(F.col("corpus").isin(list(train)))
+    rows = M.type_training_rows(fit, tv).checkpoint(eager=True)
+    test = tok.filter(_held_out())
     feats = M.type_features(test, tv).checkpoint(eager=True)
     return rows, test, feats
 
 
+def _held_out():
+    return F.pmod(F.col("doc_id"), F.lit(5)) == 0
+
+
 @query
 def training_matrix(spark, sf_dir):
     """F9 + E11: distinct-type training rows with balanced, count-scaled weights."""
     rows, _, _ = _model_data(spark, sf_dir)
     from pyspark.ml.functions import vector_to_array
-    return rows.select("word", "label", F.round("weight", 6).alias("weight"),
-                       F.size(vector_to_array("features")).alias("n_features"))
+    return rows.select("word", F.col("label").cast("int").alias("label"), F.col("n").cast("long").alias("n"), F.round("weight", 6).alias("weight"),
+                       F.size(vector_to_array("features")).cast("long").alias("n_features"))
 
 
 def _clf_query(name, **params):
@@ -699,13 +746,13 @@ for _qname, _clf, _params in [
         ("clf_mixture", "GaussianMixture", {})]:
     _fn = _clf_query(_clf, **_params)
     _fn.__name__ = _qname
-    _fn.__doc__ = f"M: {_clf} trained on the documents corpus, P/R/F1 on the held-out corpora."
+    _fn.__doc__ = f"M: {_clf} trained on four fifths of the documents, P/R/F1 on the rest, by language."
     QUERIES[_qname] = _fn
 
 
 @query
 def test_annotator(spark, sf_dir):
-    """M0 + M1: train (logistic regression) and test per held-out corpus."""
+    """M0 + M1: train (logistic regression) and test on held-out documents, by language."""
     return QUERIES["clf_logreg"](spark, sf_dir)
 
 
@@ -718,6 +765,15 @@ def annotate_model(spark, sf_dir):
     return p.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred")
 
 
+@query
+def anonymize_model(spark, sf_dir):
+    """A8 over A7: masked text of the held-out documents by a fitted
+    classifier."""
+    rows, test, feats = _model_data(spark, sf_dir)
+    p = M.annotate_model(test, M.train_annotator(M.clf_logreg(), rows), feats)
+    return T.mask_text(T.fold_tokens(p, values=("word", "pred"), names=("words", "preds")), "preds")
+
+
 @query
 def model_io(spark, sf_dir):
     """IO12: save a fitted model to the shared folder, load it, and count the
@@ -734,7 +790,7 @@ def model_io(spark, sf_dir):
 
 
 def _wide(long_res, config):
-    return long_res.groupBy(*config).pivot("corpus", list(TEST_CORPORA)).agg(
+    return long_res.groupBy(*config).pivot("corpus", list(TEST_SETS)).agg(
         F.first("precision").alias("precision"), F.first("recall").alias("recall"), F.first("f1").alias("f1"),
         F.first("train_time").alias("train_time"))
 
@@ -763,19 +819,18 @@ def sweep_forest(spark, sf_dir):
 
 @query
 def sweep_train_sets(spark, sf_dir):
-    """V3: train-set combinations (documents, conversations, both) evaluated
-    on every corpus with logistic regression."""
-    tok = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
+    """V3: the seven combinations of three languages as train sets, tested on
+    the held-out documents of each language."""
+    from itertools import combinations
+    tok = FX.by_language(spark, sf_dir).checkpoint(eager=True)
     tv = _type_vectors(spark, sf_dir, FX.words(spark, sf_dir)).checkpoint(eager=True)
-    feats = M.type_features(tok, tv).checkpoint(eager=True)
-    combos = {"documents": ["documents"], "conversations": ["conversations"],
-              "documents+conversations": ["documents", "conversations"]}
-    rows = {k: M.type_training_rows(tok.filter(F.col("corpus").isin(v)), tv).checkpoint(eager=True)
+    test = tok.filter(_held_out())
+    feats = M.type_features(test, tv).checkpoint(eager=True)
+    combos = {"+".join(c): c for k in (1, 2, 3) for c in combinations(TEST_SETS[:3], k)}
+    rows = {k: M.type_training_rows(tok.filter(~_held_out() & F.col("corpus").isin(list(v))), tv).checkpoint(eager=True)
             for k, v in combos.items()}
     configs = [{"clf": "LogisticRegression", "train_set": k} for k in combos]
-    res = M.sweep(configs, lambda c: rows[c["train_set"]], lambda c: tok, lambda c: feats)
-    return res.groupBy("clf", "train_set").pivot("corpus", ["documents", "conversations", "benchmark"]).agg(
-        F.first("f1").alias("f1"))
+    return _wide(M.sweep(configs, lambda c: rows[c["train_set"]], lambda c: test, lambda c: feats), ["clf", "train_set"])
 
 
 # --- streaming and batch scoring ---------------------------------------------------------------------

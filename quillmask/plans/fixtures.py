@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import text as T
-from ..sources.tables import SENT_KEYS, corpora
+from ..sources.tables import SENT_KEYS, corpora, read_table, spread_documents
 
 
 def sentences(spark: SparkSession, sf_dir: str, which=("documents", "conversations", "benchmark"),
               pattern: str = P.GOLD) -> DataFrame:
     """``sent``: ``(corpus, doc_id, sent_id, sent, words, labels)`` with gold
     0/1/2 labels; one row per non-empty sentence.  Map-only."""
-    s = T.split_sentences(corpora(spark, sf_dir, which))
+    return labelled(corpora(spark, sf_dir, which), pattern)
+
+
+def labelled(docs: DataFrame, pattern: str = P.GOLD) -> DataFrame:
+    """``sent`` of any ``(corpus, doc_id, text)``."""
+    s = T.split_sentences(docs)
     s = s.withColumn("words", T.TX.words_of(F.col("sent"))).filter(F.size("words") > 0)
     return T.label_with_rules(s, "sent", pattern)
 
 
+def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tok`` of ``documents`` with collapsed labels, the language as corpus
+    (null: ``none``): data sets that hold sensitive words."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang") \
+        .select(F.coalesce("lang", F.lit("none")).alias("corpus"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return T.collapse_labels(T.explode_tokens(labelled(spread_documents(docs))), "label")
+
+
 def tokens(spark: SparkSession, sf_dir: str, which=("documents", "conversations", "benchmark")) -> DataFrame:
     """``tok``: ``(corpus, doc_id, sent_id, pos, word, label)``, gold labels."""
     return T.explode_tokens(sentences(spark, sf_dir, which))
@@ -47,7 +60,6 @@ SENT_COLS = SENT_KEYS + ["words", "labels"]
 
 
 def embeddings(spark, sf_dir) -> DataFrame:
-    from ..sources.tables import read_table
     return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
 
 

@@ -587,3 +587,48 @@ ORACLE["span_token_join"] = with_base() + """
 SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(h.pos IS NOT NULL AS INTEGER) AS pred
 FROM tokoff t LEFT JOIN hits h USING (corpus, doc_id, sent_id, pos)
 """
+
+ORACLE["anonymize_ngram"] = with_base(ngram_ctes(2, 2), """
+sent_text AS (
+  SELECT corpus, doc_id, sent_id, string_agg(CASE WHEN pred <> 0 THEN '<ANON>' ELSE word END, ' ' ORDER BY pos) AS s
+  FROM rare2_pred GROUP BY corpus, doc_id, sent_id)
+""") + """
+SELECT corpus, doc_id, string_agg(s, chr(10) ORDER BY sent_id) AS masked FROM sent_text GROUP BY corpus, doc_id
+"""
+
+ORACLE["anonymize_held_ngrams"] = with_base("""
+dwin AS (
+  SELECT * FROM (
+    SELECT doc_id, sent_id, pos, lower(word) || ' ' || lead(lower(word)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS g
+    FROM tokc WHERE corpus = 'documents') WHERE g IS NOT NULL),
+listed AS (SELECT DISTINCT g FROM dwin WHERE doc_id % 2 = 0),
+hit AS (SELECT DISTINCT doc_id, sent_id, unnest([pos, pos + 1]) AS pos FROM dwin ANTI JOIN listed USING (g) WHERE doc_id % 2 = 1),
+pairs AS (
+  SELECT t.label, CAST(h.pos IS NOT NULL AS INTEGER) AS pred
+  FROM tokc t LEFT JOIN hit h USING (doc_id, sent_id, pos) WHERE t.corpus = 'documents' AND t.doc_id % 2 = 1)
+""") + _prf_select("", _conf("", "pairs"))
+
+ORACLE["fold_tokens"] = with_base() + """
+SELECT corpus, doc_id, sent_id, string_agg(word, ' ' ORDER BY pos) AS tokens,
+       string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS labels
+FROM tok GROUP BY corpus, doc_id, sent_id
+"""
+
+ORACLE["mismatched_tokens"] = with_base(span_ctes("bl", P.BASELINE_SPANS)) + """
+SELECT corpus, CAST(count(*) FILTER (WHERE label > 0 AND hit = 0) AS BIGINT) AS gold_only,
+       CAST(count(*) FILTER (WHERE label = 0 AND hit > 0) AS BIGINT) AS pred_only
+FROM tokc JOIN bl_flag USING (corpus, doc_id, sent_id, pos) WHERE label > 0 OR hit > 0 GROUP BY corpus
+"""
+
+_HELD = """
+held AS (
+  SELECT lower(t.word) AS word, t.label, count(*) AS n FROM tokc t
+  WHERE t.corpus = 'documents' AND t.doc_id % 5 <> 0 GROUP BY ALL)
+"""
+
+ORACLE["training_matrix"] = with_base(_HELD) + """
+SELECT word, CAST(label AS INTEGER) AS label, CAST(n AS BIGINT) AS n,
+       round(n * (sum(n) OVER () / (2 * sum(n) OVER (PARTITION BY label))), 6) AS weight,
+       CAST(2 * (SELECT max(len(embedding)) FROM embeddings) AS BIGINT) AS n_features
+FROM held
+"""
