@@ -69,10 +69,11 @@ def test_fit_learns_sticky_labels():
 
 
 def test_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = "pmod(xxhash64(text), 4) = 0"
-    model = C.train(docs.filter(f"not {held}"))
-    out = C.label_lines(docs.filter(held), model).select("quality", "kept", "base_failed").collect()
+    model = C.train(docs.filter(f"not {held}"), labels)
+    out = C.label_lines(docs.join(labels, "doc_id").filter(held), model).select("quality", "kept", "base_failed").collect()
     good, bad = [r for r in out if r.quality == 1 and not r.base_failed], [r for r in out if r.quality == 0]
     assert len(good) > 300 and len(bad) > 50
     assert sum(r.kept for r in good) / len(good) > 0.99
@@ -80,13 +81,13 @@ def test_held_out_documents(spark):
 
 
 def test_mixed_document_and_edge_cases(frame, spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    model = C.train(docs)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = C.train(docs, labels)
     rows = [(i, t) for i, t in enumerate(corpus())] + [(None, None)]
     got = C.label_lines(frame([(*r, "x") for r in rows], DOCS + ", kept string"), model).collect()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got} == {i: plain(t) for i, t in rows}
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
     assert C.label_lines(frame([], DOCS), model).count() == 0
-    nothing = C.train(docs.filter("false"))
+    nothing = C.train(docs, labels.filter("false"))
     assert C.judged(["a plain line of ten words is kept as it is here"], nothing)["kept"].tolist() == [True]
