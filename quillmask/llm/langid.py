@@ -138,7 +138,8 @@ class LanguageModel:
             low = bits[best, cols]
             if len(self.langs) > 1:
                 bits[best, cols] = np.inf
-                gap = 1 - low / bits.min(axis=0)
+                second = bits.min(axis=0)
+                gap = 1 - low / np.where(second > 0, second, 1)
             else:
                 gap = np.maximum(0.0, 1 - low / 8)
             has = n > 0
