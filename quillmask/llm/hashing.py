@@ -48,7 +48,7 @@ class Words:
         of_word = np.flatnonzero(inside[1:-1])
         at = np.cumsum(size) - size
         if len(size):
-            rel = np.arange(len(of_word)) - np.repeat(at, size)
+            rel = np.arange(len(of_word), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
             value = BYTE_VALUE[self.data[of_word]] * powers(BASE, int(size.max()))[rel]
             self.hash = mixed(np.add.reduceat(value, at) + size.astype(np.uint64) * BASE)
         else:

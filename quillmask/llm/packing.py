@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepared, stored
-from .tokens import BATCH, TOKENIZER, encoder
+from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
 GROUPS = 96
@@ -71,8 +71,8 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: st
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at:at + BATCH]
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at:at + 2048]
                 for doc, ids in zip(part["doc_id"], encoder(tokenizer).encode(part["text"].tolist())):
                     ids = memoryview(ids + END)
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):
@@ -90,20 +90,21 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: st
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
     """The multiset of sizes of largest total value that fits (each size is
     over an eighth of the capacity, so few fit): by number of items."""
+    use = np.flatnonzero(value > 1e-12)
+    if not len(use):
+        return np.zeros(len(size), dtype=np.int64)
+    # best[room] with one more item each turn; below the least room: nothing fits
+    before = np.arange(capacity + 1)[None, :] - size[use][:, None]
+    fits, before = before >= 0, np.maximum(before, 0)
     best, choice = np.zeros(capacity + 1), []
     while True:
-        nxt, pick = best.copy(), np.full(capacity + 1, -1)
-        for j, (v, s) in enumerate(zip(value, size)):
-            if v <= 1e-12:
-                continue
-            gain = best[:capacity + 1 - s] + v
-            better = gain > nxt[s:] + 1e-12
-            nxt[s:][better] = gain[better]
-            pick[s:][better] = j
-        if (pick < 0).all():
+        gain = np.where(fits, best[before] + value[use][:, None], -1.0)
+        top = gain.argmax(axis=0)
+        better = gain[top, np.arange(capacity + 1)] > best + 1e-12
+        if not better.any():
             break
-        choice.append(pick)
-        best = nxt
+        choice.append(np.where(better, use[top], -1))
+        best = np.where(better, gain[top, np.arange(capacity + 1)], best)
     out, room = np.zeros(len(size), dtype=np.int64), capacity
     for pick in reversed(choice):
         if pick[room] >= 0:
