@@ -136,12 +136,14 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 
 def sample(spark, pages: DataFrame, page_id: str, url: str, html: str) -> list[bytes]:
-    """The records of the ``SAMPLE_RECORDS`` least hashes, at most
-    ``SAMPLE_BYTES`` of each: what the dictionary is trained on."""
-    part = F.substring(payload(pages, html), 1, SAMPLE_BYTES)
-    rows = pages.select(F.col(page_id).cast("string").alias("p"), F.col(url).cast("string").alias("u"), part.alias("h"),
-                        F.xxhash64(F.col(page_id), F.col(html)).alias("x")).orderBy("x", "p").limit(SAMPLE_RECORDS).collect()
-    return [record(r.p, r.u, bytes(r.h), hashlib.sha1(r.h).hexdigest(), None, False) for r in rows]
+    """What the dictionary is trained on: of each of ``SAMPLE_RECORDS`` hash
+    buckets the record of least hash, at most ``SAMPLE_BYTES`` of each.  The
+    minima are aggregated map-side."""
+    rows = pages.select(F.col(page_id).cast("string").alias("p"), F.col(url).cast("string").alias("u"),
+                        F.substring(payload(pages, html), 1, SAMPLE_BYTES).alias("h"), F.xxhash64(F.col(page_id), F.col(html)).alias("x"))
+    least = rows.groupBy(F.pmod("x", F.lit(SAMPLE_RECORDS)).alias("b")).agg(F.min("x").alias("x")).select("x")
+    picked = rows.join(F.broadcast(least), "x").groupBy("x").agg(F.min(F.struct("p", "u", "h")).alias("r")).select("x", "r.*").collect()
+    return [record(r.p, r.u, bytes(r.h), hashlib.sha1(r.h).hexdigest(), None, False) for r in sorted(picked, key=lambda r: r.x)]
 
 
 def write_records(rows: DataFrame, folder: str, samples: list[bytes], file_bytes: int, level: int) -> DataFrame:
