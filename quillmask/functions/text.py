@@ -15,15 +15,16 @@ from .arrays import bio_from_flags, match_bounds, overlap_flags
 
 def sentence_pieces(text: Column) -> Column:
     """The rule sentence split -> ``array<string>`` (may hold empty pieces).
-    The separator character in a text counts as a space."""
-    return F.split(F.regexp_replace(F.translate(text, P.SENT_SEP, " "), P.SENT_END, "$1" + P.SENT_SEP), P.SENT_SEP, -1)
+    Unicode spaces and the separator character become plain spaces first, once
+    per text, so that all later patterns can use the cheap ``\\s``."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, P.ODD_SPACES, " "), P.SENT_END, "$1" + P.SENT_SEP), P.SENT_SEP, -1)
 
 
 def words_of(sent: Column) -> Column:
     """Pad every punctuation character with spaces, split on whitespace,
     drop empty strings."""
     padded = F.regexp_replace(sent, "(" + P.PUNCT_CLASS + ")", " $1 ")
-    return F.filter(F.split(padded, P.SPACE + "+", -1), lambda w: w != "")
+    return F.filter(F.split(padded, r"\s+", -1), lambda w: w != "")
 
 
 def raw_token_bounds(sent: Column) -> Column:

@@ -16,7 +16,8 @@ def lit(s: str) -> str:
 TOKEN = lit(P.TOKEN)
 GOLD = lit(P.GOLD)
 SENT_END = lit(P.SENT_END)
-SPACES = lit(P.SPACE + "+")
+SPACES = "'\\s+'"
+ODD = lit(P.ODD_SPACES)
 PUNCT = lit("(" + P.PUNCT_CLASS + ")")
 
 BASE = f"""
@@ -26,7 +27,7 @@ corpora AS (
   UNION ALL SELECT 'benchmark', CAST(item_id AS BIGINT), text FROM benchmark),
 pieces AS (
   SELECT corpus, doc_id,
-         string_split(regexp_replace(replace(text, chr(1), ' '), {SENT_END}, '\\1' || chr(1), 'g'), chr(1)) AS ss
+         string_split(regexp_replace(regexp_replace(text, {ODD}, ' ', 'g'), {SENT_END}, '\\1' || chr(1), 'g'), chr(1)) AS ss
   FROM corpora),
 sent_all AS (
   SELECT corpus, doc_id, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS sent_id, unnest(ss) AS sent
