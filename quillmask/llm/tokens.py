@@ -30,14 +30,17 @@ WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
 OTHER = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧€]|<\\|")
 CUT = re.compile(r"\s(?=[A-Za-z])")
 
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple, "Encoder"] = {}
 
 
-def encoder(name: str = TOKENIZER) -> "Encoder":
-    """One encoder per process and tokenizer file."""
-    if name not in _loaded:
-        _loaded[name] = Encoder(name)
-    return _loaded[name]
+def encoder(name: str = TOKENIZER, cache_words: int = CACHE_WORDS, chunk: int = CHUNK) -> "Encoder":
+    """One encoder per process; a worker that turns to another setting lets
+    the former one go."""
+    key = (name, cache_words, chunk)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Encoder(*key)
+    return _loaded[key]
 
 
 def is_other(s: str) -> bool:
@@ -68,7 +71,8 @@ def spelled(s: str) -> tuple[str, ...] | list[str]:
 
 
 class Encoder:
-    def __init__(self, name: str):
+    def __init__(self, name: str, cache_words: int = CACHE_WORDS, chunk: int = CHUNK):
+        self.cache_words, self.chunk = cache_words, chunk
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         if not os.path.isabs(name):
@@ -106,7 +110,7 @@ class Encoder:
 
     def looked_up(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > self.cache_words:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         out = list(map(young.get, words))
@@ -145,7 +149,7 @@ class Encoder:
         parts = [s for c in cut for s in c]
         other = [is_other(s) for s in parts]
         low = [s.lower().encode() for s, o in zip(parts, other) if not o]
-        plain = iter([x for a, b in chunks(low, CHUNK, len(low)) for x in self.plain(low[a:b])])
+        plain = iter([x for a, b in chunks(low, self.chunk, len(low)) for x in self.plain(low[a:b])])
         rest = iter(self.whole([s for s, o in zip(parts, other) if o]))
         ids = iter([next(rest) if o else next(plain) for o in other])
         return [b"".join([next(ids) for _ in c]) for c in cut]
