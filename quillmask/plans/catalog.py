@@ -756,21 +756,29 @@ def test_annotator(spark, sf_dir):
     return QUERIES["clf_logreg"](spark, sf_dir)
 
 
+def _annotated(spark, sf_dir):
+    """The tokens of all corpora (documents by language) with the prediction of
+    a classifier trained on four fifths of the documents; ``held_out``: not
+    among those."""
+    tok = FX.by_language(spark, sf_dir).withColumn("held_out", F.coalesce(_held_out(), F.lit(True)))
+    other = T.collapse_labels(FX.tokens(spark, sf_dir, ("conversations", "benchmark")), "label").withColumn("held_out", F.lit(True))
+    tok = tok.unionByName(other.select(*tok.columns)).checkpoint(eager=True)
+    tv = _type_vectors(spark, sf_dir, FX.words(spark, sf_dir)).checkpoint(eager=True)
+    model = M.train_annotator(M.clf_logreg(), M.type_training_rows(tok.filter("not held_out"), tv).checkpoint(eager=True))
+    return M.annotate_model(tok, model, M.type_features(tok, tv).checkpoint(eager=True))
+
+
 @query
 def annotate_model(spark, sf_dir):
-    """A fitted classifier labels every held-out token."""
-    rows, test, feats = _model_data(spark, sf_dir)
-    model = M.train_annotator(M.clf_logreg(), rows)
-    p = M.annotate_model(test, model, feats)
-    return p.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred")
+    """A fitted classifier labels every token of all corpora."""
+    p = _annotated(spark, sf_dir)
+    return p.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred", "held_out")
 
 
 @query
 def anonymize_model(spark, sf_dir):
-    """A8 over A7: masked text of the held-out documents by a fitted
-    classifier."""
-    rows, test, feats = _model_data(spark, sf_dir)
-    p = M.annotate_model(test, M.train_annotator(M.clf_logreg(), rows), feats)
+    """A8 over A7: masked text of all corpora by a fitted classifier."""
+    p = _annotated(spark, sf_dir)
     return T.mask_text(T.fold_tokens(p, values=("word", "pred"), names=("words", "preds")), "preds")
 
 

@@ -118,3 +118,13 @@ def test_confusion_of_the_ngram_annotator_over_all_words(spark):
     r = A.annotate_rare_ngrams(s, A.ngram_counts(s, 2, 2), 2)
     c = E.confusion(r).first()
     assert c.tp + c.fp + c.fn + c.tn == s.agg(F.sum(F.size("words"))).first()[0]
+
+
+def test_the_model_annotates_and_masks_every_document(spark):
+    tok = FX.by_language(spark, SF).unionByName(T.collapse_labels(FX.tokens(spark, SF, ("conversations", "benchmark")), "label"))
+    want = {(r.corpus, r.doc_id): r.n for r in tok.groupBy("corpus", "doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = C.QUERIES["annotate_model"](spark, SF)
+    assert {(r.corpus, r.doc_id): r.n for r in got.groupBy("corpus", "doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == want
+    assert got.filter("not held_out and corpus in ('conversations', 'benchmark')").isEmpty() and not got.filter("not held_out").isEmpty()
+    masked = C.QUERIES["anonymize_model"](spark, SF)
+    assert sorted((r.corpus, r.doc_id) for r in masked.collect()) == sorted(want)
