@@ -11,8 +11,9 @@ what it shares with the templates of its scale: texts without any such shingle
 drop out first (one hash set per text), and windows exist only where shingles
 were found.  Each band is one minimum over a seeded hash of the set.  A window
 that contains 0.8 of a template has a Jaccard similarity with it of at least
-``LEAST_JACCARD`` (it shares its set with up to three others of its size);
-the number of bands follows from it and ``MISS``, the chance of a miss.
+``LEAST_JACCARD`` (a window holds under 5 m shingles, all of which may be of
+templates); the number of bands follows from it and ``MISS``, the chance of a
+miss.
 
 Retrieved (window, template) pairs are kept if the window holds at least 0.8 of
 the template's shingles.  A (document, template) pair is reported with its best
@@ -36,7 +37,7 @@ from .license_texts import NOTICES
 
 WORDS = 5
 CONTAINMENT = 0.8
-LEAST_JACCARD, MISS = 0.2, 1e-5
+LEAST_JACCARD, MISS = 0.15, 1e-5    # scale < 2.5 m, window < 5 m: 0.8 / 5.2
 BANDS = math.ceil(math.log(MISS) / math.log(1 - LEAST_JACCARD))
 MAX_TEMPLATE_SHINGLES = 1_000_000
 

@@ -41,3 +41,9 @@ def test_edge_cases(frame):
     assert L.scan(frame([], DOCS)).count() == 0
     with pytest.raises(ValueError):
         L.scan(docs, [("x", "four words are few")])
+
+
+def test_bands_miss_no_window_full_of_template_shingles():
+    from quillmask.llm import licenses
+    least = licenses.CONTAINMENT / (5 + 1 - licenses.CONTAINMENT)       # a window of 5 m shingles
+    assert (1 - least) ** licenses.BANDS <= licenses.MISS
