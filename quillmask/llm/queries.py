@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, licenses, linecrf, linededup, minhash, mixing, packing, passages, warc
+from . import audit, hnsw, langid, licenses, linecrf, linededup, minhash, mixing, packing, passages, repair, topk, warc
 from ..session import scratch_path
 from .common import table
 
@@ -169,3 +169,135 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of at least 50 words that repeat across documents."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every row whose id is divisible
+    by 50, against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+LLM_ORACLE["op11_topk_search"] = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(max(coalesce(list_inner_product(q.v, c.v), 0)) AS BIGINT) AS score
+  FROM (SELECT * FROM rows WHERE vec_id % 50 = 0) q JOIN rows c ON q.vec_id <> c.vec_id GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by language."""
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LLM_ORACLE["op12_filter_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marks AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+least AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+faults AS MATERIALIZED (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [CAST(len(words) < 200 AS INT), CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT),
+          CAST(100 * length(regexp_replace(w.t, '[^A-Z]+', '', 'g')) > 3 * length(w.t) AS INT),
+          CAST(regexp_matches(w.t, '[#$%&*|]') AS INT), CAST(coalesce(w.doc_id > first, false) AS INT)] AS fails
+  FROM w JOIN least USING (t) LEFT JOIN marks ON marks.doc_id = w.doc_id),
+masks AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM faults GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.f, b.f, c.f, d.f, e.f] AS fs
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+gone AS (
+  SELECT *, list_position(list_transform(fs, lambda f: fails[f]), 1) AS gone_at FROM masks, orders),
+steps AS (
+  SELECT part, filter_order, step, fs[step] AS f,
+         sum(CASE WHEN gone_at IS NULL OR gone_at = 0 OR gone_at > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails[fs[step]] = 1 AND gone_at < step THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails[fs[step]] = 1 AND list_sum(fails) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone_at = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, filter_order, step, fs[step])
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair, a row each."""
+    pieces = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    return repair.summaries(pieces).withColumnRenamed("conv", "conv_id")
+
+
+LLM_ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+         lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations), crc_table),
+damaged AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]+', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM raw WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS MATERIALIZED (
+  SELECT conv, turn, role, text, i, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv ORDER BY i), 1) || left(role, 1) AS pair,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault,
+         count(*) OVER (PARTITION BY conv) AS n
+  FROM numbered),
+moves(q, initial, letter, cost, q2, role2) AS (VALUES
+  ('', 's', 'K', 0, 's', NULL), ('', 'u', 'K', 0, 'u', NULL), ('s', 'u', 'K', 0, 'u', NULL), ('a', 'u', 'K', 0, 'u', NULL), ('u', 'a', 'K', 0, 'a', NULL),
+  ('', NULL, 'R', 1, 'u', 'user'), ('s', NULL, 'R', 1, 'u', 'user'), ('a', NULL, 'R', 1, 'u', 'user'), ('u', NULL, 'R', 1, 'a', 'assistant'),
+  ('', NULL, 'D', 2, '', NULL), ('s', NULL, 'D', 2, 's', NULL), ('u', NULL, 'D', 2, 'u', NULL), ('a', NULL, 'D', 2, 'a', NULL)),
+inserts(p, letters, icost, q, rows) AS (VALUES
+  ('', '', 0, '', ''), ('s', '', 0, 's', ''), ('u', '', 0, 'u', ''), ('a', '', 0, 'a', ''),
+  ('', 'I', 5, 'u', 'user:' || chr(10)), ('s', 'I', 5, 'u', 'user:' || chr(10)), ('a', 'I', 5, 'u', 'user:' || chr(10)), ('u', 'I', 5, 'a', 'assistant:' || chr(10)),
+  ('', 'II', 10, 'a', 'user:' || chr(10) || 'assistant:' || chr(10)), ('s', 'II', 10, 'a', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  ('a', 'II', 10, 'a', 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 'II', 10, 'u', 'assistant:' || chr(10) || 'user:' || chr(10))),
+walk AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS out FROM judged
+  UNION ALL
+  SELECT w.conv, j.i, m.q2,
+         w.cost + s.icost + m.cost + CASE WHEN m.letter <> 'D' AND j.fault = 'truncated' THEN 5 ELSE 0 END AS cost2,
+         w.audit || s.letters || m.letter AS audit2,
+         w.out || s.rows || CASE m.letter WHEN 'D' THEN '' WHEN 'K' THEN j.role || ':' || j.text || chr(10) ELSE m.role2 || ':' || j.text || chr(10) END
+  FROM walk w JOIN judged j ON j.conv = w.conv AND j.i = w.i + 1 JOIN inserts s ON s.p = w.state
+  JOIN moves m ON m.q = s.q AND (m.initial IS NULL OR m.initial = j.initial) AND (m.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+  QUALIFY row_number() OVER (PARTITION BY w.conv, m.q2 ORDER BY cost2, audit2) = 1),
+ended AS (
+  SELECT w.conv, w.cost + s.icost AS cost, w.audit || s.letters AS audit, w.out || s.rows AS out
+  FROM walk w JOIN (SELECT conv, max(i) AS n FROM judged GROUP BY conv) e ON e.conv = w.conv AND w.i = e.n
+  JOIN inserts s ON s.p = w.state AND s.q IN ('', 'a')),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY cost, audit) AS nth FROM ended),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(left(out, length(out) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv = coalesce(CAST(o.conv_id AS VARCHAR), 'null')
+LEFT JOIN best b ON b.conv = c.conv AND nth = 1
+"""
