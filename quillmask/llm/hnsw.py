@@ -25,6 +25,8 @@ shards are the first k by score.
 Defined results: vectors that are null, zero, of another dimension than most,
 or hold a null or a non-finite component take no part, as row or query; ties go
 to the smaller id; rows that share the query's id are not its neighbours.
+Repeated rows count once; an id of several vectors is one query and one
+neighbour, by the best of its pairs.
 """
 from __future__ import annotations
 
@@ -211,6 +213,7 @@ def index(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", sh
         shuffled = np.random.default_rng(1).permutation(len(vectors))
         vectors, node = vectors[shuffled], np.argsort(shuffled)[node.ravel()]
         ids = pdf["vec_id"].to_numpy().astype(np.int64)
+        node, ids = np.unique(np.stack([node, ids], axis=1), axis=0).T      # repeated rows are one
         order = np.lexsort((ids, node))
         starts = np.searchsorted(node[order], np.arange(len(vectors) + 1))
         g = Graph.build(vectors)
@@ -230,7 +233,7 @@ def search(built: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
     vec_id, score (inner product)."""
     prepared(built.sparkSession)
     good = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")) \
-        .filter(F.col("query_id").isNotNull() & valid(F.col("v"))).withColumn("dim", F.size("v"))
+        .filter(F.col("query_id").isNotNull() & valid(F.col("v"))).withColumn("dim", F.size("v")).dropDuplicates(["query_id", "v"])
     blocks = max(1, -(-good.count() // block_rows))
     good = good.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     packs = good.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
@@ -257,6 +260,11 @@ def search(built: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
                     i, value = i[to], score[i, j][to]
                     other = vec != own[a + i]
                     i, vec, value = i[other], vec[other], value[other]
+                    # an id that stands in several nodes counts by its best
+                    order = np.lexsort((-value, vec, i))
+                    i, vec, value = i[order], vec[order], value[order]
+                    once = np.concatenate([[True], (i[1:] != i[:-1]) | (vec[1:] != vec[:-1])]) if len(i) else np.zeros(0, dtype=bool)
+                    i, vec, value = i[once], vec[once], value[once]
                     order = np.lexsort((vec, -value, i))
                     i, vec, value = i[order], vec[order], value[order]
                     top = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -265,5 +273,7 @@ def search(built: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
     # a (shard, block) is a task's unit of work
     tasks = max(1, min(2000, blocks * max(1, built.count())))
     found = todo.repartition(tasks, "shard", "block").mapInPandas(find, "query_id long, vec_id long, score double")
+    # a query id or a candidate id of several vectors: the best of their pairs
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepared, stored
-from .tokens import CACHE_WORDS, CHUNK, TOKENIZER, encoder
+from .tokens import CACHE_BYTES, CHUNK, TOKENIZER, encoder
 
 CAPACITY = 2048
 GROUPS = 96
@@ -69,16 +69,20 @@ def ranked(rows: DataFrame, by: str) -> DataFrame:
 def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and rank of every piece."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at:at + 2048]
-                for doc, ids in zip(part["doc_id"], encoder(*tokenizer).encode(part["text"].tolist())):
-                    ids = memoryview(ids + END)
-                    for k, b in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[b:b + 4 * capacity]
-                        rows.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
+        coder = encoder(*tokenizer)
+        try:
+            for pdf in batches:
+                rows = []
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at:at + 1024]
+                    for doc, ids in zip(part["doc_id"], coder.encode(part["text"].tolist())):
+                        ids = memoryview(ids + END)
+                        for k, b in enumerate(range(0, len(ids), 4 * capacity)):
+                            own = ids[b:b + 4 * capacity]
+                            rows.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
+        finally:
+            coder.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     # as text: pandas has no whole numbers beside nulls
@@ -252,11 +256,11 @@ def histogram(df: DataFrame, by: str) -> dict[int, int]:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         n_groups: int = GROUPS, tokenizer: str = TOKENIZER, cache_words: int = CACHE_WORDS, chunk: int = CHUNK) -> DataFrame:
+         n_groups: int = GROUPS, tokenizer: str = TOKENIZER, cache_bytes: int = CACHE_BYTES, chunk: int = CHUNK) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset.  ``cache_words`` and ``chunk`` trade a worker's memory for speed."""
+    offset.  ``cache_bytes`` and ``chunk`` trade a worker's memory for speed."""
     spark = prepared(docs.sparkSession)
-    rows = pieces(docs, doc_id, text, capacity, tokenizer, cache_words, chunk)
+    rows = pieces(docs, doc_id, text, capacity, tokenizer, cache_bytes, chunk)
     counts = histogram(rows, "length")
     limit = capacity // 8
     large = LargePlan({s: n for s, n in counts.items() if s > limit}, capacity, n_groups)

@@ -18,9 +18,10 @@ import numpy as np
 from .hashing import NON_SPACE, Words, chunks
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 550_000           # of each of two generations
+CACHE_BYTES = 15_000_000        # of each of two generations of known words
+ENTRY = 190                     # bytes of a known word beside its letters and ids
 CALL_WORDS = 500                # words joined in one call
-CHUNK = 4_000_000               # bytes of texts handled at once
+CHUNK = 2_000_000               # bytes of texts handled at once
 SLICE = 500_000                 # characters of a long text handled at once
 
 #: Fixed pattern of the tokenizer file, for the characters below.
@@ -33,10 +34,10 @@ CUT = re.compile(r"\s(?=[A-Za-z])")
 _loaded: dict[tuple, "Encoder"] = {}
 
 
-def encoder(name: str = TOKENIZER, cache_words: int = CACHE_WORDS, chunk: int = CHUNK) -> "Encoder":
+def encoder(name: str = TOKENIZER, cache_bytes: int = CACHE_BYTES, chunk: int = CHUNK) -> "Encoder":
     """One encoder per process; a worker that turns to another setting lets
     the former one go."""
-    key = (name, cache_words, chunk)
+    key = (name, cache_bytes, chunk)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Encoder(*key)
@@ -71,8 +72,8 @@ def spelled(s: str) -> tuple[str, ...] | list[str]:
 
 
 class Encoder:
-    def __init__(self, name: str, cache_words: int = CACHE_WORDS, chunk: int = CHUNK):
-        self.cache_words, self.chunk = cache_words, chunk
+    def __init__(self, name: str, cache_bytes: int = CACHE_BYTES, chunk: int = CHUNK):
+        self.cache_bytes, self.chunk = cache_bytes, chunk
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         if not os.path.isabs(name):
@@ -87,8 +88,13 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         # what stands between spaces -> ids; words not used for long fall out
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets the known words go; a worker outlives its task."""
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,8 +116,8 @@ class Encoder:
 
     def looked_up(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        if len(self.young) > self.cache_words:
-            self.young, self.old = {}, self.young
+        if self.held > self.cache_bytes:
+            self.young, self.old, self.held = {}, self.young, 0
         young, old = self.young, self.old
         out = list(map(young.get, words))
         missing = [i for i, ids in enumerate(out) if ids is None]
@@ -122,11 +128,14 @@ class Encoder:
                 new.append(i)
             else:
                 out[i] = young[words[i]] = ids
+                self.held += ENTRY + len(words[i]) + len(ids)
         split = list(map(spelled, b"\n".join([words[i] for i in new]).decode().split("\n"))) if new else []
         parts = list(set().union(*split))
         known = dict(zip(parts, self.together(parts)))
         for i, s in zip(new, split):
-            out[i] = young[words[i]] = known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])
+            ids = known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])
+            out[i] = young[words[i]] = ids
+            self.held += ENTRY + len(words[i]) + len(ids)
         return out
 
     def plain(self, texts: list[bytes]) -> list[bytes]:

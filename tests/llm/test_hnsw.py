@@ -68,3 +68,22 @@ def test_few_rows_and_bad_vectors(frame):
     assert H.search(H.index(none), df, 5).count() == 0
     alone = frame([(0, [1.0]), (0, [1.0])], VECTORS)
     assert H.search(H.index(alone), alone, 5).count() == 0
+
+
+def test_repeated_rows_count_once(frame):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    once, twice = frame(rows, VECTORS), frame(rows * 2 + rows[:20], VECTORS)
+    near = [by_query(H.search(H.index(df, shard_rows=30), df.filter("vec_id % 20 = 0"), 20)) for df in (once, twice)]
+    assert near[0] == near[1] and all(len({i for i, _ in v}) == 20 for v in near[1].values())
+    # one id, two vectors: the better one of each pair counts, once
+    several = rows + [(7, [9.0, 9.0, 9.0, 9.0]), (20, [-9.0, -9.0, -9.0, -9.0])]
+    df = frame(several, VECTORS)
+    got = by_query(H.search(H.index(df), df.filter("vec_id % 20 = 0"), 20))
+    for q in (0, 20, 40):
+        mine = [np.array(v) for i, v in several if i == q]
+        want = {}
+        for i, v in several:
+            if i != q:
+                want[i] = max(want.get(i, -1e9), *[float(np.dot(m, v)) for m in mine])
+        assert [i for i, _ in got[q]] == sorted(want, key=lambda i: (-want[i], i))[:20]
