@@ -18,10 +18,10 @@ import numpy as np
 from .hashing import NON_SPACE, Words, chunks
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_BYTES = 15_000_000        # of each of two generations of known words
+CACHE_BYTES = 45_000_000        # of each of two generations of known words
 ENTRY = 190                     # bytes of a known word beside its letters and ids
 CALL_WORDS = 500                # words joined in one call
-CHUNK = 2_000_000               # bytes of texts handled at once
+CHUNK = 4_000_000               # bytes of texts handled at once
 SLICE = 500_000                 # characters of a long text handled at once
 
 #: Fixed pattern of the tokenizer file, for the characters below.
