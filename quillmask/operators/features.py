@@ -3,21 +3,52 @@ removal, token feature rows, training matrix and a 2-D projection."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import patterns as P
+from ..session import ship_package
 from ..sources.tables import SENT_KEYS
 from .lookup import zeros
 
-BROADCAST_ROWS = 20_000         # rows of a vector table that is sent to every executor
+BROADCAST_CELLS = 8_000_000     # numbers of a vector table that is sent to every executor
+BROADCAST_ROWS = 500_000        # listed words that are sent along
+SLICE = 32_768                  # tokens whose vectors are in memory at once
+
+
+def held_types(vec: DataFrame, limit: int = BROADCAST_CELLS) -> tuple[list[str], np.ndarray] | None:
+    """Words and matrix of a vector table ``(word, v)`` of at most ``limit``
+    numbers, sorted by word; None of a larger one.  The check reads no more
+    than that many."""
+    one = vec.select("v").first()
+    dim = len(one["v"]) if one else 0
+    rows = vec.select("word", "v").limit(limit // max(dim, 1) + 1).collect()
+    if len(rows) * dim > limit:
+        return None
+    rows.sort(key=lambda r: r["word"])
+    return [r["word"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+
+
+def flat_words(column) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of an Arrow list column: index of each word among the distinct ones,
+    these, and the words per row."""
+    import pyarrow.compute as pc
+    d = pc.list_flatten(column).dictionary_encode()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist(), size.astype(np.int64)
+
+
+def list_column(rows: np.ndarray):
+    """Rows of a matrix as an Arrow list column."""
+    import pyarrow as pa
+    n, d = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(rows.ravel()))
 
 
 def weighted_sentence_vec(sent: DataFrame, vec: DataFrame, freq: DataFrame, a: float = P.SIF_A,
                           relative: bool = False, fold_case: bool = True, freq_fold_case: bool = False,
-                          keys=SENT_KEYS, words: str = "words") -> DataFrame:
+                          keys=SENT_KEYS, words: str = "words", limit: int = BROADCAST_CELLS) -> DataFrame:
     """``sum_w 100 * v_w * a / (a + f(w)) / len`` per sentence of ``sent``
     (keys and word array).
 
@@ -26,11 +57,53 @@ def weighted_sentence_vec(sent: DataFrame, vec: DataFrame, freq: DataFrame, a: f
     unless ``fold_case`` is off, frequencies as written unless
     ``freq_fold_case``.
 
-    Plan: the weight goes into the vector table (one row per word of it and
-    per listed frequency, a table of a checked size), not into the tokens.
-    With that table broadcast, the words of a sentence stay in the task that
-    read them and are summed there; one row per sentence is shuffled.  A table
-    too large for that is joined by shuffle."""
+    Plan: a vector table of up to ``limit`` numbers, with the frequencies of its
+    words, is sent to the executors and the words of a sentence are summed in
+    the task that read them (Arrow batches, the distinct words of a batch
+    looked up once): no shuffle.  A larger table is joined."""
+    import pyarrow as pa
+    ship_package(sent.sparkSession)
+    types = held_types(vec, limit)
+    listed = None
+    if types is not None:
+        key = F.lower("word") if fold_case and not freq_fold_case else F.col("word")
+        known = sent.sparkSession.createDataFrame([(w,) for w in types[0]], "_k string")
+        rows = freq.select("word", "n", key.alias("_k")).join(known, "_k").select("word", "n")
+        listed = rows.limit(BROADCAST_ROWS + 1).collect()
+    if listed is None or len(listed) > BROADCAST_ROWS:
+        return _joined_sentence_vec(sent, vec, freq, a, relative, fold_case, freq_fold_case, keys, words)
+    total = float(freq.agg(F.sum("n")).first()[0] or 1) if relative else 1.0
+    weight = {r["word"]: 100.0 * a / (a + r["n"] / total) for r in listed}
+    held = sent.sparkSession.sparkContext.broadcast((dict(zip(types[0], range(len(types[0])))), types[1], weight))
+    default, n_keys = 100.0 * a / (a + 1.0 / total), len(keys)
+    schema = ST.StructType([*[sent.schema[k] for k in keys], ST.StructField("n_tokens", ST.LongType()),
+                            ST.StructField("sv", ST.ArrayType(ST.DoubleType()))])
+
+    def run(batches):
+        index, matrix, weights = held.value
+        for batch in batches:
+            which, distinct, size = flat_words(batch.column(n_keys))
+            low = [w.lower() for w in distinct]
+            row = np.array([index.get(f if fold_case else w, -1) for w, f in zip(distinct, low)], dtype=np.int64)
+            scale = np.array([weights.get(f if freq_fold_case else w, default) for w, f in zip(distinct, low)], dtype=np.float64)
+            of = np.repeat(np.arange(len(size)), size)
+            hit = np.flatnonzero(row[which] >= 0) if len(row) else np.zeros(0, dtype=np.int64)
+            which, of = which[hit], of[hit]
+            out = np.zeros((len(size), matrix.shape[1]))
+            for s in range(0, len(hit), SLICE):
+                w, o = which[s:s + SLICE], of[s:s + SLICE]
+                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                out[o[first]] += np.add.reduceat(matrix[row[w]] * scale[w][:, None], first, axis=0)
+            out /= np.maximum(size, 1)[:, None]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_keys)], pa.array(size), list_column(out)],
+                                             names=[f.name for f in schema.fields])
+    return sent.select(*keys, words).mapInArrow(run, schema)
+
+
+def _joined_sentence_vec(sent: DataFrame, vec: DataFrame, freq: DataFrame, a: float, relative: bool, fold_case: bool,
+                         freq_fold_case: bool, keys, words: str) -> DataFrame:
+    """F6 by joins: the words of a sentence are counted once, their weights go
+    into the vector table, and one row per (sentence, word) is joined to it."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     vec = vec.select(F.col("word").alias("_vk"), F.transform("v", lambda x: x.cast("double")).alias("_v"))
@@ -44,7 +117,6 @@ def weighted_sentence_vec(sent: DataFrame, vec: DataFrame, freq: DataFrame, a: f
     listed = vec.join(f, F.expr("_vk = lower(_k)") if fold_case else F.col("_vk") == F.col("_k"))
     # words with a listed frequency under their own key, all words of the table under the default
     table = scaled(listed, F.col("_n"), "_k", 1).union(scaled(vec, F.lit(1), "_vk", 0)).checkpoint(eager=True)
-    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     tok = sent.select(*keys, F.explode(words).alias("_word"))
     fk = F.lower("_word") if freq_fold_case else F.col("_word")
     vk = F.lower("_word") if fold_case else F.col("_word")
@@ -63,21 +135,72 @@ def remove_first_direction(sentvec: DataFrame, doc_keys=("corpus", "doc_id"), se
                            col: str = "sv") -> DataFrame:
     """per document, subtract from every sentence vector its projection on
     the first left singular vector of the document's (dim x sentences) matrix.
-    A one-sentence document therefore gets the zero vector.  Grouped pandas:
-    one group is one document (bounded by a document), thin SVD in numpy."""
+    A one-sentence document therefore gets the zero vector.
+
+    That direction is the first eigenvector of the document's Gram matrix, which
+    is a sum over its sentences: tasks add up what they hold of a document, one
+    dim x dim triangle per document and batch is shuffled, and the projection is
+    an expression per sentence.  No task holds a document's vectors."""
+    keys = list(doc_keys)
+    j = sentvec.select(*keys, sent_key, col).join(first_directions(sentvec, doc_keys, col), keys)
+    dot = F.aggregate(F.zip_with(col, "_u", lambda x, u: x * u), F.lit(0.0), lambda p, q: p + q)
+    return j.withColumn("_d", dot).select(*keys, sent_key, F.zip_with(col, "_u", lambda x, u: x - u * F.col("_d")).alias(col))
+
+
+def first_directions(sentvec: DataFrame, doc_keys=("corpus", "doc_id"), col: str = "sv") -> DataFrame:
+    """``(doc keys, _u)``: the first singular vector of every document."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    ship_package(sentvec.sparkSession)
     keys = list(doc_keys)
-    schema = ST.StructType([*[sentvec.schema[k] for k in keys], sentvec.schema[sent_key],
-                            ST.StructField(col, ST.ArrayType(ST.DoubleType()))])
-
-    def per_doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf[col].to_numpy()).astype(np.float64).T  # dim x n
-        u, _, _ = np.linalg.svd(x, full_matrices=False)
-        u0 = u[:, :1]
-        y = x - u0 @ (u0.T @ x)
-        out = pdf[keys + [sent_key]].copy()
-        out[col] = list(y.T)
-        return out
-    return sentvec.select(*keys, sent_key, col).groupBy(*keys).applyInPandas(per_doc, schema)
+    key_fields = [sentvec.schema[k] for k in keys]
+    partial = ST.StructType([*key_fields, ST.StructField("_g", ST.BinaryType())])
+    schema = ST.StructType([*key_fields, ST.StructField("_u", ST.ArrayType(ST.DoubleType()))])
+
+    def grams(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = pc.list_flatten(batch.column(len(keys))).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            doc = batch.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(doc, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(doc[order]) > 0]))
+            upper = np.triu_indices(x.shape[1])
+            out = [(rows := x[part]).T.dot(rows)[upper].tobytes() for part in np.split(order, first[1:])]
+            named = batch.take(pa.array(order[first]))
+            yield pa.RecordBatch.from_arrays([*[named.column(i) for i in range(len(keys))], pa.array(out, pa.binary())], names=[*keys, "_g"])
+
+    def directions(batches):
+        held, total, done = None, None, []
+
+        def solved(rows):
+            n = len(rows[0][1])
+            d = int(((8 * n + 1) ** 0.5 - 1) / 2)
+            g = np.zeros((len(rows), d, d))
+            g[:, *np.triu_indices(d)] = np.stack([r[1] for r in rows])
+            # the upper triangle is read; the last eigenvector is of the largest eigenvalue
+            u = np.linalg.eigh(g, UPLO="U")[1][:, :, -1]
+            names = [pa.array([r[0][i] for r in rows], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*names, list_column(np.ascontiguousarray(u))], names=[*keys, "_u"])
+
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(keys))]
+            for *key, raw in zip(*[batch.column(i).to_pylist() for i in range(len(keys) + 1)]):
+                if key != held:
+                    if held is not None:
+                        done.append((held, total))
+                    held, total = key, np.frombuffer(raw, dtype=np.float64)
+                    if len(done) >= 256:
+                        yield solved(done)
+                        done = []
+                else:
+                    total = total + np.frombuffer(raw, dtype=np.float64)
+        if held is not None:
+            yield solved([*done, (held, total)])
+
+    parts = sentvec.select(*keys, col).mapInArrow(grams, partial)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(directions, schema)
 
 
 def token_features(tok_vec: DataFrame, sentvec: DataFrame | None = None, keys=SENT_KEYS,

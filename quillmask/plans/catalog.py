@@ -15,6 +15,7 @@ from ..functions import patterns as P
 from ..functions.arrays import ratio_round6
 from ..operators import annotate as A
 from ..operators import evaluate as E
+from ..operators import factorised as FT
 from ..operators import features as FEAT
 from ..operators import lookup as L
 from ..operators import models as M
@@ -395,9 +396,10 @@ def decode_ids(spark, sf_dir):
     return d.select("corpus", "doc_id", *_long("sent_id", "pos"), "word")
 
 
-def _sentence_vectors(spark, sf_dir, a=1e-3, relative=True):
-    return FEAT.weighted_sentence_vec(FX.sentences(spark, sf_dir), FX.word_vectors(spark, sf_dir), FX.word_freq(spark, sf_dir),
-                                      a=a, relative=relative)
+def _sentence_vectors(spark, sf_dir, a=1e-3, relative=True, sent=None):
+    vec, freq = FX.word_tables(spark, sf_dir)
+    sent = FX.word_sentences(spark, sf_dir) if sent is None else sent
+    return FEAT.weighted_sentence_vec(sent, vec, freq, a=a, relative=relative)
 
 
 @query
@@ -411,23 +413,51 @@ def weighted_sentence_vec(spark, sf_dir):
 
 @query
 def remove_first_direction(spark, sf_dir):
-    """per-document first singular direction removed (grouped pandas)."""
+    """per-document first singular direction removed (Gram matrices)."""
     r = FEAT.remove_first_direction(_sentence_vectors(spark, sf_dir))
     norm = F.sqrt(F.aggregate("sv", F.lit(0.0), lambda acc, x: acc + x * x))
     return r.select("corpus", "doc_id", *_long("sent_id"), F.round(norm, 6).alias("sv_norm"))
 
 
 @query
-def token_features(spark, sf_dir):
-    """F8: word vector followed by the sentence vector, per token."""
-    tok = FX.tokens(spark, sf_dir)
-    tv = L.lookup_vectors(tok, FX.word_vectors(spark, sf_dir))
-    sv = FEAT.remove_first_direction(_sentence_vectors(spark, sf_dir))
-    f = FEAT.token_features(tv, sv)
+def first_direction_report(spark, sf_dir):
+    """F7 per document: sentences, energy before (sum of squared norms),
+    sentences whose norm grew (none may), and whether a lone sentence is zero
+    afterwards."""
+    before = _sentence_vectors(spark, sf_dir).checkpoint(eager=True)
+
+    def square(v):
+        return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+    after = FEAT.remove_first_direction(before).select("corpus", "doc_id", "sent_id", square("sv").alias("b"))
+    j = before.select("corpus", "doc_id", "sent_id", square("sv").alias("a")).join(after, ["corpus", "doc_id", "sent_id"])
+    n = F.count(F.lit(1))
+    return j.groupBy("corpus", "doc_id").agg(
+        n.alias("sentences"), F.round(F.sum("a"), 4).alias("energy"),
+        F.count_if(F.col("b") > F.col("a") * (1 + 1e-9) + 1e-9).alias("grown"),
+        F.count_if((F.col("b") < 1e-9) | (F.col("b") < F.col("a") * 1e-9)).alias("_zero")) \
+        .select("corpus", "doc_id", "sentences", "energy", "grown", ((F.col("sentences") > 1) | (F.col("_zero") == 1)).alias("lone_is_zero"))
+
+
+def _token_features(spark, sf_dir, centred):
+    vec, freq = FX.word_tables(spark, sf_dir)
+    sv = FEAT.weighted_sentence_vec(FX.word_sentences(spark, sf_dir), vec, freq, a=1e-3, relative=True)
+    f = FEAT.token_features(L.lookup_vectors(FX.tokens(spark, sf_dir), vec), FEAT.remove_first_direction(sv) if centred else sv)
     return f.select("corpus", "doc_id", *_long("sent_id", "pos"), "label",
                     F.size("features").cast("long").alias("n_features"), _vsum("features").alias("f_sum"))
 
 
+@query
+def token_features(spark, sf_dir):
+    """F8: word vector followed by the sentence vector, per token."""
+    return _token_features(spark, sf_dir, False)
+
+
+@query
+def token_features_centred(spark, sf_dir):
+    """F8 with the first direction of the document removed."""
+    return _token_features(spark, sf_dir, True)
+
+
 @query
 def project_2d(spark, sf_dir):
     """PCA to 2-D of the distinct (word, annotated) vectors."""
@@ -756,6 +786,74 @@ def test_annotator(spark, sf_dir):
     return QUERIES["clf_logreg"](spark, sf_dir)
 
 
+# --- word and sentence features together (factorised training) ----------------------------------
+
+L2 = 1e-4
+
+
+def _sentence_rows(spark, sf_dir, fold_case=True, sent=None):
+    """The sentences of the documents by language with the vectors of their
+    words and their centred sentence vectors (F6, F7)."""
+    sent = (FX.language_sentences(spark, sf_dir) if sent is None else sent).checkpoint(eager=True)
+    vec, freq = FX.word_tables(spark, sf_dir, fold_case)
+    sv = FEAT.weighted_sentence_vec(sent, vec, freq, a=1e-3, relative=True, fold_case=fold_case)
+    return FT.sentence_rows(sent, FEAT.remove_first_direction(sv), vec, fold_case)
+
+
+def _grid(train=(None,), features=(False, True)):
+    return [FT.Config(f"{loss}/{'+'.join(t or ('all',))}/{s}", loss, L2, t, s)
+            for loss in FT.LOSSES for t in train for s in features]
+
+
+def _held_out_rows(found, *config):
+    return E.prf(found, [*config, "corpus"], digits=6)
+
+
+@query
+def clf_word_sentence(spark, sf_dir):
+    """F8 + F9 + M0 + M1: logistic and squared-hinge classifiers over word and
+    over word and sentence features, P/R/F1 on the held-out fifth by language."""
+    rows = _sentence_rows(spark, sf_dir)
+    return _held_out_rows(FT.evaluate(rows, FT.fit(rows, _grid())), "clf", "features")
+
+
+@query
+def sweep_train_sets_sentence(spark, sf_dir):
+    """V3 over word and sentence features: the seven combinations of three
+    languages x loss x features, fitted side by side; a wide row each."""
+    from itertools import combinations
+    rows = _sentence_rows(spark, sf_dir)
+    combos = [c for k in (1, 2, 3) for c in combinations(TEST_SETS[:3], k)]
+    found = FT.evaluate(rows, FT.fit(rows, _grid(combos)))
+    return _wide(_held_out_rows(found, "clf", "train_set", "features", "train_time"), ["clf", "train_set", "features"])
+
+
+@query
+def sweep_case_sentence(spark, sf_dir):
+    """V1: case of the lookup x sentence vectors x loss; a wide row each."""
+    parts = []
+    for fold_case in (False, True):
+        rows = _sentence_rows(spark, sf_dir, fold_case)
+        found = _held_out_rows(FT.evaluate(rows, FT.fit(rows, _grid())), "clf", "features", "train_time")
+        parts.append(found.withColumn("lowercase", F.lit(fold_case)))
+    return _wide(parts[0].unionByName(parts[1]), ["clf", "lowercase", "features"])
+
+
+@query
+def annotate_sentence_model(spark, sf_dir):
+    """A7 over word and sentence features: a label for every token of all
+    corpora (documents by language); the model is written and loaded before."""
+    sent = FX.language_sentences(spark, sf_dir)
+    other = T.collapse_labels(FX.sentences(spark, sf_dir, ("conversations", "benchmark")), "labels").withColumn("train", F.lit(False))
+    rows = _sentence_rows(spark, sf_dir, sent=sent.unionByName(other.select(*sent.columns)))
+    path = scratch_path(spark, "linear-model")
+    FT.save(spark, FT.fit(rows, [FT.Config("logistic", "logistic", L2)]), path)
+    out = FT.annotate(rows, FT.load(spark, path))
+    t = T.explode_tokens(out.withColumn("words", F.col("labels")), keys=["corpus", "doc_id", "sent_id", "train"], arrays=("labels", "preds"),
+                         names=("label", "pred"))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred", (~F.col("train")).alias("held_out"))
+
+
 def _annotated(spark, sf_dir):
     """The tokens of all corpora (documents by language) with the prediction of
     a classifier trained on four fifths of the documents; ``held_out``: not

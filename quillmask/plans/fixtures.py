@@ -24,6 +24,20 @@ def labelled(docs: DataFrame, pattern: str = P.GOLD) -> DataFrame:
     return T.label_with_rules(s, "sent", pattern)
 
 
+def word_sentences(spark: SparkSession, sf_dir: str, which=("documents", "conversations", "benchmark")) -> DataFrame:
+    """``sentences`` without labels: ``(corpus, doc_id, sent_id, words)``."""
+    return T.tokenize(T.split_sentences(corpora(spark, sf_dir, which))).select(*SENT_KEYS, "words")
+
+
+def language_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sent`` of ``documents`` with collapsed labels and the language as
+    corpus, ``train`` for four fifths of the documents."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang") \
+        .select(F.coalesce("lang", F.lit("none")).alias("corpus"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    s = T.collapse_labels(labelled(spread_documents(docs)), "labels")
+    return s.select(*SENT_KEYS, "words", "labels", F.coalesce(F.pmod("doc_id", F.lit(5)) != 0, F.lit(False)).alias("train"))
+
+
 def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tok`` of ``documents`` with collapsed labels, the language as corpus
     (null: ``none``): data sets that hold sensitive words."""
@@ -72,6 +86,17 @@ def word_vectors(spark, sf_dir, tok: DataFrame | None = None, fold_case: bool =
     return L.vectors_by_rank(ranked, embeddings(spark, sf_dir))
 
 
+def word_tables(spark, sf_dir, fold_case: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``vec`` and ``freq`` of all corpora from one count of their types, which
+    is written (a row per type); without ``fold_case`` the vectors are of the
+    words as written."""
+    from ..operators import lookup as L
+    types = L.type_counts(words(spark, sf_dir), fold_case=fold_case).checkpoint(eager=True)
+    vec = L.vectors_by_rank(L.rank_types(types), embeddings(spark, sf_dir)).checkpoint(eager=True)
+    folded = types if fold_case else types.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    return vec, folded
+
+
 def word_freq(spark, sf_dir) -> DataFrame:
     """``freq(word, n)``: lower-cased type counts over all corpora (words written
     with a capital are missing from it as they are)."""

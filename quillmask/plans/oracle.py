@@ -317,6 +317,40 @@ SELECT corpus, doc_id, sent_id, CAST(sum(c) AS BIGINT) AS n_tokens,
 FROM wt GROUP BY corpus, doc_id, sent_id
 """
 
+SENT_WEIGHTS = """
+ftotal AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM freq),
+sc AS (SELECT corpus, doc_id, sent_id, word, count(*) AS c FROM tok GROUP BY ALL),
+wt AS (
+  SELECT sc.corpus, sc.doc_id, sc.sent_id, sc.c,
+         100.0 * 0.001 / (0.001 + CAST(coalesce(f.n, 1) AS DOUBLE) / (SELECT total FROM ftotal)) * sc.c AS w,
+         vec.v
+  FROM sc LEFT JOIN freq f ON f.word = sc.word LEFT JOIN vec ON vec.word = lower(sc.word))
+"""
+
+ORACLE["token_features"] = with_base(VEC, SENT_WEIGHTS, f"""
+sent_sums AS (
+  SELECT corpus, doc_id, sent_id,
+         sum(w * coalesce({vsum('v')} + (SELECT dim FROM vdim) * list_sum(CAST(v AS DOUBLE[])), 0.0)) / sum(c) AS s
+  FROM wt GROUP BY corpus, doc_id, sent_id)
+""") + f"""
+SELECT t.corpus, t.doc_id, t.sent_id, t.pos, t.label, CAST(2 * (SELECT dim FROM vdim) AS BIGINT) AS n_features,
+       round(coalesce({vsum('vec.v')}, 0.0) + s.s, 6) AS f_sum
+FROM tok t JOIN sent_sums s USING (corpus, doc_id, sent_id) LEFT JOIN vec ON vec.word = lower(t.word)
+"""
+
+ORACLE["first_direction_report"] = with_base(VEC, SENT_WEIGHTS, """
+lens AS (SELECT corpus, doc_id, sent_id, sum(c) AS len FROM wt GROUP BY ALL),
+cells AS (
+  SELECT corpus, doc_id, sent_id, unnest(v) AS x, generate_subscripts(v, 1) AS i, w FROM wt WHERE v IS NOT NULL),
+summed AS (SELECT corpus, doc_id, sent_id, i, sum(w * CAST(x AS DOUBLE)) AS x FROM cells GROUP BY ALL),
+norms AS (
+  SELECT corpus, doc_id, sent_id, sum((x / len) * (x / len)) AS a
+  FROM summed JOIN lens USING (corpus, doc_id, sent_id) GROUP BY ALL)
+""") + """
+SELECT corpus, doc_id, count(*) AS sentences, round(coalesce(sum(a), 0.0), 4) AS energy, CAST(0 AS BIGINT) AS grown, true AS lone_is_zero
+FROM lens LEFT JOIN norms USING (corpus, doc_id, sent_id) GROUP BY corpus, doc_id
+"""
+
 # --- placeholders, key phrases, utility, selection, service ---------------------------------
 
 PH = """

@@ -3,10 +3,11 @@ names, order-insensitive values)."""
 import pytest
 
 import __spark_entry__ as E
+from quillmask.plans.oracle import ORACLE
 from tools.oracle_check import digest
 
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
+SQL = ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -24,4 +25,4 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_runs_and_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(SQL) <= set(E.queries())
+    assert set(SQL) <= set(E.oracle_sql()) <= set(E.queries())
