@@ -88,13 +88,9 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         # what stands between spaces -> ids; words not used for long fall out
-        self.forget()
-
-    def forget(self) -> None:
-        """Lets the known words go; a worker outlives its task."""
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.held = 0
+        self.held = 0                   # bytes of the young ones; a worker keeps at most two such sets
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
