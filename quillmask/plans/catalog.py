@@ -19,6 +19,7 @@ from ..operators import factorised as FT
 from ..operators import features as FEAT
 from ..operators import lookup as L
 from ..operators import models as M
+from ..operators import tagger as TG
 from ..operators import text as T
 from ..session import scratch_path
 from ..sources import formats as FMT
@@ -854,6 +855,116 @@ def annotate_sentence_model(spark, sf_dir):
     return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred", (~F.col("train")).alias("held_out"))
 
 
+# --- annotators learned from labelled sentences ---------------------------------------------------
+
+def _every_sentence(spark, sf_dir, collapse=True):
+    """The sentences of all corpora, documents by language; ``train`` for four
+    fifths of the documents."""
+    docs = FX.language_sentences(spark, sf_dir, collapse)
+    other = FX.sentences(spark, sf_dir, ("conversations", "benchmark"))
+    other = T.collapse_labels(other, "labels") if collapse else other
+    return docs.unionByName(other.withColumn("train", F.lit(False)).select(*docs.columns))
+
+
+@query
+def hmm_emissions(spark, sf_dir):
+    """How often each symbol (word, or shape of a rare one) stands for a
+    plain and a sensitive word in the training documents."""
+    return TG.emission_counts(FX.language_sentences(spark, sf_dir).filter("train"))
+
+
+@query
+def hmm_transitions(spark, sf_dir):
+    """Neighbouring labels in the training documents (-1: sentence start)."""
+    return TG.transition_counts(FX.language_sentences(spark, sf_dir).filter("train"))
+
+
+def _tagged(spark, sf_dir, which=None):
+    """Sentences (all corpora, or those of ``which``) with the tagger's labels;
+    it is trained on four fifths of the documents."""
+    docs = FX.language_sentences(spark, sf_dir).filter("train")
+    sent = _every_sentence(spark, sf_dir)
+    sent = sent if which is None else sent.filter(which)
+    return TG.tag(sent, TG.train(docs), carried=("labels", "train"))
+
+
+@query
+def annotate_hmm(spark, sf_dir):
+    """Every token of all corpora labelled by the hidden Markov tagger."""
+    t = T.explode_tokens(_tagged(spark, sf_dir), keys=["corpus", "doc_id", "sent_id", "train"], arrays=("words", "labels", "preds"),
+                         names=("word", "label", "pred"))
+    return t.select("corpus", "doc_id", *_long("sent_id", "pos"), "label", "pred", (~F.col("train")).alias("held_out"))
+
+
+def _sentence_prf(sent):
+    t = T.explode_tokens(sent, arrays=("labels", "preds"), names=("label", "pred"))
+    t = t.select("corpus", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "pred")
+    return E.prf(E.confusion(t, ["corpus"]), ["corpus"], digits=6)
+
+
+@query
+def test_hmm(spark, sf_dir):
+    """M1 of the tagger: P/R/F1 on the held-out documents by language."""
+    return _sentence_prf(_tagged(spark, sf_dir, "not train and corpus not in ('conversations', 'benchmark')"))
+
+
+@query
+def anonymize_hmm(spark, sf_dir):
+    """A8 over the tagger: masked text of all corpora."""
+    return T.mask_text(_tagged(spark, sf_dir), "preds")
+
+
+@query
+def misclassified_hmm(spark, sf_dir):
+    """E4 over the tagger: held-out sentences whose labels differ."""
+    m = E.misclassified(_tagged(spark, sf_dir, "not train"))
+    return m.select("corpus", "doc_id", *_long("sent_id"), "raw_text", "target_anon", "predicted_anon")
+
+
+@query
+def utility_report_hmm(spark, sf_dir):
+    """E9 over the tagger: polarity and subjectivity of labelled documents
+    before and after masking by the tagger's labels."""
+    sent = _tagged(spark, sf_dir, "corpus not in ('conversations', 'benchmark')").checkpoint(eager=True)
+    tok = T.explode_tokens(sent, arrays=("words", "preds"), names=("word", "label"))
+    return _utility(tok, FX.lexicon(FX.words(spark, sf_dir)), read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def _utility(docs, lx, lab):
+    pure = E.lexicon_sentiment(docs, lx, by=["doc_id"])
+    anon = E.lexicon_sentiment(_masked_tokens(docs), lx, by=["doc_id"])
+    lab = lab.select("doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("target"), F.col("toxic").cast("double").alias("toxic"))
+    pol = E.utility_report(pure, anon, lab, metric="polarity")
+    sub = E.utility_report(pure, anon, lab, metric="subjectivity", target_col="toxic")
+    return pol.join(sub, "doc_id")
+
+
+@query
+def learned_phrases(spark, sf_dir):
+    """A4: the gold phrases of the training documents."""
+    return TG.learned_phrases(FX.language_sentences(spark, sf_dir, collapse=False).filter("train"))
+
+
+def _phrase_spans(spark, sf_dir, sent):
+    phrases = TG.learned_phrases(FX.language_sentences(spark, sf_dir, collapse=False).filter("train"))
+    return TG.phrase_spans(sent, phrases.checkpoint(eager=True))
+
+
+@query
+def phrase_spans(spark, sf_dir):
+    """A4 by the learned phrase list: spans of words in all corpora."""
+    s = _phrase_spans(spark, sf_dir, _every_sentence(spark, sf_dir))
+    return s.select("corpus", "doc_id", *_long("sent_id", "w_begin", "w_end"))
+
+
+@query
+def annotate_phrases(spark, sf_dir):
+    """A5 + E2 by the learned phrase list: P/R/F1 on held-out documents by
+    language."""
+    sent = FX.language_sentences(spark, sf_dir).filter("not train")
+    return _sentence_prf(TG.mark_spans(sent, _phrase_spans(spark, sf_dir, sent), carried=("labels",)))
+
+
 def _annotated(spark, sf_dir):
     """The tokens of all corpora (documents by language) with the prediction of
     a classifier trained on four fifths of the documents; ``held_out``: not

@@ -29,12 +29,13 @@ def word_sentences(spark: SparkSession, sf_dir: str, which=("documents", "conver
     return T.tokenize(T.split_sentences(corpora(spark, sf_dir, which))).select(*SENT_KEYS, "words")
 
 
-def language_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sent`` of ``documents`` with collapsed labels and the language as
+def language_sentences(spark: SparkSession, sf_dir: str, collapse: bool = True) -> DataFrame:
+    """``sent`` of ``documents`` with (collapsed) labels and the language as
     corpus, ``train`` for four fifths of the documents."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang") \
         .select(F.coalesce("lang", F.lit("none")).alias("corpus"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    s = T.collapse_labels(labelled(spread_documents(docs)), "labels")
+    s = labelled(spread_documents(docs))
+    s = T.collapse_labels(s, "labels") if collapse else s
     return s.select(*SENT_KEYS, "words", "labels", F.coalesce(F.pmod("doc_id", F.lit(5)) != 0, F.lit(False)).alias("train"))
 
 

@@ -351,6 +351,80 @@ SELECT corpus, doc_id, count(*) AS sentences, round(coalesce(sum(a), 0.0), 4) AS
 FROM lens LEFT JOIN norms USING (corpus, doc_id, sent_id) GROUP BY corpus, doc_id
 """
 
+# --- learned annotators -------------------------------------------------------------------------
+
+TRAIN = """
+train AS (SELECT * FROM tok WHERE corpus = 'documents' AND doc_id % 5 <> 0)
+"""
+
+ORACLE["hmm_emissions"] = with_base(TRAIN, r"""
+symbols AS (
+  SELECT 'w:' || lower(word) AS own, label,
+         's:' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '[0-9]+', '9', 'g'), '[a-z]+', 'a', 'g'),
+                                               '[A-Z]+', 'A', 'g'), '[^\x00-\x7f]+', 'x', 'g') AS shape FROM train),
+often AS (SELECT own FROM symbols GROUP BY own HAVING count(*) >= 2)
+""") + """
+SELECT CASE WHEN o.own IS NOT NULL THEN s.own ELSE s.shape END AS symbol,
+       count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label > 0) AS n1
+FROM symbols s LEFT JOIN often o USING (own) GROUP BY 1
+"""
+
+ORACLE["hmm_transitions"] = with_base(TRAIN, """
+pairs AS (
+  SELECT coalesce(lag(CAST(label > 0 AS INTEGER)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), -1) AS before,
+         CAST(label > 0 AS INTEGER) AS after FROM train)
+""") + """
+SELECT before, after, count(*) AS n FROM pairs GROUP BY before, after
+"""
+
+PHRASES = """
+begun AS (
+  SELECT *, sum(CAST(label = 1 AS INTEGER)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS run FROM train),
+runs AS (
+  SELECT string_agg(lower(word), ' ' ORDER BY pos) AS phrase, CAST(count(*) AS INTEGER) AS n_words
+  FROM begun WHERE label > 0 GROUP BY doc_id, sent_id, run),
+phrases AS (SELECT phrase, n_words, count(*) AS n FROM runs GROUP BY phrase, n_words)
+"""
+
+ORACLE["learned_phrases"] = with_base(TRAIN, PHRASES) + "SELECT phrase, n_words, n FROM phrases"
+
+PHRASE_SPANS = """
+lows AS (SELECT corpus, doc_id, sent_id, list_transform(words, lambda x: lower(x)) AS ws FROM sent),
+lens AS (SELECT DISTINCT n_words AS k FROM phrases),
+windows AS (
+  SELECT corpus, doc_id, sent_id, k, unnest(range(0, len(ws) - k + 1)) AS b, ws FROM lows, lens WHERE len(ws) >= k),
+met AS (
+  SELECT DISTINCT corpus, doc_id, sent_id, b, b + k AS e
+  FROM windows JOIN phrases ON phrases.n_words = k AND phrase = array_to_string(ws[b + 1:b + k], ' ')),
+phrase_hits AS (
+  SELECT * FROM met m WHERE NOT EXISTS (
+    SELECT 1 FROM met o WHERE o.corpus = m.corpus AND o.doc_id = m.doc_id AND o.sent_id = m.sent_id
+      AND o.b <= m.b AND o.e >= m.e AND (o.b <> m.b OR o.e <> m.e)))
+"""
+
+ORACLE["phrase_spans"] = with_base(TRAIN, PHRASES, PHRASE_SPANS, """
+langs AS (SELECT doc_id, coalesce(lang, 'none') AS lang FROM documents)
+""") + """
+SELECT coalesce(l.lang, h.corpus) AS corpus, h.doc_id, h.sent_id, CAST(b AS BIGINT) AS w_begin, CAST(e AS BIGINT) AS w_end
+FROM phrase_hits h LEFT JOIN langs l ON h.corpus = 'documents' AND l.doc_id = h.doc_id
+"""
+
+ORACLE["annotate_phrases"] = with_base(TRAIN, PHRASES, PHRASE_SPANS, """
+covered AS (SELECT DISTINCT doc_id, sent_id, unnest(range(b, e)) AS pos FROM phrase_hits WHERE corpus = 'documents'),
+judged AS (
+  SELECT coalesce(d.lang, 'none') AS corpus, t.label > 0 AS y, c.pos IS NOT NULL AS p
+  FROM tok t JOIN documents d ON d.doc_id = t.doc_id LEFT JOIN covered c ON c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.pos = t.pos
+  WHERE t.corpus = 'documents' AND t.doc_id % 5 = 0),
+cm AS (
+  SELECT corpus, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp,
+         count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM judged GROUP BY corpus)
+""") + """
+SELECT corpus, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1
+FROM cm
+"""
+
 # --- placeholders, key phrases, utility, selection, service ---------------------------------
 
 PH = """
