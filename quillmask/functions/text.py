@@ -20,6 +20,11 @@ def sentence_pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, P.ODD_SPACES, " "), P.SENT_END, "$1" + P.SENT_SEP), P.SENT_SEP, -1)
 
 
+def has_words(sent: Column) -> Column:
+    """Whether ``words_of`` is not empty, without splitting."""
+    return F.regexp_like(sent, F.lit(r"\S"))
+
+
 def words_of(sent: Column) -> Column:
     """Pad every punctuation character with spaces, split on whitespace,
     drop empty strings."""

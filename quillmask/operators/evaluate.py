@@ -88,9 +88,14 @@ def annotation_rate(tok: DataFrame, pred: str = "pred", by=("corpus",), digits:
 
 
 def class_balance(tok: DataFrame, label: str = "label", digits: int | None = 6) -> DataFrame:
-    """Balanced class weights ``n / (k * n_class)``.  The class table has
-    one row per class; the totals are two aggregates over it."""
-    per = tok.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    """Balanced class weights ``n / (k * n_class)``."""
+    return balance_of_counts(tok.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, digits)
+
+
+def balance_of_counts(counts: DataFrame, label: str = "label", digits: int | None = 6) -> DataFrame:
+    """E11 on ``(label, n)``: one row per class; the totals are two aggregates
+    over it."""
+    per = counts.select(label, F.col("n").alias("n_class"))
     n = per.select(F.sum("n_class")).scalar()
     k = per.select(F.count(F.lit(1))).scalar()
     w = n / (k * F.col("n_class"))
@@ -99,51 +104,53 @@ def class_balance(tok: DataFrame, label: str = "label", digits: int | None = 6)
     return per.select(label, "n_class", w.alias("weight"))
 
 
-def with_class_weights(tok: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Attach the E11 weight to every row (broadcast of a table with one row
-    per class)."""
-    cw = class_balance(tok, label, digits=None).select(label, F.col("weight").alias(out))
-    return tok.join(F.broadcast(cw), label, "left")
+def phrase_counts(target: DataFrame, pred: DataFrame, doc: str = "doc", phrase: str = "phrase") -> DataFrame:
+    """``(doc, phrase, t, p)``: how often each phrase is a target and a
+    prediction of its document; one shuffle of both sides together."""
+    both = target.select(doc, phrase, F.lit(1).alias("t"), F.lit(0).alias("p")) \
+        .unionByName(pred.select(doc, phrase, F.lit(0).alias("t"), F.lit(1).alias("p")))
+    return both.groupBy(doc, phrase).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
 
 
 def keyphrase_exact(target: DataFrame, pred: DataFrame, doc: str = "doc", phrase: str = "phrase") -> DataFrame:
     """Over documents present on both sides (J7), tp = target phrases found
     among the predictions, fn = not found, fp = predicted phrases not among the
     targets; duplicates count each time (existence test, not multiset)."""
-    both = target.select(doc).distinct().join(pred.select(doc).distinct(), doc, "left_semi")
-    t = target.join(both, doc, "left_semi")
-    p = pred.join(both, doc, "left_semi")
-    pk = p.select(doc, phrase).distinct()
-    tk = t.select(doc, phrase).distinct()
-    t_hit = t.join(pk, [doc, phrase], "left_semi").agg(F.count(F.lit(1)).alias("tp"))
-    t_miss = t.join(pk, [doc, phrase], "left_anti").agg(F.count(F.lit(1)).alias("fn"))
-    p_miss = p.join(tk, [doc, phrase], "left_anti").agg(F.count(F.lit(1)).alias("fp"))
-    return _one_row(t_hit, t_miss, p_miss)
-
-
-def _one_row(*aggs: DataFrame) -> DataFrame:
-    """Side-by-side of one-row aggregates via scalar subqueries."""
-    cols = []
-    for a in aggs:
-        c = a.columns[0]
-        cols.append(a.select(c).scalar().alias(c))
-    return aggs[0].sparkSession.range(1).select(*cols)
+    return exact_of_counts(phrase_counts(target, pred, doc, phrase), doc)
+
+
+def exact_of_counts(counts: DataFrame, doc: str = "doc") -> DataFrame:
+    """E6 on ``(doc, phrase, t, p)``: a second grouping by document keeps those
+    on both sides."""
+    def total(value, when):
+        return F.sum(F.when(when, F.col(value)).otherwise(0))
+    per = counts.groupBy(doc).agg(F.sum("t").alias("_t"), F.sum("p").alias("_p"), total("t", F.col("p") > 0).alias("tp"),
+                                  total("t", F.col("p") == 0).alias("fn"), total("p", F.col("t") == 0).alias("fp"))
+    return _sums(per.filter("_t > 0 and _p > 0"))
+
+
+def _sums(per: DataFrame) -> DataFrame:
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fn", "fp")])
 
 
 def keyphrase_words(target: DataFrame, pred: DataFrame, doc: str = "doc", phrase: str = "phrase") -> DataFrame:
     """Word-level multiset overlap per document: tp = min of the two word
     counts, fn / fp = the positive differences; summed over documents on both
     sides."""
-    both = target.select(doc).distinct().join(pred.select(doc).distinct(), doc, "left_semi")
-
-    def words(df, name):
-        w = df.join(both, doc, "left_semi").select(doc, F.explode(F.split(F.trim(phrase), r"\s+")).alias("w")) \
-            .filter(F.col("w") != "")
-        return w.groupBy(doc, "w").agg(F.count(F.lit(1)).alias(name))
-    j = words(target, "nt").join(words(pred, "np"), [doc, "w"], "full_outer").fillna(0, ["nt", "np"])
-    return j.agg(F.sum(F.least("nt", "np")).cast("long").alias("tp"),
-                 F.sum(F.greatest(F.col("nt") - F.col("np"), F.lit(0))).cast("long").alias("fn"),
-                 F.sum(F.greatest(F.col("np") - F.col("nt"), F.lit(0))).cast("long").alias("fp"))
+    return words_of_counts(phrase_counts(target, pred, doc, phrase), doc, phrase)
+
+
+def words_of_counts(counts: DataFrame, doc: str = "doc", phrase: str = "phrase") -> DataFrame:
+    """E7 on ``(doc, phrase, t, p)``.  A document without a phrase on one side
+    is known before its phrases are split into words (an empty phrase counts as
+    a phrase)."""
+    w = counts.select(doc, "t", "p", F.explode_outer(F.filter(F.split(F.trim(phrase), r"\s+"), lambda x: x != "")).alias("w"))
+    words = w.groupBy(doc, "w").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    real = F.col("w").isNotNull()
+    per = words.groupBy(doc).agg(F.sum("t").alias("_t"), F.sum("p").alias("_p"), F.sum(F.when(real, F.least("t", "p")).otherwise(0)).alias("tp"),
+                                 F.sum(F.when(real, F.greatest(F.col("t") - F.col("p"), F.lit(0))).otherwise(0)).alias("fn"),
+                                 F.sum(F.when(real, F.greatest(F.col("p") - F.col("t"), F.lit(0))).otherwise(0)).alias("fp"))
+    return _sums(per.filter("_t > 0 and _p > 0"))
 
 
 def lexicon_sentiment(tok: DataFrame, lexicon: DataFrame, by=("corpus", "doc_id"), word: str = "word",

@@ -10,21 +10,18 @@ vectors the rows are per token (``token_features``).
 """
 from __future__ import annotations
 
-import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       NaiveBayes, RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passes as PS
 from .evaluate import confusion, prf
 
 
@@ -66,7 +63,7 @@ def clf_linear_svc(max_iter: int = 100):
 
 
 def clf_gaussian_nb():
-    return NaiveBayes(modelType="gaussian", weightCol="n")
+    return PS.GaussianBayes()
 
 
 def clf_random_forest(num_trees: int = 100, max_depth: int = 5, seed: int = 7):
@@ -77,141 +74,16 @@ def clf_gbt(max_iter: int = 100, seed: int = 7):
     return GBTClassifier(maxIter=max_iter, maxDepth=3, seed=seed, weightCol="n")
 
 
-class SGDHinge:
-    """M4: linear model fitted by mini-batch sub-gradient descent on the
-    (weighted) hinge loss with L2 penalty.  Each step samples the rows; the
-    tasks compute the sub-gradient sums of their Arrow batches with numpy
-    (``mapInPandas``), Spark adds them up, and the driver updates the weight
-    vector (dim + 1 numbers)."""
-
-    def __init__(self, steps: int = 30, fraction: float = 0.5, alpha: float = 1e-4, lr: float = 0.5, seed: int = 7):
-        self.steps, self.fraction, self.alpha, self.lr, self.seed = steps, fraction, alpha, lr, seed
-
-    def fit(self, df: DataFrame) -> "SGDModel":
-        import numpy as np
-        x = df.select(vector_to_array("features").alias("x"), (2 * F.col("label") - 1).alias("y"), "weight")
-        dim = len(x.first()["x"])
-        total_w = df.select(F.sum("weight")).first()[0] or 1.0
-        w, b = np.zeros(dim), 0.0
-        for step in range(self.steps):
-            ww, bb = w.copy(), b
-
-            def grad(batches, ww=ww, bb=bb):
-                for pdf in batches:
-                    if len(pdf) == 0:
-                        continue
-                    xs = np.vstack(pdf["x"].to_numpy())
-                    y, wt = pdf["y"].to_numpy(), pdf["weight"].to_numpy()
-                    active = y * (xs @ ww + bb) < 1
-                    coef = np.where(active, -y * wt, 0.0)
-                    yield pd.DataFrame({"g": [list(coef @ xs)], "c": [float(coef.sum())]})
-            total = x.sample(fraction=self.fraction, seed=self.seed + step).mapInPandas(grad, "g array<double>, c double") \
-                .agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("c").alias("c"), F.count("c").alias("k")).first()
-            if not total["k"]:
-                continue
-            g, c = total["g"].toArray(), total["c"]
-            eta = self.lr / math.sqrt(step + 1)
-            scale = total_w * self.fraction
-            w = w - eta * (g / scale + self.alpha * w)
-            b = b - eta * (c / scale)
-        return SGDModel([float(v) for v in w], float(b))
-
-
-class SGDModel:
-    def __init__(self, w, b):
-        self.w, self.b = w, b
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        w, b = np.asarray(self.w), self.b
-
-        @F.pandas_udf("double")
-        def predict(xs: pd.Series) -> pd.Series:
-            m = np.vstack(xs.to_numpy()) @ w + b if len(xs) else np.zeros(0)
-            return pd.Series((m > 0).astype("float64"))
-        return df.withColumn("prediction", predict(vector_to_array("features")))
-
-
-class AdaBoostStumps:
-    """M8: SAMME boosting of depth-1 trees.  The sample weight is a column
-    updated each round; lineage is cut with ``checkpoint()`` (reliable, in
-    ``spark.checkpoint.dir``) every ``cut_every`` rounds."""
-
-    def __init__(self, rounds: int = 50, cut_every: int = 5, seed: int = 7):
-        self.rounds, self.cut_every, self.seed = rounds, cut_every, seed
-
-    def fit(self, df: DataFrame) -> "AdaBoostModel":
-        d = df.select("features", "label", (F.col("n") / df.select(F.sum("n")).scalar()).alias("bw"))
-        stumps, alphas = [], []
-        for r in range(self.rounds):
-            m = DecisionTreeClassifier(maxDepth=1, weightCol="bw", seed=self.seed).fit(d)
-            p = m.transform(d).select("features", "label", "bw", (F.col("prediction") != F.col("label")).alias("miss"))
-            agg = p.select(F.sum(F.when(F.col("miss"), F.col("bw")).otherwise(0.0)).alias("e"),
-                           F.sum("bw").alias("t")).first()
-            err = (agg["e"] or 0.0) / (agg["t"] or 1.0)
-            if err <= 0:
-                stumps.append(m)
-                alphas.append(1.0)
-                break
-            if err >= 0.5:
-                break
-            alpha = math.log((1 - err) / err)
-            stumps.append(m)
-            alphas.append(alpha)
-            d = p.select("features", "label",
-                         (F.col("bw") * F.when(F.col("miss"), F.lit(math.exp(alpha))).otherwise(1.0)).alias("bw"))
-            if (r + 1) % self.cut_every == 0:
-                d = d.checkpoint(eager=True)
-        return AdaBoostModel(stumps, alphas)
-
-
-class AdaBoostModel:
-    def __init__(self, stumps, alphas):
-        self.stumps, self.alphas = stumps, alphas
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_score", F.lit(0.0))
-        for i, (m, a) in enumerate(zip(self.stumps, self.alphas)):
-            m = m.copy({m.predictionCol: f"_p{i}", m.rawPredictionCol: f"_r{i}", m.probabilityCol: f"_q{i}"})
-            out = m.transform(out).withColumn("_score", F.col("_score") + a * (2 * F.col(f"_p{i}") - 1)) \
-                .drop(f"_p{i}", f"_r{i}", f"_q{i}")
-        return out.withColumn("prediction", (F.col("_score") > 0).cast("double")).drop("_score")
-
-
-class MixtureClassifier:
-    """M9: a 2-component Gaussian mixture fitted without the target; each
-    component then predicts the (weighted) majority label of its members."""
-
-    def __init__(self, k: int = 2, seed: int = 7):
-        self.k, self.seed = k, seed
-
-    def fit(self, df: DataFrame) -> "MixtureModel":
-        gm = GaussianMixture(k=self.k, seed=self.seed, weightCol="n").fit(df)
-        votes = gm.transform(df).groupBy("prediction", "label").agg(F.sum("n").alias("_w"))
-        best = votes.groupBy("prediction").agg(F.max_by("label", "_w").alias("_label"))
-        return MixtureModel(gm, best)
-
-
-class MixtureModel:
-    def __init__(self, gm, mapping: DataFrame):
-        self.gm, self.mapping = gm, mapping
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        p = self.gm.transform(df).drop("probability")
-        return p.join(F.broadcast(self.mapping), "prediction", "left") \
-            .withColumn("prediction", F.coalesce("_label", F.lit(0.0))).drop("_label")
-
-
 def clf_sgd(**kw):
-    return SGDHinge(**kw)
+    return PS.AveragedSGD(**kw)
 
 
 def clf_adaboost(**kw):
-    return AdaBoostStumps(**kw)
+    return PS.HistogramBoost(**kw)
 
 
 def clf_mixture(**kw):
-    return MixtureClassifier(**kw)
+    return PS.PrincipalMixture(**kw)
 
 
 CLASSIFIERS = {
@@ -245,13 +117,42 @@ def test_annotator(model, tok: DataFrame, type_feats: DataFrame, by=("corpus",),
     return prf(confusion(pred, list(by), label, "pred"), list(by), digits=6)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """IO12."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def epoch_f1(model, tok: DataFrame, type_feats: DataFrame, label: str = "label") -> DataFrame:
+    """``(epoch, f1, loss)`` on ``tok`` of every epoch of a linear model's
+    history: each type is scored under all epochs' weights at once, and counted
+    as often as it occurs with each label."""
+    from pyspark.ml.functions import vector_to_array
+    import numpy as np
+    w = np.array([h[0] for h in model.history]).T
+    b = np.array([h[1] for h in model.history])
+    n = len(b)
+
+    @F.pandas_udf("array<int>")
+    def hits(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.vstack(x.to_numpy()) @ w + b > 0).astype(np.int32)) if len(x) else [])
+    counts = tok.groupBy(F.lower("word").alias("word"), (F.col(label) > 0).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    scored = type_feats.select("word", hits(vector_to_array("features")).alias("h"))
+    per = counts.join(scored, "word").select("y", "n", F.posexplode("h").alias("epoch", "p"))
+    c = per.groupBy("epoch").agg(F.sum(F.when(F.col("y") & (F.col("p") == 1), F.col("n")).otherwise(0)).alias("tp"),
+                                 F.sum(F.when(~F.col("y") & (F.col("p") == 1), F.col("n")).otherwise(0)).alias("fp"),
+                                 F.sum(F.when(F.col("y") & (F.col("p") == 0), F.col("n")).otherwise(0)).alias("fn"),
+                                 F.sum(F.when(~F.col("y") & (F.col("p") == 0), F.col("n")).otherwise(0)).alias("tn"))
+    losses = tok.sparkSession.createDataFrame([(i, h[2]) for i, h in enumerate(model.history)], "epoch int, loss double")
+    assert n == len(model.history)
+    return prf(c, ["epoch"]).join(F.broadcast(losses), "epoch").select((F.col("epoch") + 1).alias("epoch"), "f1", "loss")
+
+
+def save_model(model, path: str, spark=None) -> None:
+    """IO12: a pipeline as MLlib writes it, a model of ``passes`` as JSON."""
+    if isinstance(model, PS.Linewise):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str, spark=None):
+    """``spark``: needed for the models of ``passes``."""
+    return PipelineModel.load(path) if spark is None else PS.load(spark, path)
 
 
 def sweep(configs: list[dict], train_rows_for, test_tok_for, feats_for, by=("corpus",), threads: int = 4) -> DataFrame:

@@ -25,9 +25,8 @@ def split_sentences(docs: DataFrame, text: str = "text", keys=("corpus", "doc_id
 def tokenize(sents: DataFrame, sent: str = "sent", keep_empty: bool = False) -> DataFrame:
     """Add ``words`` and all-zero ``labels``; sentences without a token
     are dropped (the rule splitter never yields them)."""
-    out = sents.withColumn("words", TX.words_of(F.col(sent)))
-    if not keep_empty:
-        out = out.filter(F.size("words") > 0)
+    out = sents if keep_empty else sents.filter(TX.has_words(F.col(sent)))
+    out = out.withColumn("words", TX.words_of(F.col(sent)))
     return out.withColumn("labels", F.array_repeat(F.lit(0), F.size("words")))
 
 
@@ -109,6 +108,13 @@ def raw_text(sent: DataFrame, keys=("corpus", "doc_id"), sep: str = "\n", out: s
     return mask_text(sent, labels=None, keys=keys, sep=sep, out=out)
 
 
+def raw_texts(sent: DataFrame, seps: dict[str, str], keys=("corpus", "doc_id")) -> DataFrame:
+    """T9 with several separators (column -> separator) from one fold."""
+    r = render_sentences(sent, None, "_s")
+    g = r.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sent_id", "_s"))).alias("_p"))
+    return g.select(*keys, *[F.array_join(F.transform("_p", lambda x: x["_s"]), sep).alias(out) for out, sep in seps.items()])
+
+
 def anonymize_documents(docs: DataFrame, text: str = "text", keys=("corpus", "doc_id"),
                         pattern: str = P.GOLD, token: str = P.ANON_TOKEN, out: str = "masked") -> DataFrame:
     """A8 in one map stage: text -> sentences -> tokens -> rule labels ->

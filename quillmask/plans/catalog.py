@@ -49,7 +49,7 @@ def anonymize_text(spark, sf_dir):
 def split_sentences(spark, sf_dir):
     """T1 (empty pieces dropped, ``sent_id`` keeps the piece index)."""
     s = T.split_sentences(corpora(spark, sf_dir))
-    return s.filter(F.size(T.TX.words_of(F.col("sent"))) > 0) \
+    return s.filter(T.TX.has_words(F.col("sent"))) \
         .select("corpus", "doc_id", F.col("sent_id").cast("long").alias("sent_id"), "sent")
 
 
@@ -80,10 +80,7 @@ def mask_text(spark, sf_dir):
 @query
 def raw_text(spark, sf_dir):
     """Newline-separated and the glued (no separator) parity form."""
-    s = FX.sentences(spark, sf_dir)
-    a = T.raw_text(s, sep="\n", out="raw_text")
-    b = T.raw_text(s, sep="", out="raw_text_glued")
-    return a.join(b, ["corpus", "doc_id"])
+    return T.raw_texts(FX.sentences(spark, sf_dir), {"raw_text": "\n", "raw_text_glued": ""})
 
 
 def _long(*names):
@@ -146,11 +143,20 @@ def ngram_counts(spark, sf_dir):
     return A.ngram_counts(FX.sentences(spark, sf_dir), 2, NGRAM_MIN_COUNT)
 
 
-def _rare(spark, sf_dir, n):
-    s = T.collapse_labels(FX.sentences(spark, sf_dir), "labels")
+def _rare(spark, sf_dir, n, sent=None):
+    s = T.collapse_labels(FX.sentences_once(spark, sf_dir) if sent is None else sent, "labels")
     return A.annotate_rare_ngrams(s, A.ngram_counts(s, n, NGRAM_MIN_COUNT), n)
 
 
+def _rare_sizes(spark, sf_dir, sizes=(2, 3, 4)):
+    s = FX.sentences_once(spark, sf_dir)
+    out = None
+    for n in sizes:
+        r = _rare(spark, sf_dir, n, s).withColumn("n", F.lit(n))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query
 def annotate_rare_ngrams(spark, sf_dir):
     """A3 (n=2): a word is flagged when a bigram holding it is not in the list."""
@@ -161,7 +167,7 @@ def annotate_rare_ngrams(spark, sf_dir):
 @query
 def anonymize_ngram(spark, sf_dir):
     """A8 over A3: masked text of every document by the rare-bigram annotator."""
-    s = FX.sentences(spark, sf_dir)
+    s = FX.sentences_once(spark, sf_dir)
     flags = A.rare_ngram_flags(s, A.ngram_counts(s, 2, NGRAM_MIN_COUNT), 2)
     return T.mask_text(flags, "preds")
 
@@ -200,7 +206,7 @@ def mismatched_tokens(spark, sf_dir):
 @query
 def known_ngrams(spark, sf_dir):
     """Known / unknown trigram windows per corpus (semi and anti join)."""
-    s = FX.sentences(spark, sf_dir)
+    s = FX.sentences_once(spark, sf_dir)
     w = A.ngram_windows(s, 3)
     lst = A.ngram_counts(s, 3, NGRAM_MIN_COUNT)
     k = A.known_ngrams(w, lst, True).groupBy("corpus").agg(F.count(F.lit(1)).alias("known"))
@@ -255,9 +261,7 @@ def prf(spark, sf_dir):
 @query
 def prf_by_dataset(spark, sf_dir):
     """n = 2, 3, 4 x test corpus, one wide row per n."""
-    parts = [_rare(spark, sf_dir, n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
-    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return E.prf_by_dataset(pairs, ["n"], "corpus", ["documents", "conversations", "benchmark"])
+    return E.prf_by_dataset(_rare_sizes(spark, sf_dir), ["n"], "corpus", ["documents", "conversations", "benchmark"])
 
 
 @query
@@ -286,7 +290,8 @@ def annotation_rate(spark, sf_dir):
 def class_balance(spark, sf_dir):
     """Balanced class weights of the collapsed gold labels."""
     t = T.collapse_labels(FX.tokens(spark, sf_dir), "label")
-    return E.class_balance(t, "label")
+    # a row per class, read three times
+    return E.balance_of_counts(t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True), "label")
 
 
 @query
@@ -486,25 +491,27 @@ def pseudonymize(spark, sf_dir):
         "corpus", "doc_id", *_long("sent_id", "pos"), F.col("_was").alias("placeholder"), "word", "label")
 
 
+def _both_labels(spark, sf_dir):
+    return A.annotate_spans(FX.sentences(spark, sf_dir), P.BASELINE_SPANS, "preds")
+
+
 def _phrases(spark, sf_dir):
     """Targets: all two-word windows that touch a gold span; predictions: all
     that touch a baseline-rule span."""
-    s = A.annotate_spans(FX.sentences(spark, sf_dir), P.BASELINE_SPANS, "preds")
+    s = _both_labels(spark, sf_dir)
     return FX.key_phrases(s, "labels"), FX.key_phrases(s, "preds")
 
 
 @query
 def keyphrase_exact(spark, sf_dir):
     """E6 (+E2): exact key-phrase matches over documents on both sides."""
-    t, p = _phrases(spark, sf_dir)
-    return _exact_prf(E.keyphrase_exact(t, p))
+    return _exact_prf(E.exact_of_counts(FX.phrase_counts(_both_labels(spark, sf_dir))))
 
 
 @query
 def keyphrase_words(spark, sf_dir):
     """E7 (+E2): word-level multiset overlap of key phrases."""
-    t, p = _phrases(spark, sf_dir)
-    return _exact_prf(E.keyphrase_words(t, p))
+    return _exact_prf(E.words_of_counts(FX.phrase_counts(_both_labels(spark, sf_dir))))
 
 
 def _exact_prf(c):
@@ -585,9 +592,7 @@ def best_epoch(spark, sf_dir):
 def rank_configs(spark, sf_dir):
     """V5: the two best n-gram sizes per corpus by F1."""
     from ..operators import select as SEL
-    parts = [_rare(spark, sf_dir, n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
-    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    res = E.prf(E.confusion(pairs, ["n", "corpus"]), ["n", "corpus"], digits=6)
+    res = E.prf(E.confusion(_rare_sizes(spark, sf_dir), ["n", "corpus"]), ["n", "corpus"], digits=6)
     top = SEL.rank_configs(res, "corpus", "f1", ["n"], k=2)
     return top.select("corpus", F.col("rank").cast("long").alias("rank"), "n", "f1")
 
@@ -772,8 +777,8 @@ def _clf_query(name, **params):
 for _qname, _clf, _params in [
         ("clf_logreg", "LogisticRegression", {}), ("clf_linear_svc", "LinearSVC", {}),
         ("clf_sgd", "SGDClassifier", {}), ("clf_gaussian_nb", "GaussianNB", {}),
-        ("clf_random_forest", "RandomForest", {"num_trees": 20, "max_depth": 10}),
-        ("clf_gbt", "GradientBoosting", {"max_iter": 20}), ("clf_adaboost", "AdaBoostClassifier", {"rounds": 20}),
+        ("clf_random_forest", "RandomForest", {"num_trees": 100, "max_depth": 10}),
+        ("clf_gbt", "GradientBoosting", {"max_iter": 100}), ("clf_adaboost", "AdaBoostClassifier", {"rounds": 50}),
         ("clf_mixture", "GaussianMixture", {})]:
     _fn = _clf_query(_clf, **_params)
     _fn.__name__ = _qname
@@ -1006,6 +1011,69 @@ def model_io(spark, sf_dir):
                                  F.sum((F.col("a") != F.col("b")).cast("int")).cast("long").alias("differing"))
 
 
+@query
+def model_io_passes(spark, sf_dir):
+    """IO12 of the models fitted by passes: saved, loaded, and the words of
+    which the predictions differ (expected 0)."""
+    rows, _, feats = _model_data(spark, sf_dir, combined=False)
+    parts = []
+    for name, params in (("SGDClassifier", {}), ("AdaBoostClassifier", {"rounds": 5}), ("GaussianNB", {}), ("GaussianMixture", {})):
+        model, path = M.train_annotator(M.CLASSIFIERS[name](**params), rows), scratch_path(spark, "model")
+        M.save_model(model, path, spark)
+        a = model.transform(feats).select("word", F.col("prediction").alias("a"))
+        b = M.load_model(path, spark).transform(feats).select("word", F.col("prediction").alias("b"))
+        parts.append(a.join(b, "word").agg(F.lit(name).alias("clf"), F.count(F.lit(1)).alias("words"),
+                                           F.count_if(F.col("a") != F.col("b")).alias("differing")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def bayes_statistics(spark, sf_dir):
+    """M5: rows, mean and smoothed variance of every word feature by class in
+    the training documents."""
+    rows, _, _ = _model_data(spark, sf_dir, combined=False)
+    m = M.PS.GaussianBayes().fit(rows)
+    table = [(k, i, int(m.count[k]), float(m.mean[k][i]), float(m.variance[k][i])) for k in (0, 1) for i in range(m.mean.shape[1])]
+    df = spark.createDataFrame(table, "label int, feature long, n long, mean double, variance double")
+    return df.select("label", "feature", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query
+def clf_bayes_words(spark, sf_dir):
+    """M5 + M1 over word features: P/R/F1 on held-out documents by language."""
+    rows, test, feats = _model_data(spark, sf_dir, combined=False)
+    return M.test_annotator(M.train_annotator(M.clf_gaussian_nb(), rows), test, feats)
+
+
+@query
+def boost_first_stump(spark, sf_dir):
+    """M8: feature, bin and leaf classes of the first boosting round over word
+    features."""
+    rows, _, _ = _model_data(spark, sf_dir, combined=False)
+    t = M.PS._arrays(rows).checkpoint(eager=True)
+    d = M.PS._width(t)
+    low, high = M.PS.feature_range(t, d)
+    sums = M.PS._summed(t, M.PS._histogram(low, high, M.PS.BINS, []), d * M.PS.BINS * 2).reshape(d, M.PS.BINS, 2)
+    f, b, left, right, err = M.PS.best_stump(sums, low, high)
+    return spark.createDataFrame([(f, b, left, right, round(err, 9))], "feature long, bin long, left_class int, right_class int, error double")
+
+
+@query
+def sgd_history(spark, sf_dir):
+    """M4 + V4: held-out F1 after every epoch of gradient descent, all epochs
+    scored in one job, and the early-stop replay over them."""
+    from ..operators import select as SEL
+    rows, test, feats = _model_data(spark, sf_dir, combined=False)
+    model = M.train_annotator(M.clf_sgd(), rows)
+    hist = M.epoch_f1(model, test, feats)
+    b = SEL.best_epoch(hist.withColumn("run", F.lit("sgd")), ["run"], "epoch", "f1", max_tries=6, max_epochs=20)
+    return hist.crossJoin(F.broadcast(b.select("best_epoch", "stop_epoch"))).select(
+        *_long("epoch"), F.round("f1", 6).alias("f1"), F.round("loss", 6).alias("loss"), *_long("best_epoch", "stop_epoch"))
+
+
 def _wide(long_res, config):
     return long_res.groupBy(*config).pivot("corpus", list(TEST_SETS)).agg(
         F.first("precision").alias("precision"), F.first("recall").alias("recall"), F.first("f1").alias("f1"),

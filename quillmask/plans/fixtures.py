@@ -19,8 +19,8 @@ def sentences(spark: SparkSession, sf_dir: str, which=("documents", "conversatio
 
 def labelled(docs: DataFrame, pattern: str = P.GOLD) -> DataFrame:
     """``sent`` of any ``(corpus, doc_id, text)``."""
-    s = T.split_sentences(docs)
-    s = s.withColumn("words", T.TX.words_of(F.col("sent"))).filter(F.size("words") > 0)
+    s = T.split_sentences(docs).filter(T.TX.has_words(F.col("sent")))
+    s = s.withColumn("words", T.TX.words_of(F.col("sent")))
     return T.label_with_rules(s, "sent", pattern)
 
 
@@ -58,6 +58,12 @@ def words(spark: SparkSession, sf_dir: str, which=("documents", "conversations",
     return T.explode_tokens(sentences(spark, sf_dir, which), arrays=("words",), names=("word",))
 
 
+def sentences_once(spark, sf_dir, which=("documents", "conversations", "benchmark")) -> DataFrame:
+    """``sent`` without the raw text, written once for queries that read it
+    several times."""
+    return sentences(spark, sf_dir, which).select(*SENT_KEYS, "words", "labels").checkpoint(eager=True)
+
+
 def placeholder_tokens(tok: DataFrame) -> DataFrame:
     """Inject the four placeholders: every token at ``pos % 97 = 3`` becomes
     ``&YEAR/&EMAIL/&DATE/&TIME`` by ``sent_id % 4`` (FIXTURES.md §C)."""
@@ -143,6 +149,21 @@ def key_phrases(sent: DataFrame, flags: str) -> DataFrame:
     return sent.select(F.concat_ws(":", "corpus", F.col("doc_id").cast("string")).alias("doc"), F.explode(phrase).alias("phrase"))
 
 
+def phrase_counts(sent: DataFrame) -> DataFrame:
+    """``(doc, phrase, t, p)``: of the two-word windows of every sentence, how
+    often each touches a gold span (``labels``) and a predicted one (``preds``);
+    one pass over the sentences."""
+    n = F.size("words")
+
+    def touched(flags, i):
+        return (F.get(flags, i) > 0) | (F.get(flags, i + 1) > 0)
+    at = F.when(n > 1, F.filter(F.sequence(F.lit(0), n - 2), lambda i: touched("labels", i) | touched("preds", i)))
+    rows = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)).alias("phrase"),
+                                              touched("labels", i).cast("int").alias("t"), touched("preds", i).cast("int").alias("p")))
+    doc = F.concat_ws(":", "corpus", F.col("doc_id").cast("string")).alias("doc")
+    return sent.select(doc, F.explode(rows).alias("x")).groupBy("doc", "x.phrase").agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"))
+
+
 def keyphrase_responses(pred: DataFrame) -> DataFrame:
     """Service-style key-phrase responses built from the predictions: one JSON
     response per document (its phrases in order of appearance are not needed,

@@ -202,11 +202,11 @@ FROM tokc t JOIN bl_flag f USING (corpus, doc_id, sent_id, pos) GROUP BY t.corpu
 # --- lookups, vocabulary, vectors ---------------------------------------------------------
 
 VEC = """
-types AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1),
+types AS (SELECT lower(word) AS word, count(*) AS n FROM plain GROUP BY 1),
 ranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM types),
 vec AS (SELECT r.word, e.embedding AS v, r.r AS line_no FROM ranked r JOIN embeddings e ON e.vec_id = r.r),
 vdim AS (SELECT max(len(embedding)) AS dim FROM embeddings),
-freq AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1)
+freq AS (SELECT word, n FROM types)
 """
 
 PIECES = """
@@ -425,13 +425,89 @@ SELECT corpus, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) E
 FROM cm
 """
 
+# --- closed-form models over word features --------------------------------------------------------
+
+CLASSES = """
+seen AS (
+  SELECT lower(word) AS word, CAST(label > 0 AS INTEGER) AS label, count(*) AS n
+  FROM tok WHERE corpus = 'documents' AND doc_id % 5 <> 0 GROUP BY ALL),
+totals AS (SELECT label, CAST(sum(n) AS DOUBLE) AS total FROM seen GROUP BY label),
+cells AS (
+  SELECT s.word, s.label, CAST(s.n AS DOUBLE) AS n, unnest(range(0, len(v))) AS i, CAST(unnest(v) AS DOUBLE) AS x
+  FROM seen s JOIN vec USING (word)),
+sums AS (SELECT label, i, sum(n * x) AS s1, sum(n * x * x) AS s2 FROM cells GROUP BY label, i),
+eps AS (
+  SELECT 1e-9 * max(v) AS e FROM (
+    SELECT sum(s2) / (SELECT sum(total) FROM totals) - pow(sum(s1) / (SELECT sum(total) FROM totals), 2) AS v FROM sums GROUP BY i)),
+dims AS (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS i),
+bayes AS (
+  SELECT t.label, d.i, t.total, coalesce(s1, 0.0) / total AS mean,
+         coalesce(s2, 0.0) / total - pow(coalesce(s1, 0.0) / total, 2) + (SELECT e FROM eps) AS var
+  FROM totals t CROSS JOIN dims d LEFT JOIN sums s ON s.label = t.label AND s.i = d.i)
+"""
+
+ORACLE["bayes_statistics"] = with_base(VEC, CLASSES) + """
+SELECT label, i AS feature, CAST(total AS BIGINT) AS n, round(mean, 6) AS mean, round(var, 6) AS variance FROM bayes
+"""
+
+ORACLE["clf_bayes_words"] = with_base(VEC, CLASSES, """
+flat AS (
+  SELECT label, ln(any_value(total) / (SELECT sum(total) FROM totals)) - 0.5 * sum(ln(2 * pi() * var)) AS base,
+         -0.5 * sum(mean * mean / var) AS none FROM bayes GROUP BY label),
+near AS (
+  SELECT c.word, b.label, -0.5 * sum(pow(c.x - b.mean, 2) / b.var) AS d
+  FROM (SELECT word, unnest(range(0, len(v))) AS i, CAST(unnest(v) AS DOUBLE) AS x FROM vec) c JOIN bayes b USING (i)
+  GROUP BY c.word, b.label),
+scores AS (SELECT word, max(CASE WHEN label = 1 THEN d + base END) - max(CASE WHEN label = 0 THEN d + base END) AS s
+           FROM near JOIN flat USING (label) GROUP BY word),
+nothing AS (SELECT max(CASE WHEN label = 1 THEN none + base END) - max(CASE WHEN label = 0 THEN none + base END) AS s FROM flat),
+judged AS (
+  SELECT coalesce(d.lang, 'none') AS corpus, t.label > 0 AS y, coalesce(s.s, (SELECT s FROM nothing)) > 0 AS p
+  FROM tok t JOIN documents d ON d.doc_id = t.doc_id LEFT JOIN scores s ON s.word = lower(t.word)
+  WHERE t.corpus = 'documents' AND t.doc_id % 5 = 0),
+cm AS (
+  SELECT corpus, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp,
+         count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM judged GROUP BY corpus)
+""") + """
+SELECT corpus, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1
+FROM cm
+"""
+
+ORACLE["boost_first_stump"] = with_base(VEC, """
+seen AS (
+  SELECT lower(word) AS word, CAST(label > 0 AS INTEGER) AS label, CAST(count(*) AS DOUBLE) AS n
+  FROM tok WHERE corpus = 'documents' AND doc_id % 5 <> 0 GROUP BY ALL),
+dims AS (SELECT unnest(range(0, (SELECT dim FROM vdim))) AS i),
+cells AS (
+  SELECT d.i, s.label, s.n, coalesce(CAST(v[d.i + 1] AS DOUBLE), 0.0) AS x FROM seen s CROSS JOIN dims d LEFT JOIN vec USING (word)),
+ranges AS (SELECT i, min(x) AS low, max(x) AS high FROM cells GROUP BY i),
+uppers AS (SELECT i, list_transform(range(1, 65), lambda k: low + (high - low) * k / 64) AS u FROM ranges),
+binned AS (
+  SELECT c.i, label, n, least(len(list_filter(u, lambda e: e <= x)), 63) AS b FROM cells c JOIN uppers USING (i)),
+hist AS (SELECT i, b, sum(CASE WHEN label = 0 THEN n ELSE 0 END) AS n0, sum(CASE WHEN label = 1 THEN n ELSE 0 END) AS n1 FROM binned GROUP BY i, b),
+grid AS (SELECT i, unnest(range(0, 63)) AS b FROM dims),
+lefts AS (
+  SELECT g.i, g.b, sum(CASE WHEN h.b <= g.b THEN n0 ELSE 0 END) AS l0, sum(CASE WHEN h.b <= g.b THEN n1 ELSE 0 END) AS l1,
+         sum(n0) AS t0, sum(n1) AS t1
+  FROM grid g JOIN hist h USING (i) GROUP BY g.i, g.b),
+judged AS (
+  SELECT i, b, l0, l1, t0 - l0 AS r0, t1 - l1 AS r1, l0 * l1 / (l0 + l1) + (t0 - l0) * (t1 - l1) / (t0 - l0 + t1 - l1) AS impurity
+  FROM lefts WHERE l0 + l1 > 0 AND t0 - l0 + t1 - l1 > 0)
+""") + """
+SELECT i AS feature, b AS bin, CAST(l1 > l0 AS INTEGER) AS left_class, CAST(r1 > r0 AS INTEGER) AS right_class,
+       round((least(l0, l1) + least(r0, r1)) / (l0 + l1 + r0 + r1), 9) AS error
+FROM judged ORDER BY impurity, i, b LIMIT 1
+"""
+
 # --- placeholders, key phrases, utility, selection, service ---------------------------------
 
 PH = """
 ph AS (
-  SELECT corpus, doc_id, sent_id, pos, label,
+  SELECT corpus, doc_id, sent_id, pos,
          CASE WHEN pos % 97 = 3 THEN ['&YEAR', '&EMAIL', '&DATE', '&TIME'][sent_id % 4 + 1] ELSE word END AS word
-  FROM tok)
+  FROM plain)
 """
 
 ORACLE["find_placeholders"] = with_base(PH) + """
@@ -440,7 +516,7 @@ SELECT word, count(*) AS n FROM ph WHERE word IN ('&YEAR', '&EMAIL', '&DATE', '&
 
 ORACLE["pseudonymize"] = with_base(PH, """
 ps AS (
-  SELECT *, CAST(('0x' || substr(md5(concat_ws('|', corpus, doc_id, sent_id, pos, 0)), 1, 8)) AS BIGINT) AS h
+  SELECT corpus, doc_id, sent_id, pos, word, CAST(('0x' || substr(md5(concat_ws('|', corpus, doc_id, sent_id, pos, 0)), 1, 8)) AS BIGINT) AS h
   FROM ph WHERE word IN ('&YEAR', '&EMAIL', '&DATE', '&TIME'))
 """) + """
 SELECT corpus, doc_id, sent_id, pos, word AS placeholder,
@@ -679,12 +755,8 @@ FROM num, tot GROUP BY 1
 
 ORACLE["stream_anonymize"] = ORACLE["anonymize_text"]
 
-ORACLE["score_batches"] = with_base("""
-cand AS (
-  SELECT corpus, doc_id, sent_id, pos FROM tok WHERE regexp_matches(word, '[0-9@]'))
-""") + """
-SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(c.pos IS NOT NULL AS INTEGER) AS pred
-FROM tok t LEFT JOIN cand c USING (corpus, doc_id, sent_id, pos)
+ORACLE["score_batches"] = with_base() + """
+SELECT corpus, doc_id, sent_id, pos, CAST(regexp_matches(word, '[0-9@]') AS INTEGER) AS pred FROM plain
 """
 
 ORACLE["union_corpora"] = with_base() + """
@@ -693,7 +765,7 @@ SELECT corpus, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars
 
 ORACLE["span_token_join"] = with_base() + """
 SELECT t.corpus, t.doc_id, t.sent_id, t.pos, CAST(h.pos IS NOT NULL AS INTEGER) AS pred
-FROM tokoff t LEFT JOIN hits h USING (corpus, doc_id, sent_id, pos)
+FROM plain t LEFT JOIN hits h USING (corpus, doc_id, sent_id, pos)
 """
 
 ORACLE["anonymize_ngram"] = with_base(ngram_ctes(2, 2), """

@@ -37,19 +37,6 @@ sent AS (
     SELECT *, list_filter(string_split_regex(regexp_replace(sent, {PUNCT}, ' \\1 ', 'g'), {SPACES}),
                           lambda x: x <> '') AS words
     FROM sent_all) WHERE len(words) > 0),
-rawtok AS (
-  SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {TOKEN}) AS m,
-         string_split_regex(sent, {TOKEN}) AS g
-  FROM sent),
-tokpos AS (
-  SELECT corpus, doc_id, sent_id, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos,
-         unnest(m) AS word, unnest(g[1:len(m)]) AS gap
-  FROM rawtok),
-tokoff AS (
-  SELECT corpus, doc_id, sent_id, pos, word,
-         CAST(sum(length(gap) + length(word)) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos
-              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS te
-  FROM tokpos),
 rawspan AS (
   SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {GOLD}) AS m,
          string_split_regex(sent, {GOLD}) AS g
@@ -63,25 +50,48 @@ spans AS (
     SELECT *, CAST(sum(length(gap) + length(span)) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY span_id
                    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS se
     FROM spanpos)),
-hits AS (
+goldtok AS (
+  SELECT corpus, doc_id, sent_id, pos, word,
+         CAST(sum(length(gap) + length(word)) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS te
+  FROM (SELECT corpus, doc_id, sent_id, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos,
+               unnest(m) AS word, unnest(g[1:len(m)]) AS gap
+        FROM (SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {TOKEN}) AS m, string_split_regex(sent, {TOKEN}) AS g
+              FROM sent WHERE regexp_matches(sent, {GOLD})))),
+hits AS MATERIALIZED (
   SELECT DISTINCT t.corpus, t.doc_id, t.sent_id, t.pos
-  FROM tokoff t JOIN spans s
+  FROM goldtok t JOIN spans s
     ON t.corpus = s.corpus AND t.doc_id = s.doc_id AND t.sent_id = s.sent_id
    AND s.s_begin < t.te AND t.te - length(t.word) < s.s_end),
-flagged AS (
-  SELECT t.corpus, t.doc_id, t.sent_id, t.pos, t.word, t.te - length(t.word) AS tb, t.te,
-         h.pos IS NOT NULL AS hit
-  FROM tokoff t LEFT JOIN hits h USING (corpus, doc_id, sent_id, pos)),
+plain AS (
+  SELECT corpus, doc_id, sent_id, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS pos, unnest(words) AS word FROM sent),
 tok AS (
-  SELECT corpus, doc_id, sent_id, pos, word,
-         CAST(CASE WHEN hit THEN CASE WHEN coalesce(lag(hit) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos),
-                                                    false) THEN 2 ELSE 1 END ELSE 0 END AS INTEGER) AS label
-  FROM flagged),
+  SELECT p.corpus, p.doc_id, p.sent_id, p.pos, p.word,
+         CASE WHEN h.pos IS NULL THEN 0 WHEN b.pos IS NULL THEN 1 ELSE 2 END AS label
+  FROM plain p LEFT JOIN hits h ON h.corpus = p.corpus AND h.doc_id = p.doc_id AND h.sent_id = p.sent_id AND h.pos = p.pos
+  LEFT JOIN hits b ON b.corpus = p.corpus AND b.doc_id = p.doc_id AND b.sent_id = p.sent_id AND b.pos = p.pos - 1),
 tokc AS (
   SELECT corpus, doc_id, sent_id, pos, word, CASE WHEN label > 0 THEN 1 ELSE 0 END AS label FROM tok)
 """
 
 
+OFFSETS = f"""
+rawtok AS (
+  SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {TOKEN}) AS m,
+         string_split_regex(sent, {TOKEN}) AS g
+  FROM sent),
+tokpos AS (
+  SELECT corpus, doc_id, sent_id, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos,
+         unnest(m) AS word, unnest(g[1:len(m)]) AS gap
+  FROM rawtok),
+tokoff AS (
+  SELECT corpus, doc_id, sent_id, pos, word,
+         CAST(sum(length(gap) + length(word)) OVER (PARTITION BY corpus, doc_id, sent_id ORDER BY pos
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS te
+  FROM tokpos)
+"""
+
+
 def with_base(*extra: str) -> str:
     """``WITH <base>, <extra...>`` — pass further CTEs as ``name AS (...)``."""
     parts = [BASE.strip()] + [e.strip() for e in extra if e.strip()]
@@ -92,7 +102,7 @@ def span_ctes(prefix: str, pattern: str) -> str:
     """CTEs ``{prefix}_spans`` and ``{prefix}_flag(corpus, doc_id, sent_id, pos,
     hit)`` for any rule pattern, projected onto the raw tokens of ``tokoff``."""
     p = lit(pattern)
-    return f"""
+    return OFFSETS + f""",
 {prefix}_raw AS (
   SELECT corpus, doc_id, sent_id, regexp_extract_all(sent, {p}) AS m, string_split_regex(sent, {p}) AS g
   FROM sent WHERE regexp_matches(sent, {p})),
