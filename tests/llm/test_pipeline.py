@@ -52,8 +52,7 @@ def test_line_dedup(staged):
 
 def test_near_dedup(staged):
     docs = [(r.doc_id, r.text) for r in staged[2].collect()]
-    idf = minhash.document_frequencies(staged[2], "text")
-    classes = test_minhash.classes(docs, idf)
+    classes = test_minhash.classes(docs)
     assert sorted(r.doc_id for r in staged[3].collect()) == sorted(set(classes.values()))
 
 
@@ -77,3 +76,21 @@ def test_mix_and_pack(staged, spark):
 def test_run_is_the_stages(spark, staged):
     out = C.run(spark, SF)
     assert out.columns == staged[5].columns and out.count() > 200
+
+
+def test_clashing_columns_and_empty_tables(spark, frame):
+    """Columns of the caller come through every stage as they were."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+    names = ["score", "lang_pred", "rate", "__t", "n_lines", "n_equal", "n_near", "rk", "mix_block", "mix_order", "mix_pass", "mix_tokens", "row", "whole"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    empty = odd.limit(0)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+        assert sorted({r["doc_id"] for r in rows}) == sorted({r["doc_id"] for r in stage(spark, docs, "").collect()}), name
+        assert stage(spark, empty, "").count() == 0, name
+    assert P.STAGES[-1][1](spark, empty, "").count() == 0
