@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,3 +46,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(c.lower())
         out.append(c)
     return out
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system; the C library keeps the
+    pages of large arrays otherwise, over all later tasks of the worker."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass

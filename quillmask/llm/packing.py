@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepared, stored
+from .common import give_back, prepared, stored
 from .tokens import CACHE_BYTES, CHUNK, TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -79,6 +79,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer) -
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[b:b + 4 * capacity]
                         rows.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
+            give_back()
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
 
     kind = docs.schema[doc_id].dataType.simpleString()
