@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, prepared, stored
-from .tokens import CACHE_BYTES, CHUNK, TOKENIZER, encoder
+from .tokens import CACHE_BYTES, CHUNK, TOKENIZER, encoder, release
 
 CAPACITY = 2048
 GROUPS = 96
@@ -66,7 +66,7 @@ def ranked(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(base, [by, "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
 
 
-def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer) -> DataFrame:
+def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer, keep: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and rank of every piece."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(*tokenizer)
@@ -81,6 +81,8 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer) -
                         rows.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
             give_back()
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
+        if not keep:
+            release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     # as text: pandas has no whole numbers beside nulls
@@ -254,11 +256,13 @@ def histogram(df: DataFrame, by: str) -> dict[int, int]:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         n_groups: int = GROUPS, tokenizer: str = TOKENIZER, cache_bytes: int = CACHE_BYTES, chunk: int = CHUNK) -> DataFrame:
+         n_groups: int = GROUPS, tokenizer: str = TOKENIZER, cache_bytes: int = CACHE_BYTES, chunk: int = CHUNK,
+         keep: bool = True) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset.  ``cache_bytes`` and ``chunk`` trade a worker's memory for speed."""
+    offset.  ``cache_bytes`` and ``chunk`` trade a worker's memory for speed;
+    without ``keep``, a worker lets its tokenizer go after each task."""
     spark = prepared(docs.sparkSession)
-    rows = pieces(docs, doc_id, text, capacity, tokenizer, cache_bytes, chunk)
+    rows = pieces(docs, doc_id, text, capacity, tokenizer, cache_bytes, chunk, keep=keep)
     counts = histogram(rows, "length")
     limit = capacity // 8
     large = LargePlan({s: n for s, n in counts.items() if s > limit}, capacity, n_groups)

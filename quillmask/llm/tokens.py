@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 
+from .common import give_back
 from .hashing import NON_SPACE, Words, chunks
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +45,12 @@ def encoder(name: str = TOKENIZER, cache_bytes: int = CACHE_BYTES, chunk: int =
     return _loaded[key]
 
 
+def release() -> None:
+    """Lets the process's encoder go, for workers that have other work next."""
+    _loaded.clear()
+    give_back()
+
+
 def is_other(s: str) -> bool:
     if s.isascii():
         return "<|" in s or any(c in s for c in "\x1c\x1d\x1e\x1f")
