@@ -231,7 +231,7 @@ class AveragedSGD:
     has not fallen for ``patience`` epochs by more than ``fall`` of itself; the
     weights of least loss are the model's."""
 
-    def __init__(self, alpha: float = 1e-4, rate: float = 0.1, batch: int = 256, fall: float = 1e-3, patience: int = 5):
+    def __init__(self, alpha: float = 1e-4, rate: float = 0.1, batch: int = 256, fall: float = 5e-3, patience: int = 5):
         self.alpha, self.rate, self.batch, self.fall, self.patience = alpha, rate, batch, fall, patience
 
     def fit(self, df: DataFrame) -> LinearModel:

@@ -64,7 +64,7 @@ def test_sgd_stops_when_the_loss_stops(data):
     assert np.average(m.classes(x) == (y > 0), weights=w) > 0.85
     best = min(h[2] for h in m.history)
     at = [h for h in m.history if np.allclose(h[0], m.weights)]
-    assert at and at[0][2] <= best / (1 - 1e-3) + 1e-12
+    assert at and at[0][2] <= best / (1 - 5e-3) + 1e-12
 
 
 def test_mixture_does_not_depend_on_partitions(data):
