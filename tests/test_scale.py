@@ -1,10 +1,12 @@
 """The shuffle-lean forms of operators equal the plain ones."""
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillmask.operators import annotate as A
-from quillmask.plans import catalog as C
+from quillmask.operators import features as FEAT
+from quillmask.operators import lookup as L
 
 SENT = "corpus string, doc_id long, sent_id int, words array<string>, labels array<int>"
 
@@ -46,3 +48,46 @@ def test_known_totals_equal_the_joins(spark):
     for known, got in ((True, row.known), (False, row.unknown)):
         per = {r.corpus: r.n for r in A.known_ngrams(w, lst, known).groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).collect()}
         assert got == [per.get("x", 0), per.get("y", 0)]
+
+
+def test_directions_are_removed_in_place(spark):
+    """Documents over several batches, repeated keys, null keys."""
+    r = np.random.default_rng(0)
+    rows = [("x" if i % 2 else None if i % 40 == 0 else "y", int(i // 9) if i % 31 else None, int(i % 9), r.normal(size=5).tolist()) for i in range(400)]
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "corpus string, doc_id long, sent_id int, sv array<double>")
+    want = FEAT.remove_first_direction(df).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for held in (0, 64_000_000):
+            FEAT.HELD_BYTES = held
+            got = FEAT.remove_first_direction(FEAT.by_document(df), together=True)
+            assert "Join" not in plans(got)
+            got = got.collect()
+            assert len(got) == len(want) and got[0].__fields__ == want[0].__fields__
+            key = lambda x: (*x[:3], [round(v, 6) + 0.0 for v in x.sv])
+            assert np.allclose([key(x)[3] for x in sorted(got, key=key)], [key(x)[3] for x in sorted(want, key=key)], atol=1e-5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        FEAT.HELD_BYTES = 64_000_000
+
+
+def test_copies_of_a_key_are_joined_to_each_other(spark):
+    s = sentences(spark, 20)
+    s = s.unionByName(s.limit(3))
+    j = s.select("corpus", "doc_id", "sent_id", "words").join(s.select("corpus", "doc_id", "sent_id"), ["corpus", "doc_id", "sent_id"])
+    got = FEAT.times_copies(FEAT.by_document(s)).select(*j.columns)
+    assert sorted(got.collect()) == sorted(j.collect())
+
+
+def test_vectors_meet_tokens_without_a_shuffle(spark):
+    tok = spark.createDataFrame([("c", 1, 0, i, w) for i, w in enumerate("aBcab")], "corpus string, doc_id long, sent_id int, pos int, word string")
+    vec = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, v array<float>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = L.lookup_vectors(tok, vec)
+        assert "SortMergeJoin" not in plans(got)
+        assert [r.v for r in sorted(got.collect(), key=lambda r: r.pos)] == [[1.0, 2.0], [3.0, 4.0], [0.0, 0.0], [1.0, 2.0], [3.0, 4.0]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
