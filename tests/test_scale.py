@@ -91,3 +91,11 @@ def test_vectors_meet_tokens_without_a_shuffle(spark):
         assert [r.v for r in sorted(got.collect(), key=lambda r: r.pos)] == [[1.0, 2.0], [3.0, 4.0], [0.0, 0.0], [1.0, 2.0], [3.0, 4.0]]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_pieces_are_summed_without_a_join(spark):
+    wp = spark.createDataFrame([("abc", "abc"), ("abcd", "abc"), ("abcd", "bcd"), ("zz", "zz"), ("aaaa", "aaa"), ("aaaa", "aaa")], "word string, piece string")
+    pv = spark.createDataFrame([("abc", [1.0, 2.0]), ("bcd", [0.5, 4.0]), ("aaa", [0.25, 8.0])], "word string, v array<float>")
+    got = L.subword_vectors(wp, pv)
+    assert "Join" not in plans(got)
+    assert sorted(got.collect()) == sorted(L._joined_subwords(wp, pv).collect())
