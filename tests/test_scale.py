@@ -103,7 +103,7 @@ def test_pieces_are_summed_without_a_join(spark):
 
 def test_null_vectors_and_null_numbers(spark):
     wp = spark.createDataFrame([("abc", "abc"), ("abcd", "abc"), ("abcd", "bcd"), ("zz", "zz")], "word string, piece string")
-    for rows in ([("abc", [1.0, 2.0]), ("bcd", None)], [("abc", [1.0, None]), ("bcd", [0.5, 4.0])]):
+    for rows in ([("abc", [1.0, 2.0]), ("bcd", None)], [("abc", [1.0, 2.0]), ("abc", [1.0, 2.0])], [("abc", [1.0, None]), ("bcd", [0.5, 4.0])]):
         pv = spark.createDataFrame(rows, "word string, v array<float>")
         assert sorted(L.subword_vectors(wp, pv).collect(), key=str) == sorted(L._joined_subwords(wp, pv).collect(), key=str)
     assert FEAT.held_types(pv) is None
