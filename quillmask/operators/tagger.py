@@ -1,28 +1,33 @@
 """Annotators learned from labelled sentences (A4, A5, A7, A9):
 
-* a hidden Markov tagger: counts by aggregation, Viterbi decoding as array
-  scans inside the sentence row, on the JVM;
+* a hidden Markov tagger: counts by aggregation, Viterbi decoding as scans over
+  the sentences of an Arrow batch;
 * a phrase list: the gold phrases of the training sentences, found again by an
   Aho-Corasick automaton over words.
 """
 from __future__ import annotations
 
 import math
+import re
 from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from ..functions.arrays import inclusive_scan, let
-from ..session import ship_package
+from ..functions.arrays import let
+from ..session import ship_package, stored
 from ..sources.tables import SENT_KEYS
 from .features import flat_words
 
 KNOWN = 2                       # occurrences from which a word stands for itself
 ALPHA = 0.1                     # added to every count
+SYMBOLS = 1_500_000             # of a tagger, up to which they are sent to every executor
+DECODED = 500_000               # words that are decoded at once
 
 
 # --- hidden Markov tagger -----------------------------------------------------------
@@ -49,7 +54,7 @@ def emission_counts(sent: DataFrame, known: int = KNOWN) -> DataFrame:
     sensitive word.  Words seen ``known`` times are their own symbol, rarer ones
     count for their shape.  Only types are joined, never tokens."""
     tok = sent.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.col("labels").alias("l"))).alias("t"))
-    types = tok.groupBy(F.col("t.w").alias("word"), (F.col("t.l") > 0).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+    types = stored(tok.groupBy(F.col("t.w").alias("word"), (F.col("t.l") > 0).alias("hit")).agg(F.count(F.lit(1)).alias("n")), "word-types")
     types = types.select(known_symbol(F.col("word")).alias("own"), shape_symbol(F.col("word")).alias("shape"), "hit", "n") \
         .groupBy("own", "shape", "hit").agg(F.sum("n").alias("n"))
     often = types.groupBy("own").agg(F.sum("n").alias("total")).filter(F.col("total") >= known)
@@ -60,11 +65,25 @@ def emission_counts(sent: DataFrame, known: int = KNOWN) -> DataFrame:
 
 def transition_counts(sent: DataFrame) -> DataFrame:
     """``(before, after, n)`` of neighbouring labels; ``before`` is -1 at the
-    start of a sentence."""
-    l = F.transform("labels", lambda x: (x > 0).cast("int"))
-    pairs = let(l, lambda v: F.transform(v, lambda x, i: F.struct(
-        F.when(i > 0, F.get(v, i - 1)).otherwise(-1).alias("before"), x.alias("after"))))
-    return sent.select(F.explode(pairs).alias("p")).groupBy("p.before", "p.after").agg(F.count(F.lit(1)).alias("n"))
+    start of a sentence.  Added up by Arrow batch, then by pair."""
+    ship_package(sent.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            size, hit = _sized(batch.column(0))
+            before = np.append(-1, hit[:-1])[:len(hit)]
+            before[(np.cumsum(size) - size)[size > 0]] = -1
+            pair, n = np.unique(before * 2 + hit, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair // 2, pa.int32()), pa.array(pair % 2, pa.int32()), pa.array(n, pa.int64())],
+                                             names=["before", "after", "n"])
+    hits = F.transform("labels", lambda x: F.when(x > 0, 1).otherwise(0))
+    return sent.select(hits.alias("h")).mapInArrow(run, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+def _sized(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow list column: length of each row, and all values."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return size, pc.list_flatten(lists).to_numpy(zero_copy_only=False)
 
 
 @dataclass(frozen=True)
@@ -92,35 +111,116 @@ def train(sent: DataFrame, known: int = KNOWN, alpha: float = ALPHA) -> Tagger:
 
 
 def _product(l, r):
-    """Max-plus product of 2 x 2 matrices (a b / c d)."""
-    return F.struct(F.greatest(l["a"] + r["a"], l["b"] + r["c"]).alias("a"), F.greatest(l["a"] + r["b"], l["b"] + r["d"]).alias("b"),
-                    F.greatest(l["c"] + r["a"], l["d"] + r["c"]).alias("c"), F.greatest(l["c"] + r["b"], l["d"] + r["d"]).alias("d"))
+    """Max-plus product of 2 x 2 matrices (a b / c d), each a row of four."""
+    (a, b, c, d), (e, f, g, h) = l, r
+    return np.stack([np.maximum(a + e, b + g), np.maximum(a + f, b + h), np.maximum(c + e, d + g), np.maximum(c + f, d + h)])
 
 
-def viterbi(emissions: Column, start, chain) -> Column:
-    """The most probable 0/1 labels of ``array<struct<e0, e1>>``.  The steps are
-    max-plus matrices, so the best scores up to each word and from each word on
-    are two log-step scans; a word's label is the state of the better sum (0 on
+def best_labels(e0: np.ndarray, e1: np.ndarray, size: np.ndarray, start, chain) -> np.ndarray:
+    """The most probable 0/1 labels of sentences of ``size`` words that follow
+    each other in ``e0``, ``e1``.  The steps are max-plus matrices, so the best
+    scores up to each word and from each word on are two log-step scans over
+    all sentences at once; a word's label is the state of the better sum (0 on
     ties)."""
     (s0, s1), ((t00, t01), (t10, t11)) = start, chain
+    done = np.arange(len(e0)) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - 1 - done
+    first = done == 0
+    up = np.stack([e0 + np.where(first, s0, t00), e1 + np.where(first, s1, t01), e0 + np.where(first, s0, t10), e1 + np.where(first, s1, t11)])
+    down = up.copy()
+    step, longest = 1, int(size.max()) if len(size) else 0
+    while step < longest:
+        i = np.flatnonzero(done >= step)
+        up[:, i] = _product(up[:, i - step], up[:, i])
+        i = np.flatnonzero(left >= step)
+        down[:, i] = _product(down[:, i], down[:, i + step])
+        step *= 2
+    rest = np.zeros((2, len(e0)))
+    i = np.flatnonzero(left > 0)
+    rest[0, i], rest[1, i] = np.maximum(down[0, i + 1], down[1, i + 1]), np.maximum(down[2, i + 1], down[3, i + 1])
+    return (up[1] + rest[1] > up[0] + rest[0]).astype(np.int32)
+
+
+def _decoded(lists, e0: np.ndarray, e1: np.ndarray, start, chain):
+    """``best_labels`` of an Arrow list column's rows, some words at a time."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.concatenate([[0], np.cumsum(size)])
+    out, at = np.zeros(len(e0), dtype=np.int32), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(row, row[at] + DECODED, side="right")) - 1)
+        out[row[at]:row[to]] = best_labels(e0[row[at]:row[to]], e1[row[at]:row[to]], size[at:to], start, chain)
+        at = to
+    mask = np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(row.astype(np.int32), mask=mask if mask.any() else None), pa.array(out))
 
-    def matrices(e):
-        return F.transform(e, lambda x, i: F.when(i == 0, F.struct(
-            (x["e0"] + s0).alias("a"), (x["e1"] + s1).alias("b"), (x["e0"] + s0).alias("c"), (x["e1"] + s1).alias("d"))).otherwise(F.struct(
-                (x["e0"] + t00).alias("a"), (x["e1"] + t01).alias("b"), (x["e0"] + t10).alias("c"), (x["e1"] + t11).alias("d"))))
-
-    def decoded(m):
-        ahead = F.reverse(inclusive_scan(F.reverse(m), lambda l, r: _product(r, l)))
-        return let(inclusive_scan(m, _product), lambda up: let(ahead, lambda down: F.transform(up, lambda u, i: F.when(
-            u["b"] + F.coalesce(F.greatest(F.get(down, i + 1)["c"], F.get(down, i + 1)["d"]), F.lit(0.0))
-            > u["a"] + F.coalesce(F.greatest(F.get(down, i + 1)["a"], F.get(down, i + 1)["b"]), F.lit(0.0)), 1).otherwise(0))))
-    return let(matrices(emissions), decoded)
 
-
-def tag(sent: DataFrame, tagger: Tagger, keys=SENT_KEYS, carried=(), out: str = "preds") -> DataFrame:
-    """``(keys, words, carried, preds)`` of every sentence.  Words meet
-    their log probabilities by joins on the symbol (broadcast by Spark when
-    small), sentences are folded once, decoding is row-local."""
+def viterbi(emissions: Column, start, chain) -> Column:
+    """The most probable 0/1 labels of ``array<struct<e0, e1>>``, by Arrow
+    batch."""
+
+    @F.arrow_udf("array<int>")
+    def run(e: pa.Array) -> pa.Array:
+        flat = pc.list_flatten(e)
+        e0, e1 = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.float64) for i in ("e0", "e1"))
+        return _decoded(e, e0, e1, start, chain)
+    return run(emissions)
+
+
+SIGNS = [(re.compile("[0-9]+"), "9"), (re.compile("[a-z]+"), "a"), (re.compile("[A-Z]+"), "A"), (re.compile("[^\\x00-\\x7f]+"), "x")]
+
+
+def _shape(word: str) -> str:
+    """``shape`` of one word."""
+    for signs, sign in SIGNS:
+        word = signs.sub(sign, word)
+    return word
+
+
+def tag(sent: DataFrame, tagger: Tagger, keys=SENT_KEYS, carried=(), out: str = "preds", limit: int = SYMBOLS) -> DataFrame:
+    """``(keys, words, carried, preds)`` of every sentence without a
+    null key.  A table of up to ``limit`` symbols is sent to the executors: the
+    distinct words of an Arrow batch are looked up once and its sentences are
+    decoded where they were read, nothing is shuffled but the keys, to find
+    those that occur twice.  Sentences of one key are read as one, and a larger
+    table is joined (``_joined_tags``)."""
+    keys = list(keys)
+    ship_package(sent.sparkSession)
+    sent = sent.select(*keys, "words", *carried).dropna(subset=keys)
+    table = tagger.emissions.select("symbol", "e0", "e1").limit(limit + 1).toArrow()
+    symbols = table.column("symbol").to_pylist()
+    if len(symbols) > limit or len(set(symbols)) < len(symbols):
+        return _joined_tags(sent, tagger, keys, carried, out)
+    twice = stored(sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*keys), "repeated-keys")
+    if not twice.head(1):
+        return _held_tags(sent, tagger, symbols, table, out)
+    return _held_tags(sent.join(twice, keys, "left_anti"), tagger, symbols, table, out) \
+        .unionByName(_joined_tags(sent.join(twice, keys, "left_semi"), tagger, keys, carried, out))
+
+
+def _held_tags(sent: DataFrame, tagger: Tagger, symbols: list[str], table, out: str) -> DataFrame:
+    """The labels of sentences, each on its own, by a table that is sent."""
+    start, chain, unseen = tagger.start, tagger.chain, tagger.unseen
+    e = np.stack([np.append(table.column(f"e{s}").to_numpy(), unseen[s]) for s in (0, 1)])     # the last: neither listed
+    held = sent.sparkSession.sparkContext.broadcast((dict(zip(symbols, range(len(symbols)))), e))
+
+    @F.arrow_udf("array<int>")
+    def run(words: pa.Array, low: pa.Array) -> pa.Array:
+        index, e = held.value
+        last = e.shape[1] - 1
+        which, distinct, _ = flat_words(words)
+        folded, names, _ = flat_words(low)
+        at = np.array([index.get("w:" + w, -1) for w in names] or [-1], dtype=np.int64)[folded]
+        rare = np.flatnonzero(at < 0)
+        if len(rare):
+            kind, back = np.unique(which[rare], return_inverse=True)
+            at[rare] = np.array([index.get("s:" + _shape(distinct[k]), last) for k in kind.tolist()], dtype=np.int64)[back]
+        return _decoded(words, e[0][at], e[1][at], start, chain)
+    return sent.withColumn(out, run("words", F.transform("words", F.lower)))
+
+
+def _joined_tags(sent: DataFrame, tagger: Tagger, keys, carried=(), out: str = "preds") -> DataFrame:
+    """Words meet their log probabilities by joins on the symbol, sentences are
+    folded once."""
     tok = sent.select(*keys, F.posexplode("words").alias("pos", "word"))
     own = tagger.emissions.select(F.col("symbol").alias("_own"), F.col("e0").alias("_w0"), F.col("e1").alias("_w1"))
     shapes = tagger.emissions.filter(F.col("symbol").startswith("s:")).select(F.col("symbol").alias("_shape"), F.col("e0").alias("_s0"), F.col("e1").alias("_s1"))
@@ -232,7 +332,6 @@ def phrase_spans(sent: DataFrame, phrases: DataFrame, keys=SENT_KEYS, limit: int
     at = len(keys)
 
     def run(batches):
-        import pyarrow as pa
         m = held.value
         number, goto = {w: i for i, w in enumerate(m.words)}, dict(zip(m.keys.tolist(), m.to.tolist()))
         fail, longest, n = m.fail.tolist(), m.longest.tolist(), len(m.words)

@@ -65,3 +65,25 @@ def test_empty_list_and_no_sentences(spark):
     assert TG.phrase_spans(sent, none).count() == 0
     assert TG.mark_spans(sent, TG.phrase_spans(sent, none)).first().preds == [0]
     assert TG.learned_phrases(sent.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [TG.SYMBOLS, 0])
+def test_sent_and_joined_symbols_give_the_same_labels(spark, limit):
+    rng = random.Random(3)
+    words = ["Call", "now", "see", "Ann", "Lee", "7", "2024", "né", "ÉTÉ", "x1"]
+    rows = [("c", d, 0, [rng.choice(words) for _ in range(rng.randint(1, 30))]) for d in range(60)]
+    sent = spark.createDataFrame([(*r, [int(w[0].isdigit() or w in ("Ann", "Lee")) for w in r[3]]) for r in rows], SENT)
+    t = TG.train(sent.limit(40))
+    # a sentence key that occurs twice, one that is null, an empty sentence
+    odd = spark.createDataFrame([("c", 1, 0, ["Ann", "7"], [0, 0]), (None, 2, 0, ["7"], [0]), ("c", 99, 0, ["Zoë", "77", "unseen"], [0, 0, 0])], SENT)
+    got = sorted((r.doc_id, r.words, r.preds) for r in TG.tag(sent.union(odd), t, limit=limit).collect())
+    want = sorted((r.doc_id, r.words, r.preds) for r in TG._joined_tags(sent.union(odd), t, ["corpus", "doc_id", "sent_id"]).collect())
+    assert got == want and len(got) == 62
+
+
+def test_sentences_are_tagged_without_moving_them(spark):
+    """Only keys are shuffled: the plan from the sentences to their labels has
+    no exchange."""
+    sent = spark.createDataFrame([("c", d, 0, ["Call", str(d)], [0, 1]) for d in range(9)], SENT)
+    plan = TG.tag(sent, TG.train(sent))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
