@@ -122,3 +122,38 @@ def test_pointer_round_trip(spark):
     s = T.collapse_labels(FX.sentences(spark, "/root/testdata/sf0.001"), "labels")
     p = T.pointers_to_mask(T.pointer_targets(s), "targets", "words", "preds")
     assert p.filter(F.col("labels") != F.col("preds")).count() == 0
+
+
+def test_annotated_spans_equal_the_interval_sweep(spark):
+    """Both forms of the same rule, on sentences with odd spaces, matches over
+    several tokens, none, and null."""
+    import random
+    from quillmask.functions import patterns as P
+    from quillmask.operators import annotate as A
+    rng = random.Random(5)
+    signs = ["Ann", "b", "a.b@c.de", "1.22.3.4", "é", "日本", "9", ".", "'", "(", " ", "  ", "\t", "\x0b", "deadbeefdeadbeef", "xY1z", "😀Ab"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 25))) for _ in range(300)] + ["", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sent string").repartition(3)
+    for pattern in (P.BASELINE_SPANS, P.GOLD, r"\d+", r"[a-z]+ [A-Z]|\s", r"b@c"):
+        want = {r.i: r.p for r in df.select("i", F.transform(TX.span_flags(F.col("sent"), pattern), lambda f: f.cast("int")).alias("p")).collect()}
+        got = A.annotate_spans(df, pattern)
+        assert {r.i: r.preds for r in got.collect()} == want
+        assert "aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()      # no scan over the tokens
+
+
+def test_sent_and_joined_vocabularies_give_the_same_ids(spark):
+    rng = random.Random(7)
+    words = ["Ann", "ann", "é", "É", "9", ".", "İx", "new"]
+    rows = [("c", i, 0, [rng.choice(words) for _ in range(rng.randint(0, 12))]) for i in range(80)]
+    rows += [("c", 1, 0, ["9", "again"]), (None, 1, 0, ["ann"]), (None, 1, 0, ["9"]), (None, 2, 0, ["é", "?"])]
+    sent = spark.createDataFrame(rows, "corpus string, doc_id long, sent_id int, words array<string>")
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(["ann", "é", "9", ".", P.EOS_TOKEN, P.UNK_TOKEN, P.SOS_TOKEN])], "word string, id long")
+    key = lambda r: (r[0] or "", *r[1:])
+    for cased in (False, True):
+        want = sorted(map(tuple, T.encode_ids(sent, vocab, case_sensitive=cased, limit=0).collect()), key=key)
+        got = T.encode_ids(sent, vocab, case_sensitive=cased)
+        assert sorted(map(tuple, got.collect()), key=key) == want
+    alone = T.encode_ids(sent.filter("corpus is not null and doc_id > 1"), vocab)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()      # no token is moved
+    ids = alone.select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    assert "SortMergeJoin" not in T.decode_ids(ids, vocab)._jdf.queryExecution().executedPlan().toString()
