@@ -150,10 +150,14 @@ def test_sent_and_joined_vocabularies_give_the_same_ids(spark):
     vocab = spark.createDataFrame([(w, i) for i, w in enumerate(["ann", "é", "9", ".", P.EOS_TOKEN, P.UNK_TOKEN, P.SOS_TOKEN])], "word string, id long")
     key = lambda r: (r[0] or "", *r[1:])
     for cased in (False, True):
-        want = sorted(map(tuple, T.encode_ids(sent, vocab, case_sensitive=cased, limit=0).collect()), key=key)
-        got = T.encode_ids(sent, vocab, case_sensitive=cased)
-        assert sorted(map(tuple, got.collect()), key=key) == want
+        want = sorted(map(tuple, T._joined_ids(sent, vocab, ["corpus", "doc_id", "sent_id"], cased).collect()), key=key)
+        for limit in (T.VOCABULARY, 2, 0):
+            got = T.encode_ids(sent, vocab, case_sensitive=cased, limit=limit)
+            assert sorted(map(tuple, got.collect()), key=key) == want
     alone = T.encode_ids(sent.filter("corpus is not null and doc_id > 1"), vocab)
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()      # no token is moved
     ids = alone.select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    want = sorted(map(tuple, ids.join(vocab, "id").select("doc_id", "pos", "id", "word").collect()))
+    for limit in (T.VOCABULARY, 2, 0):
+        assert sorted(map(tuple, T.decode_ids(ids, vocab, limit=limit).select("doc_id", "pos", "id", "word").collect())) == want
     assert "SortMergeJoin" not in T.decode_ids(ids, vocab)._jdf.queryExecution().executedPlan().toString()
