@@ -2,11 +2,13 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmask.operators import annotate as A
 from quillmask.operators import features as FEAT
 from quillmask.operators import lookup as L
+from quillmask.operators import models as M
 
 SENT = "corpus string, doc_id long, sent_id int, words array<string>, labels array<int>"
 
@@ -107,3 +109,72 @@ def test_null_vectors_and_null_numbers(spark):
         pv = spark.createDataFrame(rows, "word string, v array<float>")
         assert sorted(L.subword_vectors(wp, pv).collect(), key=str) == sorted(L._joined_subwords(wp, pv).collect(), key=str)
     assert FEAT.held_types(pv) is None
+
+
+def typed(spark):
+    """Tokens of two corpora, the same counted, and vectors of words and pieces (some missing, one null)."""
+    words = ["abc", "Abc", "abcd", "zz", "bcda", "abc", "q", "zz", "abcd", "none"]
+    tok = spark.createDataFrame([("x" if i % 3 else "y", w, int(i % 4 == 0)) for i, w in enumerate(words * 3)], "corpus string, word string, label int")
+    counted = tok.groupBy("corpus", F.lower("word").alias("word"), "label").agg(F.count(F.lit(1)).alias("n"))
+    wv = spark.createDataFrame([("abc", [1.0, 2.0]), ("zz", [3.0, 0.5]), ("q", None)], "word string, v array<float>")
+    pv = spark.createDataFrame([("abc", [1.0, 0.25, 4.0]), ("bcd", [0.5, 1.0, 2.0]), ("q", [8.0, 1.0, 1.0])], "word string, v array<float>")
+    return tok, counted, wv, pv
+
+
+def test_type_vectors_meet_counted_words_without_a_shuffle(spark):
+    tok, counted, wv, pv = typed(spark)
+    wp = tok.select(F.lower("word").alias("word")).distinct().select("word", F.explode(L.char_trigrams(F.col("word"))).alias("piece"))
+    joined, sent = L.combine_vectors([wv, L.subword_vectors(wp, pv)]), L.type_vectors(wv, L.sent_pieces(pv))
+    for table, vectors in ((joined, sent), (wv, L.type_vectors(wv))):
+        assert sorted(M.type_features(counted, vectors).collect()) == sorted(M.type_features(tok, table).collect())
+        want = sorted(M.type_training_rows(tok, table).collect())
+        assert sorted(M.type_training_rows(counted, vectors).collect()) == want
+        written = M.type_training_rows(counted, vectors, written=True)
+        assert sorted(written.drop("x").collect()) == want and all(list(r.features) == r.x for r in written.collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plans(M.type_training_rows(counted, sent))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_tables_that_cannot_be_sent(spark):
+    _, _, wv, pv = typed(spark)
+    assert L.type_vectors(wv.unionByName(wv.limit(1))) is None and L.type_vectors(wv.filter("false")) is None
+    assert L.type_vectors(wv.filter("v is null")) is None
+    assert L.sent_pieces(pv.unionByName(pv.limit(1))) is None
+
+
+def test_counted_tokens_are_scored_as_tokens(spark):
+    tok, counted, wv, _ = typed(spark)
+    model = M.train_annotator(M.clf_gaussian_nb(), M.type_training_rows(tok, wv))
+    feats = M.type_features(tok, wv)
+    want = sorted(M.test_annotator(model, tok, feats).collect())
+    assert sum(r.tp + r.fp + r.fn + r.tn for r in want) == 30 and sorted(M.test_annotator(model, counted, feats).collect()) == want
+
+
+def test_trees_read_no_more_partitions_than_cores(spark, monkeypatch):
+    tok, _, wv, _ = typed(spark)
+    rows, seen = M.type_training_rows(tok, wv).repartition(64), []
+
+    class Fitted:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+    monkeypatch.setattr(M, "Pipeline", Fitted)
+    for est in (M.clf_random_forest(), M.clf_gbt(), M.clf_logreg()):
+        M.train_annotator(est, rows)
+    cores = spark.sparkContext.defaultParallelism
+    assert [s[0] for s in seen] == [cores, cores, 64] and len({s[1] for s in seen}) == 1
+
+
+def test_descent_reads_written_rows_and_writes_none(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    _, counted, wv, _ = typed(spark)
+    rows = M.type_training_rows(counted, L.type_vectors(wv), written=True)
+    monkeypatch.setattr(Classic, "checkpoint", lambda *a, **k: pytest.fail("rows written again"))
+    assert len(M.train_annotator(M.clf_sgd(), rows).weights) == 2
+    assert "UDF" not in plans(M.PS._arrays(rows)).split("== Physical Plan ==")[1]
