@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepared
+from .common import fresh, give_back, prepared
 
 UND = "und"
 SEGMENT = 1024          # bytes of a segment; the parse starts anew at each
@@ -118,36 +120,48 @@ class LanguageModel:
             out[k] = np.bincount(of, weights=count[k], minlength=len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        parts = [normalised(t) for t in texts]
+    def predict(self, texts: Iterable[str | None]) -> pd.DataFrame:
+        """Texts are taken as they are needed, so at most ``CHUNK`` normalised
+        bytes (or one text) are held beside the results."""
+        found = [self.judged(parts) for parts in grouped(map(normalised, texts))]
+        return pd.DataFrame({name: np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
+                             for k, (name, kind) in enumerate((("lang_pred", object), ("score", float), ("rate", float)))})
+
+    def judged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lang = np.full(len(parts), UND, dtype=object)
         score = np.zeros(len(parts))
         rate = np.full(len(parts), np.nan)
         if not self.langs:
-            return pd.DataFrame({"lang_pred": lang, "score": score, "rate": rate})
-        at = 0
-        while at < len(parts):
-            end, size = at, 0
-            while end < len(parts) and (end == at or size + len(parts[end]) <= CHUNK):
-                size += len(parts[end])
-                end += 1
-            n = np.array([len(p) for p in parts[at:end]])
-            bits = self.phrases(parts[at:end]) * self.bits[:, None] / np.maximum(n, 1)
-            best = bits.argmin(axis=0)
-            cols = np.arange(end - at)
-            low = bits[best, cols]
-            if len(self.langs) > 1:
-                bits[best, cols] = np.inf
-                second = bits.min(axis=0)
-                gap = 1 - low / np.where(second > 0, second, 1)
-            else:
-                gap = np.maximum(0.0, 1 - low / 8)
-            has = n > 0
-            lang[at:end][has] = np.array(self.langs, dtype=object)[best[has]]
-            score[at:end][has] = gap[has]
-            rate[at:end][has] = low[has]
-            at = end
-        return pd.DataFrame({"lang_pred": lang, "score": score, "rate": rate})
+            return lang, score, rate
+        n = np.array([len(p) for p in parts])
+        bits = self.phrases(parts) * self.bits[:, None] / np.maximum(n, 1)
+        best = bits.argmin(axis=0)
+        cols = np.arange(len(parts))
+        low = bits[best, cols]
+        if len(self.langs) > 1:
+            bits[best, cols] = np.inf
+            second = bits.min(axis=0)
+            gap = 1 - low / np.where(second > 0, second, 1)
+        else:
+            gap = np.maximum(0.0, 1 - low / 8)
+        has = n > 0
+        lang[has] = np.array(self.langs, dtype=object)[best[has]]
+        score[has] = gap[has]
+        rate[has] = low[has]
+        return lang, score, rate
+
+
+def grouped(parts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Groups of about ``CHUNK`` bytes."""
+    held, size = [], 0
+    for p in parts:
+        if held and size + len(p) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(p)
+        size += len(p)
+    if held:
+        yield held
 
 
 def build_model(samples: dict[str, bytes]) -> LanguageModel:
@@ -206,9 +220,15 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     spark = prepared(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rate double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return held.value.predict(texts.tolist())
+    # Arrow's texts one by one: a batch of 10,000 is not copied whole
+    @F.arrow_udf("lang_pred string, score double, rate double")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = held.value.predict(x.as_py() for x in column)
+            give_back()
+            yield pa.StructArray.from_arrays(
+                [pa.array(out["lang_pred"], pa.string()), pa.array(out["score"], pa.float64(), from_pandas=False),
+                 pa.array(out["rate"].to_numpy(), pa.float64(), from_pandas=False)], names=list(out.columns))
 
     tmp, = fresh(docs, "lid")
     out = docs.withColumn(tmp, judged(F.col(text)))

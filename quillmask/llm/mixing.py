@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,10 +128,12 @@ def placements(slim: DataFrame, planned: list[dict], n_docs: dict, blocks: int)
     passes, ``stop`` (the hash at which the last, partial pass ends; null:
     there is none) and ``starts``, the (pass, hash, block) at which a new block
     begins.  ``slim`` has none, name, h, n."""
-    todo = F.broadcast(slim.sparkSession.createDataFrame(
-        [(p["source"] is None, p["source"] or "", p["weight"], p["tokens"], p["quota"], p["passes"], p["rest"],
-          max(1, -(-n_docs[p["source"]] // RANGE_ROWS))) for p in planned],
-        "none boolean, name string, weight double, tokens long, quota long, passes long, rest long, n_ranges long"))
+    kinds = pa.schema([("none", pa.bool_()), ("name", pa.string()), ("weight", pa.float64()),
+                       *((c, pa.int64()) for c in ("tokens", "quota", "passes", "rest", "n_ranges"))])
+    # an Arrow table: one of Python rows starts workers on the executors that keep their memory
+    todo = F.broadcast(slim.sparkSession.createDataFrame(pa.Table.from_pylist(
+        [{"none": p["source"] is None, "name": p["source"] or "", **{c: p[c] for c in ("weight", "tokens", "quota", "passes", "rest")},
+          "n_ranges": max(1, -(-n_docs[p["source"]] // RANGE_ROWS))} for p in planned], kinds)))
     key = ["none", "name"]
     rows = slim.groupBy(*key, "h").agg(F.sum("n").alias("n")).join(todo, key)
     # the place of the hash among 2**32 values: ranges of equal width, in order

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,17 +43,29 @@ GROUPS = 96
 END = b"\0\0\0\0"               # id 0 ends a document
 SHIFT = 40                      # (class, rank) as one integer
 BROADCAST_ROWS = 500_000
+DOCS = 1024                     # documents encoded together
+PIECE = pa.schema([("doc_id", pa.string()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "part", "nth"))])
+
+
+class Numbers:
+    """``part`` and ``nth`` of a task's rows: its partition, and 0, 1, ...
+    among its rows of equal ``by``."""
+
+    def __init__(self, by: str):
+        self.by, self.seen, self.part = by, Counter(), TaskContext.get().partitionId()
+
+    def added(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        nth = pdf.groupby(self.by).cumcount() + pdf[self.by].map(lambda v: self.seen[v])
+        self.seen.update(pdf[self.by].value_counts().to_dict())
+        return pdf.assign(part=self.part, nth=nth.astype("int64"))
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """``df`` written, with ``rank``: 0, 1, ... among the rows of equal ``by``."""
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        part = TaskContext.get().partitionId()
+        numbers = Numbers(by)
         for pdf in batches:
-            nth = pdf.groupby(by).cumcount() + pdf[by].map(lambda v: seen[v])
-            seen.update(pdf[by].value_counts().to_dict())
-            yield pdf.assign(part=part, nth=nth.astype("int64"))
+            yield numbers.added(pdf)
 
     rows = stored(df.mapInPandas(number, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, part long, nth long"), name)
     return ranked(rows, by)
@@ -67,28 +80,30 @@ def ranked(rows: DataFrame, by: str) -> DataFrame:
 
 
 def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, *tokenizer, keep: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and rank of every piece."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(*tokenizer)
-        for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at:at + 2048]
-                for doc, ids in zip(part["doc_id"], coder.encode(part["text"].tolist())):
+    """doc_id, piece, start, length, ids_crc32 and rank of every piece.  They
+    are numbered where they are made, so a task has one worker."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, numbers = encoder(*tokenizer), Numbers("length")
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part, rows = batch.slice(at, DOCS).to_pydict(), []
+                for doc, ids in zip(part["doc_id"], coder.encode(part["text"])):
                     ids = memoryview(ids + END)
                     for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[b:b + 4 * capacity]
                         rows.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
+                made = numbers.added(pd.DataFrame(rows, columns=PIECE.names[:5]))
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type, from_pandas=f.name == "doc_id") for f in PIECE], schema=PIECE)
             give_back()
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
         if not keep:
+            del coder                   # or it is alive when the worker's memory is given back
             release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    # as text: pandas has no whole numbers beside nulls
+    # as text: ids of any type
     read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    rows = read.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
-    return numbered(rows, "length", "pieces").withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = stored(read.mapInArrow(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, part long, nth long"), "pieces")
+    return ranked(rows, "length").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:

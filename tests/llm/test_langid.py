@@ -50,3 +50,21 @@ def test_edge_cases(frame):
     empty = L.train(docs.filter("false"))
     assert {r.lang_pred for r in L.identify(docs, empty).collect()} == {"und"}
     assert L.identify(docs.filter("false"), model).count() == 0
+
+
+def test_texts_are_held_a_chunk_at_a_time(monkeypatch):
+    model = L.build_model({"en": b"the of and", "de": b"der die das"})
+    texts = [None, "the of", "der die das " * 30, "12", "and " * 200, "die", "of the and"] * 5
+    want = model.predict(texts)
+    monkeypatch.setattr(L, "CHUNK", 400)
+    read, most = [], []
+    judged = L.LanguageModel.judged
+
+    def seen(self, parts):
+        most.append(len(parts))         # at most one text is read that is not yet judged
+        assert len(read) <= sum(most) + 1 and (len(parts) == 1 or sum(map(len, parts)) <= 400)
+        return judged(self, parts)
+
+    monkeypatch.setattr(L.LanguageModel, "judged", seen)
+    got = model.predict(read.append(t) or t for t in texts)
+    assert len(most) > 5 and got.equals(want)
