@@ -4,9 +4,10 @@
 
 *Tiles.*  Every task packs its candidates, as read, into shards of at most
 ``TILE`` rows (one binary row: ids and an integer matrix); queries are packed
-likewise into blocks of ``BLOCK``.  A block is sent to every shard (the stated
-query set against all rows, in blocks); a shard moves once and meets one block
-at a time, so a task holds one shard and one block.
+likewise into blocks of ``BLOCK``.  Every block meets every shard (the stated
+query set against all rows) in a grid: shards and blocks are dealt into parts
+of about ``CELL`` bytes, and a task holds one part of each.  Copies are shuffled
+by part, never by shard, and nothing is broadcast.
 
 *Scores.*  A tile is one matrix product, in doubles as long as all sums stay
 below 2**53 (then every product and sum is exact), else in Python integers.
@@ -38,7 +39,7 @@ from .common import prepared, stored
 SCALE = 256
 TILE, BLOCK = 4096, 512          # candidates of a shard, queries of a block
 FAN = 16                         # lists merged at a node of the tree
-HELD = 256                       # lists of blocks that a task holds before it emits them
+CELL = 32_000_000                # bytes of the shards, and of the blocks, that a task holds
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -182,6 +183,22 @@ def rows_of(block: int, path: int, lists: dict[int, list]) -> pd.DataFrame:
                          "scores": [[str(-s) for s, _ in v] for v in lists.values()]})
 
 
+def cells(packs: DataFrame, least: int) -> int:
+    """In how many parts of about ``CELL`` bytes packs are dealt: ``least`` or
+    more, but no more than there are packs."""
+    size = packs.select(F.count(F.lit(1)).alias("n"), F.sum(F.length("ids") + F.length("raw")).alias("bytes")).first()
+    return max(1, min(size["n"], max(least, -(-(size["bytes"] or 0) // CELL))))
+
+
+def part_of(parts: int):
+    return F.pmod(F.xxhash64("ids", "raw"), F.lit(parts))
+
+
+def every(parts: int):
+    """A row for each part."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
            scale: float = SCALE, tile: int = TILE, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` candidates of the highest
@@ -192,40 +209,24 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str =
     n = shards.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # shards by number: each gets a copy of every block
-    number = F.pmod(F.xxhash64("ids", "raw"), F.lit(n))
-    left = shards.select(number.alias("path"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "width", "kind", "raw")])
-    right = blocks.select(F.xxhash64("ids", "raw").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "kind", "raw")]) \
-        .withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[int, dict]] = {}
-        last, shard = None, None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.c_raw != last:
-                    last, shard = r.c_raw, unpack(r.c_ids, r.c_width, r.c_kind, r.c_raw)
-                found = tile_lists(unpack(r.q_ids, r.q_width, r.q_kind, r.q_raw), shard, k)
-                if r.block in held:
-                    have = held[r.block][1]
-                    for i, best in found.items():
-                        have[i] = merge(have.get(i, []), best, k)
-                else:
-                    if len(held) == HELD:
-                        for b, (path, lists) in held.items():
-                            yield rows_of(b, path, lists)
-                        held = {}
-                    held[r.block] = (r.path, found)
-        for b, (path, lists) in held.items():
-            yield rows_of(b, path, lists)
-
-    # few rows a batch: each carries a shard
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    try:
-        lists = stored(left.join(right, "path").mapInPandas(score, LISTS), "topk-lists")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    # cells of some shards and some blocks, of bounded size; a cell is a group, nothing is broadcast
+    columns = ("ids", "width", "kind", "raw")
+    rows, cols = cells(shards, spark.sparkContext.defaultParallelism), cells(blocks, 1)
+    left = shards.select(part_of(rows).alias("path"), every(cols).alias("col"), *columns)
+    right = blocks.select(every(rows).alias("path"), part_of(cols).alias("col"), *columns)
+
+    def score(key: tuple, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        held = [unpack(*r) for r in c[list(columns)].itertuples(index=False)]
+        for r in q[list(columns)].itertuples(index=False) if held else ():
+            block, best = unpack(*r), {}
+            for shard in held:
+                for i, found in tile_lists(block, shard, k).items():
+                    best[i] = merge(best.get(i, []), found, k)
+            out.append(rows_of(0, key[0], best))
+        return pd.concat(out) if out else pd.DataFrame()
+
+    lists = stored(left.groupBy("path", "col").cogroup(right.groupBy("path", "col")).applyInPandas(score, LISTS), "topk-lists")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         best: dict[int, list] = {}
@@ -235,7 +236,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str =
 
     # groups of about a block of queries; a query's rows in two blocks meet here
     lists = lists.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(blocks.count(), 1))))
-    width = n
+    width = rows
     while True:
         lists = lists.groupBy("block", F.floor(F.col("path") / fan).alias("up")).applyInPandas(joined, LISTS)
         width = -(-width // fan)

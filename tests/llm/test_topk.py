@@ -55,3 +55,22 @@ def test_empty_tables_and_extra_columns(spark, frame):
     assert got(empty, some, 3) == got(some, empty, 3) == got(empty, empty, 3) == set()
     clash = some.selectExpr("*", "'x' as path", "1 as block", "2 as v", "3 as id", "4 as ids")
     assert got(clash, clash, 3) == got(some, some, 3) == {(1, 1, 2, 131072), (2, 1, 1, 131072)}
+
+
+def test_copies_of_the_queries_are_not_sent_to_the_driver(spark, monkeypatch):
+    """However small Spark takes the blocks to be, they and their copies are
+    shuffled; the cells of the grid give what one cell gives."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 5 = 0")
+    whole = sorted(tuple(r) for r in topk.search(rows, queries, 3).collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans, kept = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    monkeypatch.setattr(topk, "CELL", 2000, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert sorted(tuple(r) for r in topk.search(rows, queries, 3, tile=16, block=8).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not any("Broadcast" in p for p in plans)
