@@ -66,3 +66,41 @@ def test_models_beat_all_positive(spark, tmp_path):
     a = model.transform(feats).select("word", F.col("prediction").alias("a"))
     b = again.transform(feats).select("word", F.col("prediction").alias("b"))
     assert a.join(b, "word").filter("a != b").count() == 0
+
+
+def test_forests_inside_a_forest(spark):
+    """Depths cut from a deeper forest are what MLlib fits at that depth, and
+    fewer trees are its first ones."""
+    from pyspark.ml.classification import RandomForestClassifier
+    rnd = random.Random(4)
+    rows = []
+    for i in range(500):
+        v = [rnd.gauss(0, 1) for _ in range(5)]
+        rows.append((f"w{i}", v, float(v[0] * v[1] + 0.4 * rnd.gauss(0, 1) > 0.3)))
+    df = spark.createDataFrame(rows, "word string, x array<double>, label double").select("word", M.array_to_vector("x").alias("features"), "label").coalesce(1).cache()
+
+    def fit(depth, trees):
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", bootstrap=False, seed=3).fit(df)
+    sizes = [(d, n) for d in (1, 3, 5, 9) for n in (1, 4)]
+    got = {r.word: list(r.preds) for r in M.NestedForests(fit(9, 4), sizes).predictions(df).collect()}
+    for i, (d, n) in enumerate(sizes):
+        want = {r.word: int(r.prediction) for r in fit(d, n).transform(df).collect()}
+        assert {w: p[i] for w, p in got.items()} == want, (d, n)
+    drawn = RandomForestClassifier(numTrees=20, maxDepth=6, seed=3).fit(df)
+    got = {r.word: list(r.preds) for r in M.NestedForests(drawn, [(6, 20), (2, 20), (6, 3)]).predictions(df).collect()}
+    assert {w: p[0] for w, p in got.items()} == {r.word: int(r.prediction) for r in drawn.transform(df).collect()}
+    assert len({tuple(p) for p in got.values()}) > 2
+
+
+def test_forest_sweep_has_all_its_configurations(spark, monkeypatch):
+    from quillmask.plans import catalog as C
+    tok, vec = _separable(spark)
+    rows = M.type_training_rows(tok, vec, written=True)
+    feats, tok = M.type_features(tok, vec), tok.withColumn("corpus", F.lit("en"))
+    monkeypatch.setattr(C, "_model_data", lambda *a, **k: (rows, tok, feats))
+    out = C.sweep_forest(spark, "").collect()
+    assert {(int(r.max_depth), int(r.num_trees)) for r in out} == {(d, n) for d in range(5, 20) for n in (10, 20, 50, 100)} and len(out) == 60
+    # against the separate fit of one of them
+    one = M.test_annotator(M.train_annotator(M.clf_random_forest(100, 19), rows), tok, feats).first()
+    got = next(r for r in out if (r.max_depth, r.num_trees) == ("19", "100"))
+    assert (got.en_precision, got.en_recall, got.en_f1) == (one.precision, one.recall, one.f1) and got.en_f1 > 0.9
