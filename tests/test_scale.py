@@ -178,3 +178,24 @@ def test_descent_reads_written_rows_and_writes_none(spark, monkeypatch):
     monkeypatch.setattr(Classic, "checkpoint", lambda *a, **k: pytest.fail("rows written again"))
     assert len(M.train_annotator(M.clf_sgd(), rows).weights) == 2
     assert "UDF" not in plans(M.PS._arrays(rows)).split("== Physical Plan ==")[1]
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """Rare windows are the same when the first hash is of no use, and what a
+    size shuffles is text no more."""
+    from quillmask.operators import annotate as A
+    import random
+    rng = random.Random(6)
+    rows = [("c", d, i, [f"w{rng.randrange(14)}" for _ in range(2 + (d + i) % 9)]) for d in range(12) for i in range(5)]
+    s = spark.createDataFrame(rows, "corpus string, doc_id long, sent_id int, words array<string>")
+    plans, kept = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a))
+
+    def flags():
+        return sorted((r.doc_id, r.sent_id, r.preds2, r.preds3) for r in A.own_ngram_flags(s, (2, 3), 2).collect())
+    want = flags()
+    assert any(1 in r[2] for r in want) and any(0 in r[2] for r in want)
+    counted = [p for p in plans if "HashAggregate" in p and "Exchange" in p]
+    assert counted and not any("keys=[g#" in p for p in counted)
+    monkeypatch.setattr(A, "window_hash", lambda g: A.F.length(g).cast("long"))
+    assert flags() == want
