@@ -199,3 +199,16 @@ def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     assert counted and not any("keys=[g#" in p for p in counted)
     monkeypatch.setattr(A, "window_hash", lambda g: A.F.length(g).cast("long"))
     assert flags() == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from quillmask import session as SE
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+    before, own = files(), spark.conf.get(SE.CLEANUP, "false")
+    df = SE.stored(spark.range(2000).repartition(5, "id"), "t")
+    assert not files() - before
+    assert df.count() == 2000 and spark.conf.get(SE.CLEANUP, "false") == own
