@@ -27,6 +27,7 @@ from .features import flat_words
 KNOWN = 2                       # occurrences from which a word stands for itself
 ALPHA = 0.1                     # added to every count
 SYMBOLS = 1_500_000             # of a tagger, up to which they are sent to every executor
+HASHED = 8_000_000              # words of a larger one, up to which their hashes are sent (12 bytes each)
 DECODED = 500_000               # words that are decoded at once
 
 
@@ -176,46 +177,85 @@ def _shape(word: str) -> str:
     return word
 
 
-def tag(sent: DataFrame, tagger: Tagger, keys=SENT_KEYS, carried=(), out: str = "preds", limit: int = SYMBOLS) -> DataFrame:
+def tag(sent: DataFrame, tagger: Tagger, keys=SENT_KEYS, carried=(), out: str = "preds", limit: int = SYMBOLS,
+        hashed: int = HASHED) -> DataFrame:
     """``(keys, words, carried, preds)`` of every sentence without a
     null key.  A table of up to ``limit`` symbols is sent to the executors: the
     distinct words of an Arrow batch are looked up once and its sentences are
     decoded where they were read, nothing is shuffled but the keys, to find
-    those that occur twice.  Sentences of one key are read as one, and a larger
-    table is joined (``_joined_tags``)."""
+    those that occur twice.  Of a larger table the words go as 64-bit hashes, up
+    to ``hashed`` of them, and the shapes as written.  Sentences of one key are
+    read as one, and a table larger than that is joined (``_joined_tags``)."""
     keys = list(keys)
     ship_package(sent.sparkSession)
     sent = sent.select(*keys, "words", *carried).dropna(subset=keys)
-    table = tagger.emissions.select("symbol", "e0", "e1").limit(limit + 1).toArrow()
+    table, words = tagger.emissions.select("symbol", "e0", "e1").limit(limit + 1).toArrow(), None
+    if table.num_rows > limit:
+        own = F.col("symbol").startswith("w:")
+        table = tagger.emissions.filter(~own).select("symbol", "e0", "e1").limit(limit + 1).toArrow()
+        words = hashed_words(tagger.emissions.filter(own), hashed)
+        if table.num_rows > limit or words is None:
+            return _joined_tags(sent, tagger, keys, carried, out)
     symbols = table.column("symbol").to_pylist()
-    if len(symbols) > limit or len(set(symbols)) < len(symbols):
+    if len(set(symbols)) < len(symbols):
         return _joined_tags(sent, tagger, keys, carried, out)
     twice = stored(sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*keys), "repeated-keys")
     if not twice.head(1):
-        return _held_tags(sent, tagger, symbols, table, out)
-    return _held_tags(sent.join(twice, keys, "left_anti"), tagger, symbols, table, out) \
+        return _held_tags(sent, tagger, symbols, table, out, words)
+    return _held_tags(sent.join(twice, keys, "left_anti"), tagger, symbols, table, out, words) \
         .unionByName(_joined_tags(sent.join(twice, keys, "left_semi"), tagger, keys, carried, out))
 
 
-def _held_tags(sent: DataFrame, tagger: Tagger, symbols: list[str], table, out: str) -> DataFrame:
-    """The labels of sentences, each on its own, by a table that is sent."""
+def hashed_words(emissions: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of up to ``limit`` symbols: their sorted hashes, which of the distinct
+    pairs (e0, e1) each has, and those as complex numbers.  They arrive in
+    slices.  None of more symbols, or if two have one hash."""
+    n = emissions.count()
+    if n > limit:
+        return None
+    rows = emissions.select(F.xxhash64("symbol").alias("h"), "e0", "e1")
+    parts = max(1, -(-n // 500_000))
+    hashes, pairs = [], []
+    for part in range(parts):
+        got = rows.filter(F.pmod("h", F.lit(parts)) == part).toArrow()
+        hashes.append(got.column("h").to_numpy())
+        pairs.append(np.unique(got.column("e0").to_numpy() + 1j * got.column("e1").to_numpy(), return_inverse=True))
+    kinds = np.unique(np.concatenate([p[0] for p in pairs]))
+    which = np.concatenate([np.searchsorted(kinds, p[0]).astype(np.int32)[p[1]] for p in pairs])
+    h = np.concatenate(hashes)
+    order = np.argsort(h)
+    h, which = h[order], which[order]
+    return None if (h[1:] == h[:-1]).any() else (h, which, kinds)
+
+
+def _held_tags(sent: DataFrame, tagger: Tagger, symbols: list[str], table, out: str, words: tuple | None = None) -> DataFrame:
+    """The labels of sentences, each on its own, by a table that is sent; with
+    ``words`` (``hashed_words``), that of the shapes."""
     start, chain, unseen = tagger.start, tagger.chain, tagger.unseen
     e = np.stack([np.append(table.column(f"e{s}").to_numpy(), unseen[s]) for s in (0, 1)])     # the last: neither listed
-    held = sent.sparkSession.sparkContext.broadcast((dict(zip(symbols, range(len(symbols)))), e))
+    if words is not None:
+        e = np.concatenate([e, np.stack([words[2].real, words[2].imag])], axis=1)
+    held = sent.sparkSession.sparkContext.broadcast((dict(zip(symbols, range(len(symbols)))), e, words and words[:2]))
+    last = len(symbols)
 
     @F.arrow_udf("array<int>")
     def run(words: pa.Array, low: pa.Array) -> pa.Array:
-        index, e = held.value
-        last = e.shape[1] - 1
+        index, e, known = held.value
         which, distinct, _ = flat_words(words)
-        folded, names, _ = flat_words(low)
-        at = np.array([index.get("w:" + w, -1) for w in names] or [-1], dtype=np.int64)[folded]
+        if known is None:
+            folded, names, _ = flat_words(low)
+            at = np.array([index.get("w:" + w, -1) for w in names] or [-1], dtype=np.int64)[folded]
+        else:
+            h = pc.list_flatten(low).to_numpy(zero_copy_only=False)
+            i = np.minimum(np.searchsorted(known[0], h), max(len(known[0]) - 1, 0))
+            at = np.where(known[0][i] == h, last + 1 + known[1][i], -1) if len(known[0]) else np.full(len(h), -1)
         rare = np.flatnonzero(at < 0)
         if len(rare):
             kind, back = np.unique(which[rare], return_inverse=True)
             at[rare] = np.array([index.get("s:" + _shape(distinct[k]), last) for k in kind.tolist()], dtype=np.int64)[back]
         return _decoded(words, e[0][at], e[1][at], start, chain)
-    return sent.withColumn(out, run("words", F.transform("words", F.lower)))
+    second = F.lower if words is None else lambda w: F.xxhash64(known_symbol(w))
+    return sent.withColumn(out, run("words", F.transform("words", second)))
 
 
 def _joined_tags(sent: DataFrame, tagger: Tagger, keys, carried=(), out: str = "preds") -> DataFrame:

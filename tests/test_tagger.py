@@ -87,3 +87,23 @@ def test_sentences_are_tagged_without_moving_them(spark):
     sent = spark.createDataFrame([("c", d, 0, ["Call", str(d)], [0, 1]) for d in range(9)], SENT)
     plan = TG.tag(sent, TG.train(sent))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_hashed_symbols_give_the_same_labels(spark):
+    """A table too large to be sent as text: nothing but keys is shuffled."""
+    rng = random.Random(5)
+    words = ["Call", "now", "see", "Ann", "Lee", "7", "2024", "né", "ÉTÉ", "x1"]
+    rows = [("c", d, 0, [rng.choice(words) for _ in range(rng.randint(0, 30))] + ["Zoë%d" % d] * (d % 7 == 0)) for d in range(60)]
+    sent = spark.createDataFrame([(*r, [int(w[-1].isdigit() or w in ("Ann", "Lee")) for w in r[3]]) for r in rows], SENT)
+    t = TG.train(sent.limit(40))
+    shapes = t.emissions.filter("symbol like 's:%'").count()
+    assert 0 < shapes < t.emissions.count()
+    odd = spark.createDataFrame([("c", 99, 0, ["Zoë", "77", "unseen"], [0, 0, 0])], SENT)
+    out = TG.tag(sent.union(odd), t, limit=shapes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted((r.doc_id, r.words, r.preds) for r in out.collect())
+    assert got == sorted((r.doc_id, r.words, r.preds) for r in TG.tag(sent.union(odd), t).collect()) and len(got) == 61
+    again = sorted((r.doc_id, r.words, r.preds) for r in TG.tag(sent.union(odd).union(odd), t, limit=shapes).collect())
+    assert again == sorted((r.doc_id, r.words, r.preds) for r in TG.tag(sent.union(odd).union(odd), t).collect())
+    assert TG.hashed_words(t.emissions, 1) is None
